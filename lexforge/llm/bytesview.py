@@ -135,30 +135,34 @@ def words(c: Chunk, sep: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, c.offs)
 
 
+def spans(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive values, by start (the last k-1 starts have none)."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    p, q = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * p[: len(hashes)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * q[:n])
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive words of one document, with each document's first gram.
 
     A document of 1 to k-1 words has one gram, of all its words; one without words has none.
     """
-    n = len(hashes)
-    count = np.diff(first)
+    n, count = len(hashes), np.diff(first)
     total = np.zeros(n, np.uint64)
-    m = np.uint64(0xA0761D6478BD642F) | np.uint64(1)
-    for j in range(k):
-        total[: n - j] = total[: n - j] * m + hashes[j:] if n > j else total[: n - j]
-    full = np.maximum(count - k + 1, 0)
-    doc = np.repeat(np.arange(len(count)), count)
-    keep = (np.arange(n) - first[:-1][doc]) < full[doc] if n else np.zeros(0, bool)
-    short = np.flatnonzero((count > 0) & (count < k))
-    for d in short:
-        h = np.uint64(count[d])
-        with np.errstate(over="ignore"):
-            for x in hashes[first[d] : first[d + 1]]:
-                h = h * m + x
-        total[first[d]] = h
-        keep[first[d]] = True
-    sizes = np.where(count >= k, full, (count > 0).astype(np.int64))
-    return mix(total[keep]), np.concatenate([[0], np.cumsum(sizes)])
+    every = spans(hashes, k)
+    total[: len(every)] = every
+    left = np.repeat(first[1:], count) - np.arange(n)  # words from here to the end of the document
+    keep = left >= k
+    for m in range(1, k):
+        at = first[:-1][count == m]
+        if len(at):
+            total[at] = spans(hashes, m)[at] ^ np.uint64(m)
+            keep[at] = True
+    return total[keep], np.concatenate([[0], np.cumsum(np.where(count >= k, count - k + 1, (count > 0).astype(np.int64)))])
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from lexforge.llm import queries_tokens
+from lexforge.llm import queries_documents, queries_tokens
 
 QUERIES = {
+    "op3_quality_rules": queries_documents.op3_quality_rules,
     "op5_byte_bpe": queries_tokens.op5_byte_bpe,
+    "op8_language": queries_documents.op8_language,
+    "op10_two_pass_shuffle": queries_documents.op10_two_pass_shuffle,
 }
 ORACLE_SQL: dict[str, str] = {}
