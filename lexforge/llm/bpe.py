@@ -30,7 +30,7 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import partitions, text_bytes
 
 #: Text of one batch: what one task holds while it reassembles documents.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 #: A batch deals its words to this many buckets at most, so that packs don't become tiny.
 MOST_BUCKETS = 4096
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -203,7 +203,6 @@ def _tokens(tables: list[pa.Table]) -> tuple[list[tuple], np.ndarray, np.ndarray
 
 
 def _read_docs(packs: list[bytes]) -> list[pa.Table]:
-    # In the order of the packs' bytes: the same whichever way the shuffle delivered them.
     return [pa.ipc.open_stream(_unzip(x)[0]).read_all() for x in packs]
 
 
@@ -249,29 +248,24 @@ def _encode_words(ranks_path: str):
     return run
 
 
-def _reassemble(schema: pa.Schema, ids_col: str):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, ids = [], []
-        for b in batches:
-            for kind, bucket, data in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                (ids.append((bucket, data)) if kind else docs.append(data))
-        tables = _read_docs(docs)
+def _reassemble(ids_col: str):
+    def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
+        tables = _read_docs(docs.column("data").to_pylist())
         pieces, u, _, _ = _tokens(tables)
-        parts = [_unzip(x) for _, x in sorted(ids, key=lambda x: x[0])]
+        parts = [_unzip(x) for x in ids.sort_by("bucket").column("data").to_pylist()]
         count = np.frombuffer(b"".join(x[0] for x in parts), np.uint32).astype(np.int64)
         flat = np.frombuffer(b"".join(x[1] for x in parts), np.uint32)
         assert len(count) == len(u), "a batch and its words don't agree"
         begin = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else np.zeros(0, np.int64)
+        made = []
         for t, lo, hi, own, inverse, first in pieces:
             word = np.searchsorted(u, own)[inverse]
             size = count[word]
             out = flat[bv.ragged(begin[word], size)]
             ends = np.concatenate([[0], np.cumsum(size)])[first] * 4
-            rows = tables[t].slice(lo, hi - lo).drop_columns(["text"]).combine_chunks()
             held = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out.astype("<u4"))])
-            cols = [rows.column(i).combine_chunks() if rows.num_rows else rows.column(i) for i in range(rows.num_columns)]
-            cols = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols]
-            yield pa.RecordBatch.from_arrays([*cols, held.cast(pa.binary())], names=[*rows.column_names, ids_col])
+            made.append(tables[t].slice(lo, hi - lo).drop_columns(["text"]).append_column(ids_col, held.cast(pa.binary())))
+        return pa.concat_tables(made)
 
     return run
 
@@ -291,7 +285,8 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tupl
     asked = packed.groupBy("part").applyInArrow(_name_words(buckets), _PACK_DDL)
     answered = asked.repartition(min(buckets, 8 * partitions(spark)), "bucket").mapInArrow(_encode_words(ranks_path), _PACK_DDL)
     kinds = ", ".join(f"`{n}` {dealt.schema[n].dataType.simpleString()}" for n in names)
-    out = packed.unionByName(answered).groupBy("part").applyInArrow(_reassemble(None, "__ids"), (kinds + ", " if names else "") + "`__ids` binary")
+    # Both readers of the packed documents share one exchange.
+    out = packed.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_reassemble("__ids"), (kinds + ", " if names else "") + "`__ids` binary")
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("__ids").alias(ids_col))
 
 

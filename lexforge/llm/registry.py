@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexforge.llm import queries_documents, queries_tokens
+from lexforge.llm import queries_documents, queries_matches, queries_tokens
 
 QUERIES = {
+    "op2_ngram_jaccard": queries_matches.op2_ngram_jaccard,
     "op3_quality_rules": queries_documents.op3_quality_rules,
     "op5_byte_bpe": queries_tokens.op5_byte_bpe,
     "op8_language": queries_documents.op8_language,
