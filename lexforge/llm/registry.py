@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lexforge.llm import queries_documents, queries_matches, queries_tokens
+from lexforge.llm import licenses, queries_documents, queries_matches, queries_tokens, secrets, warc
 
 QUERIES = {
+    "op1_license_scan": queries_matches.op1_license_scan,
     "op2_ngram_jaccard": queries_matches.op2_ngram_jaccard,
     "op3_quality_rules": queries_documents.op3_quality_rules,
+    "op4_secret_scan": queries_matches.op4_secret_scan,
     "op5_byte_bpe": queries_tokens.op5_byte_bpe,
+    "op7_warc_derivatives": queries_documents.op7_warc_derivatives,
     "op8_language": queries_documents.op8_language,
+    "op9_decontaminate": queries_matches.op9_decontaminate,
     "op10_two_pass_shuffle": queries_documents.op10_two_pass_shuffle,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_secret_scan": secrets.findings_sql(), "op7_warc_derivatives": warc.oracle()}
