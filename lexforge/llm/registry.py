@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": queries_documents.op3_quality_rules,
     "op4_secret_scan": queries_matches.op4_secret_scan,
     "op5_byte_bpe": queries_tokens.op5_byte_bpe,
+    "op6_substring_dedup": queries_tokens.op6_substring_dedup,
     "op7_warc_derivatives": queries_documents.op7_warc_derivatives,
     "op8_language": queries_documents.op8_language,
     "op9_decontaminate": queries_matches.op9_decontaminate,
