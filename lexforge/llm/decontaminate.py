@@ -235,3 +235,26 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     if len(found) > 1:  # an item's rows may lie in several blocks
         out = out.groupBy("d", "item").agg(F.min("edits").alias("edits"), F.min("item_words").alias("item_words"))
     return out.select(F.col("d").alias(id_col), F.col("item").alias(item_col), "edits", "item_words")
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", share: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The documents in which no item is found, with all their columns: one pass a block of items, no shuffle."""
+    at = docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ddl = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+
+    def keeper(block: Items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for c in bv.chunks(batch.column(at), 4 << 20):
+                    keep[c.lo + _find(*word_hashes(c), block, False)[0]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    out = docs.toDF(*names)
+    for block in (prepare(x, share) for x in _blocks(items, id_col, item_text, item_bytes)):
+        if block is not None:
+            out = out.mapInArrow(keeper(block), ddl)
+    return out.toDF(*docs.columns)

@@ -210,11 +210,12 @@ COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 def judge(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), least_content: float = LEAST_CONTENT) -> DataFrame:
     """``carry`` columns plus counts and verdict of each document; no shuffle, one pass over the texts."""
     emit, move = weights
+    at = carry.index(text_col) if text_col in carry else len(carry)
     names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in bv.chunks(batch.column(len(names)), 2 << 20):
+            for c in bv.chunks(batch.column(at), 2 << 20):
                 x = Lines(c)
                 content = viterbi(x.features @ emit, x.first, move) == 0
                 n_content = np.bincount(x.doc[content], x.words[content], minlength=c.hi - c.lo).astype(np.int64)
@@ -224,7 +225,7 @@ def judge(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text_col: str
                 held = [batch.column(i).slice(c.lo, c.hi - c.lo) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*held, *(pa.array(v.astype(np.int64)) for v in cols), pa.array(failed), pa.array(kept), pa.array(n_content)], names=[*names, *(f.split()[0] for f in COUNTS.split(", "))])
 
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text_col).alias("text"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], *([] if text_col in carry else [F.col(text_col).alias("text")]))
     kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
     out = rows.mapInArrow(run, kinds + COUNTS)
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], *(f.split()[0] for f in COUNTS.split(", ")))

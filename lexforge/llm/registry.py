@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lexforge.llm import licenses, queries_documents, queries_matches, queries_tokens, secrets, warc
 
 QUERIES = {
@@ -15,5 +16,8 @@ QUERIES = {
     "op8_language": queries_documents.op8_language,
     "op9_decontaminate": queries_matches.op9_decontaminate,
     "op10_two_pass_shuffle": queries_documents.op10_two_pass_shuffle,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_secret_scan": secrets.findings_sql(), "op7_warc_derivatives": warc.oracle()}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +29,12 @@ def partitions(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts: one column, one number."""
     return docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared checkpoint folder, read again: cuts lineage and keeps column pruning."""
+    spark = df.sparkSession
+    ready_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
