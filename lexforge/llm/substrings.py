@@ -21,11 +21,11 @@ another; an empty table gives an empty result; only the id and text columns are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import partitions, ready_checkpoints
 
-LENGTH, GRAM, MOST, RUN_BYTES = 200, 64, 512, 1 << 17
+LENGTH, GRAM, MOST, RUN_BYTES = 200, 64, 4096, 1 << 17
 
 
 def lyndon_suffix_array(text: list[int]) -> list[int]:
@@ -222,6 +222,19 @@ def _suffix_sorted(length: int, run_bytes: int):
     """Rows (anchor, n, id, mark, first, windows, bytes), an anchor's together -> (id, mark, first, windows): repeated windows of stretches that occur once."""
 
     def resolve(rows: pa.Table) -> pa.RecordBatch:
+        # A stretch without a window whose hash comes twice has none that is repeated: it needs no place in the order.
+        maybe = np.zeros(rows.num_rows, bool)
+        hashes, owners = [], []
+        for c in bv.chunks(rows.column("bytes")):
+            k = rows.column("windows").slice(c.lo, c.hi - c.lo).to_numpy().astype(np.int64)
+            at = bv.ragged(c.offs[:-1], k)
+            hashes.append(c.hasher().of(at, at + length))
+            owners.append(np.repeat(np.arange(c.lo, c.hi), k))
+        h, o = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        maybe[o[order][1:][same]] = maybe[o[order][:-1][same]] = True
+        rows = rows.filter(pa.array(maybe))
         raw, offs = bv.buffers(rows.column("bytes"))
         raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
         size = np.diff(offs)
@@ -265,24 +278,38 @@ def _suffix_sorted(length: int, run_bytes: int):
     return run
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        raw, offs = bv.buffers(batch.column(3))
+        texts = [pack(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], names=["id", "mark", "own", "text"])
+
+
+def _texts(column: pa.Array) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(unpack(x), np.uint8) for x in column.to_pylist()]
+
+
 def _cut_out(length: int):
-    """Rows (id, mark, text, wanted stretches) -> the stretches with their bytes."""
+    """Rows (id, mark, own, text, wanted stretches or null) -> the stretches with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column("wanted")
-            flat, offs = wanted.flatten(), wanted.offsets.to_numpy()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(offs))
-            raw, text = bv.buffers(batch.column("text"))
-            first, windows = flat.field("first").to_numpy().astype(np.int64), flat.field("windows").to_numpy().astype(np.int64)
-            step = max(1, (4 << 20) // (2 * length))
-            for lo in range(0, len(doc), step):
-                d, k = doc[lo : lo + step], windows[lo : lo + step] + length - 1
-                data = raw[bv.ragged(text[d] + first[lo : lo + step], k)]
-                held = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.py_buffer(data)])
-                part = flat.slice(lo, step)
-                rows = pa.array(d)
-                yield pa.RecordBatch.from_arrays([part.field("anchor"), part.field("n"), batch.column("id").take(rows), batch.column("mark").take(rows), part.field("first"), part.field("windows"), held, part.field("hot")], names=["anchor", "n", "id", "mark", "first", "windows", "bytes", "hot"])
+        for whole in batches:
+            some = whole.filter(whole.column("wanted").is_valid())
+            for lo in range(0, some.num_rows, 500):
+                batch = some.slice(lo, 500)
+                wanted = batch.column("wanted")
+                flat, counts = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
+                first, windows = flat.field("first").to_numpy().tolist(), flat.field("windows").to_numpy().tolist()
+                data, k = [], 0
+                for text, n in zip(_texts(batch.column("text")), counts.tolist(), strict=True):
+                    for i in range(k, k + n):
+                        data.append(text[first[i] : first[i] + windows[i] + length - 1].tobytes())
+                    k += n
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("n"), batch.column("id").take(rows), batch.column("mark").take(rows), flat.field("first"), flat.field("windows"), pa.array(data, pa.binary())], names=["anchor", "n", "id", "mark", "first", "windows", "bytes"])
 
     return run
 
@@ -304,28 +331,31 @@ def _hashed(length: int):
     return run
 
 
-def _remove(length: int, names: list[str]):
-    """Rows (carried columns, id, mark, text, ranges) -> carried columns, counts, what is left."""
+def _remove(length: int):
+    """Rows (id, mark, own, text, ranges) -> own, counts, what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offs = bv.buffers(batch.column("text"))
-            ranges = batch.column("ranges").to_pylist()
-            size, gone, spans, left = [], [], [], []
-            for i, own in enumerate(ranges):
-                data = raw[offs[i] : offs[i + 1]]
-                keep = np.ones(len(data) + 1, bool)
-                if own:
-                    step = np.zeros(len(data) + 1, np.int64)
-                    a = np.array([(r["first"], r["first"] + r["windows"] - 1 + length) for r in own])
-                    np.add.at(step, a[:, 0], 1)
-                    np.add.at(step, a[:, 1], -1)
-                    keep = np.cumsum(step) <= 0
-                size.append(len(data))
-                gone.append(int((~keep[: len(data)]).sum()))
-                spans.append(int((~keep[: len(data)] & np.concatenate([[True], keep[: len(data) - 1]])).sum()) if len(data) else 0)
-                left.append(data[keep[: len(data)]].tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                size, gone, spans, left = [], [], [], []
+                for data, own in zip(_texts(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
+                    n = len(data)
+                    if own:
+                        step = np.zeros(n + 1, np.int64)
+                        a = np.array([(r["first"], r["first"] + r["windows"] - 1 + length) for r in own])
+                        np.add.at(step, a[:, 0], 1)
+                        np.add.at(step, a[:, 1], -1)
+                        keep = np.cumsum(step)[:n] <= 0
+                        gone.append(int(n - keep.sum()))
+                        spans.append(int((~keep & np.append(True, keep[:-1])).sum()))
+                        left.append(data[keep].tobytes())
+                    else:
+                        gone.append(0)
+                        spans.append(0)
+                        left.append(data.tobytes())
+                    size.append(n)
+                yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.binary())], names=["own", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -335,28 +365,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ready_checkpoints(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    kind = docs.schema[id_col].dataType.simpleString()
     # Rows are told apart by id and a checksum of the text; rows alike in both are copies and share ranges.
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 62))).alias("id"), F.crc32(text).alias("mark"), text.alias("text"))
-    counted = base.filter(F.octet_length("text") >= length).mapInArrow(_counted(length, gram), _FOUND)
+    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 62))).alias("id"), F.crc32(text).alias("mark"), F.col(id_col).alias("own"), text.alias("text"))
+    long = base.filter(F.octet_length("text") >= length).select("id", "mark", "text")
     # All that follows on an anchor stays in its partition; batches have merged equal stretches before.
-    by_anchor = counted.repartition(partitions(spark), "anchor")
+    by_anchor = long.mapInArrow(_counted(length, gram), _FOUND).repartition(partitions(spark), "anchor")
     kinds = by_anchor.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min(F.struct("id", "mark", "first", "windows")).alias("at"), F.max("own").alias("own"))
     over = Window.partitionBy("anchor")
     kinds = kinds.withColumn("total", F.sum("n").over(over)).withColumn("kinds", F.count("*").over(over)).filter("total > 1 or own").select("anchor", "content", "n", "kinds", "own", "at.*").checkpoint()
     # Stretches that come again whole, wherever they stand.
-    full = base.filter(F.octet_length("text") >= length).mapInArrow(_listed(length, gram), _ROW).join(kinds.filter("n > 1").select("anchor", "content"), ["anchor", "content"]).select("id", "mark", "first", "windows")
-    # Those of which only a part may come again.
-    want = kinds.filter("kinds > 1 or own and n = 1").withColumn("hot", F.col("kinds") > most)
-    want = want.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "n", "first", "windows", "hot")).alias("wanted"))
-    row = "anchor bigint, n bigint, id bigint, mark bigint, first int, windows int, bytes binary, hot boolean"
-    cut = base.dropDuplicates(["id", "mark"]).join(want, ["id", "mark"]).mapInArrow(_cut_out(length), row).checkpoint()
-    plain = ["anchor", "n", "id", "mark", "first", "windows", "bytes"]
-    part = cut.filter("not hot").select(*plain).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_suffix_sorted(length, run_bytes), "id bigint, mark bigint, first int, windows int")
-    each = cut.filter("hot").select(*plain).mapInArrow(_hashed(length), "anchor bigint, content bigint, n bigint, id bigint, mark bigint, first int")
-    twice = each.groupBy("anchor", "content").agg(F.sum("n").alias("all")).filter("all > 1")
-    many = each.join(twice, ["anchor", "content"]).select("id", "mark", "first", F.lit(1).alias("windows"))
-    ranges = full.unionByName(part).unionByName(many).groupBy("id", "mark").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
-    names = [id_col]
-    joined = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 62))).alias("id"), F.crc32(text).alias("mark"), text.alias("text")).join(ranges, ["id", "mark"], "left")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return joined.select("id", "mark", F.col(id_col).alias("__id"), "text", "ranges").mapInArrow(_remove(length, ["__id"]), f"__id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("__id", names[0])
+    full = long.mapInArrow(_listed(length, gram), _ROW).join(kinds.filter("n > 1").select("anchor", "content"), ["anchor", "content"]).select("id", "mark", "first", "windows")
+    # Those of which only a part may come again.  The packed texts are shuffled once: every join with them is
+    # a left join on the same keys, and rows without a partner are passed over by the functions.
+    packed = base.mapInArrow(_squeezed, f"id bigint, mark bigint, own {kind}, text binary")
+    row = "anchor bigint, n bigint, id bigint, mark bigint, first int, windows int, bytes binary"
+
+    def cut(stretched: DataFrame) -> DataFrame:
+        want = stretched.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "n", "first", "windows")).alias("wanted"))
+        return packed.join(want, ["id", "mark"], "left").mapInArrow(_cut_out(length), row)
+
+    partly = kinds.filter("kinds > 1 or own and n = 1")
+    part = cut(partly.filter(F.col("kinds") <= most)).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_suffix_sorted(length, run_bytes), "id bigint, mark bigint, first int, windows int")
+    ranges = full.unionByName(part)
+    hot = partly.filter(F.col("kinds") > most)
+    if not hot.isEmpty():
+        each = cut(hot).mapInArrow(_hashed(length), "anchor bigint, content bigint, n bigint, id bigint, mark bigint, first int").checkpoint()
+        twice = each.groupBy("anchor", "content").agg(F.sum("n").alias("all")).filter("all > 1")
+        ranges = ranges.unionByName(each.join(twice, ["anchor", "content"]).select("id", "mark", "first", F.lit(1).alias("windows")))
+    ranges = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
+    cleaned = packed.join(ranges, ["id", "mark"], "left").mapInArrow(_remove(length), f"own {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return cleaned.withColumnRenamed("own", id_col)
