@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import partitions, text_bytes
+from lexforge.llm.shared import bound_batches, partitions, text_bytes
 
 #: Text of one batch: what one task holds while it reassembles documents.
 BATCH_BYTES = 16 << 20
@@ -277,6 +277,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tupl
     session's shuffle partitions), so no task holds more than a batch or a bucket of words.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = max(partitions(spark), -(-text_bytes(docs, text_col) // batch_bytes))
     buckets = max(1, min(MOST_BUCKETS, parts))
     names = [f"c{i}" for i in range(len(carry))]

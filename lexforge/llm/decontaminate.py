@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
+from lexforge.llm.shared import bound_batches
 
 EDITS, WALKS, TABLES, BITS, ITEM_BYTES = 0.2, 4, 128, 3, 8 << 20
 _SEP = np.ones(256, bool)
@@ -217,13 +218,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     ``exact_only`` skips the embedding and compares all placed windows, to measure recall by.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("text"))
     ddl = "d bigint, item bigint, edits bigint, item_words bigint"
 
     def finder(block: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for c in bv.chunks(batch.column(1), 4 << 20):
+                for c in bv.chunks(batch.column(1)):
                     d, k, e = _find(*word_hashes(c), block, exact_only)
                     if len(d):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.lo + d)), pa.array(block.ids[k].astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(block.size[k].astype(np.int64))], names=["d", "item", "edits", "item_words"])
@@ -239,6 +241,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", share: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The documents in which no item is found, with all their columns: one pass a block of items, no shuffle."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
     ddl = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
@@ -247,7 +250,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for c in bv.chunks(batch.column(at), 4 << 20):
+                for c in bv.chunks(batch.column(at)):
                     keep[c.lo + _find(*word_hashes(c), block, False)[0]] = False
                 yield batch.filter(pa.array(keep))
 

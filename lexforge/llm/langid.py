@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
+from lexforge.llm.shared import bound_batches
 
 PER_LANG, SAMPLE_CHARS, WINDOWS = 200, 20_000, 4
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 10
@@ -125,6 +126,7 @@ def _windows(c: bv.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), batch: int = 128) -> DataFrame:
     """``carry`` columns plus lang_pred and score, in one pass without a shuffle."""
+    bound_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
 from lexforge.llm.components import connected_components
-from lexforge.llm.shared import partitions, ready_checkpoints
+from lexforge.llm.shared import bound_batches, partitions, ready_checkpoints
 
 WORDS, SIMILAR, BANDS, ROWS, BLOCK = 5, (4, 5), 16, 5, 256
 
@@ -162,6 +162,7 @@ def representatives(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS,
 def compared(docs: DataFrame, id_col: str, text_col: str, n: int, similar: tuple[int, int], bands: int, rows: int, block: int, pairs: bool) -> DataFrame:
     spark = docs.sparkSession
     ready_checkpoints(spark)
+    bound_batches(spark)
     reps = representatives(docs, id_col, text_col, n, bands, rows).checkpoint()
     dealt = reps.select("id", F.posexplode("bands").alias("band", "value"))
     found = dealt.groupBy("value").agg(F.min("band").alias("band"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).filter("n > 1")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
+from lexforge.llm.shared import bound_batches
 
 SAMPLE, SAMPLE_CHARS = 600, 20_000
 LEAST_CONTENT = 0.5
@@ -209,13 +210,14 @@ COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 def judge(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), least_content: float = LEAST_CONTENT) -> DataFrame:
     """``carry`` columns plus counts and verdict of each document; no shuffle, one pass over the texts."""
+    bound_batches(docs.sparkSession)
     emit, move = weights
     at = carry.index(text_col) if text_col in carry else len(carry)
     names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in bv.chunks(batch.column(at), 2 << 20):
+            for c in bv.chunks(batch.column(at)):
                 x = Lines(c)
                 content = viterbi(x.features @ emit, x.first, move) == 0
                 n_content = np.bincount(x.doc[content], x.words[content], minlength=c.hi - c.lo).astype(np.int64)
