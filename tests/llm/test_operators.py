@@ -1,0 +1,212 @@
+"""Whole operators on small tables: against brute force, and the cases that each docstring defines."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexforge.llm import bpe, components, decontaminate, langid, licenses, near, quality, queries_tokens, registry, secrets, sharding, substrings, warc
+
+DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, part int, bands string"
+LONG = " ".join(f"word{i * 7919 % 1013}" for i in range(9000))
+PASSAGE = " ".join(f"shared{i}" for i in range(70))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    near_copy = " ".join("changed" if i == 40 else w for i, w in enumerate(LONG.split()[:120]))
+    texts = [None, "", "   ", "one", "a b c", "a b c", LONG, LONG, " ".join(LONG.split()[:120]), near_copy, "x" * 3000, "aba " * 400, f"first {PASSAGE} and more", f"second thing {PASSAGE}", "café 漢字 \U0001f600 it's 12 34", 'key token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" here', "Licensed under CC BY-NC 4.0."]
+    rows = [(i, t, None if i % 5 == 0 else "en", None if i % 4 == 0 else f"src{i}", len(t or ""), "x", i, "y") for i, t in enumerate(texts)]
+    rows += [rows[8], (None, "no id", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DDL)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def test_bpe_equals_the_library(spark, docs, empty):
+    path = queries_tokens.vocabulary()
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries_tokens.digest(docs).collect())
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = enc.encode_ordinary(r["text"] or "")
+        want[(r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())] += 1
+    assert got == want
+    assert queries_tokens.digest(empty).count() == 0
+
+
+def brute_repeats(texts, length):
+    n = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        keep = [True] * len(t)
+        for i in range(len(t) - length + 1):
+            if n[t[i : i + length]] > 1:
+                keep[i : i + length] = [False] * length
+        yield len(t), keep.count(False), sum(not k and (i == 0 or keep[i - 1]) for i, k in enumerate(keep)), bytes(b for b, k in zip(t, keep, strict=True) if k)
+
+
+@pytest.mark.parametrize("most", [1, 4096])
+def test_repeats_equal_brute_force(docs, empty, most):
+    rows = docs.collect()
+    want = collections.Counter((r["doc_id"], *x) for r, x in zip(rows, brute_repeats([(r["text"] or "").encode() for r in rows], 200), strict=True))
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(docs, most=most).collect())
+    assert got == want
+    assert substrings.remove_repeats(empty).count() == 0
+
+
+def shingle_set(text):
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_jaccard_join_equals_brute_force(spark, docs, empty, block):
+    many = spark.createDataFrame([(100 + i, " ".join("edit" if j == 5 * i else f"n{j}" for j in range(200)), "en", "s", 1, "", 1, "") for i in range(9)], DDL)
+    both = docs.unionByName(many)
+    rows = [r for r in both.collect() if r["doc_id"] is not None]
+    first = {}
+    for r in rows:
+        first[r["text"] or ""] = min(first.get(r["text"] or "", 1 << 60), r["doc_id"])
+    sets = {i: shingle_set(t) for t, i in first.items()}
+    links = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    n = collections.Counter(x for p in links for x in p)
+    want = collections.Counter((r["doc_id"], first[r["text"] or ""], root[first[r["text"] or ""]], n[first[r["text"] or ""]]) for r in rows)
+    got = near.jaccard_join(both, block=block).collect()
+    assert collections.Counter(tuple(r) for r in got if r["doc_id"] is not None) == want
+    assert [tuple(r) for r in got if r["doc_id"] is None] == [(None, None, None, 0)] * 2
+    assert {(r["a"], r["b"]) for r in near.jaccard_pairs(both, block=block).collect()} == links
+    assert near.jaccard_join(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
+    assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_quality_of_hard_rows(docs, empty):
+    w = (np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2)))
+    got = quality.judge(docs, w, carry=("doc_id", "id", "part")).collect()
+    assert len(got) == docs.count() and all(r["kept"] != r["base_failed"] for r in got)
+    assert quality.judge(empty, w).count() == 0
+    assert quality.training_sample(docs, docs.select("doc_id", F.lit(1).alias("quality")).limit(0)) == ([], [])
+
+
+def test_languages(spark, docs, empty):
+    net = langid.train(["the cat and the dog " * 20] * 4, ["en"] * 4, steps=5)
+    got = {r["doc_id"]: r for r in langid.predict(docs, net).collect() if r["doc_id"] is not None}
+    assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {0, 1, 2}
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
+    assert langid.predict(empty, net).count() == 0
+    texts, langs = langid.training_sample(docs, F.lit(True))
+    assert set(langs) == {"en"} and all(texts)
+
+
+def test_shards(spark, docs, empty):
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.coalesce("text", F.lit("")).alias("t"))
+    for parts in (1, 5):
+        dealt = sharding.two_pass(rows.repartition(parts), ["doc_id", "t", "size"], "size", shards=3).collect()
+        assert len(dealt) == docs.count()
+        n = collections.Counter(r["shard"] for r in dealt)
+        assert max(n.values()) - min(n.values()) <= 1
+        assert all(sorted(r["slot"] for r in dealt if r["shard"] == s) == list(range(n[s])) for s in n)
+        order = sorted((r["shard"], r["slot"], r["doc_id"]) for r in dealt if r["doc_id"] is not None)
+        assert order == globals().setdefault("_order", order)
+    assert sharding.two_pass(rows.limit(0), ["doc_id"], "size", shards=3).count() == 0
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    rows = spark.range(50).withColumn("size", F.lit(1))
+    sharding.write_shards(sharding.two_pass(rows, ["id"], "size", shards=4), str(tmp_path / "s"))
+    for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").agg(F.collect_list("slot").alias("s")).collect():
+        assert r["s"] == sorted(r["s"])
+
+
+def test_licenses(spark, docs, empty):
+    mit = licenses.TEMPLATES["mit"].split()
+    rows = [(50, "before " * 40 + " ".join(mit) + " after" * 3), (51, " ".join(mit[:20])), (52, "RELEASED under the (MIT) license"), (53, "licensed"), (54, None)]
+    got = {tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(50, "mit", 1.0), (52, "mit-line", 1.0)}
+    assert [r["license"] for r in licenses.scan(docs).collect()] == ["cc-by-nc-4.0-line"]
+    assert licenses.scan(empty).count() == 0
+
+
+def test_secrets_and_masks(docs, empty):
+    got = secrets.scan(docs).collect()
+    assert [(r["doc_id"], r["secret"]) for r in got] == [(15, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect() if r["doc_id"] is not None}
+    assert masked[15] == 'key token = "[SECRET]" here' and masked[6] == LONG and masked[0] is None
+    assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty).count() == 0
+
+
+def test_column_features_equal_python(spark):
+    found = secrets.labelled_findings(300, seed=8)
+    df = spark.createDataFrame(found, "c string, b string, p string, y int")
+    cols = [f.alias(n) for f, n in zip(secrets.features(F.col("c"), F.col("b"), F.col("p")), secrets.NAMES, strict=True)]
+    for r in df.select("*", *cols).collect():
+        assert [r[n] for n in secrets.NAMES] == secrets.features_py(r["c"], r["b"], r["p"])
+
+
+def test_decontamination(spark, docs, empty):
+    items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (1, PASSAGE)], "item_id bigint, text string")
+    got = {tuple(r) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(12, 1, 0, 70), (13, 1, 0, 70)}
+    for size in (1, 1 << 20):
+        kept = decontaminate.clean(docs, items, item_bytes=size)
+        assert kept.columns == docs.columns and kept.count() == docs.count() - 2
+    assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(empty, items).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "<html lang=en><title>T &amp; x</title><script>no</script><p>Hi<b>!</b><br>you &lt;3</html>"), (2, None, None)], "page_id bigint, url string, html string")
+    rows = warc.derivatives(warc.responses(pages))
+    by = {(r["page_id"], r["warc_type"]): r for r in rows.collect()}
+    assert by[1, "conversion"]["block"] == "Hi!\nyou <3" and by[2, "conversion"]["block"] == ""
+    assert "title: T & x\r\nlanguage: en\r\noutlinkCount: 0" in by[1, "metadata"]["block"]
+    assert by[1, "conversion"]["refers_to"] == by[1, "metadata"]["refers_to"] != by[1, "conversion"]["record_id"]
+    warc.write_warc(rows, str(tmp_path / "w"))
+    text = "".join(r["value"] for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
+    assert text.count("WARC/1.1\r\n") == 4 and text.endswith("\r\n\r\n")
+    assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_pipeline_stages(spark, docs, empty, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert [f for _, f in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+    for start in (docs, empty):
+        rows = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, d)
+            assert out.columns == docs.columns, name
+            out.write.mode("overwrite").parquet(f"{d}/{name}-{start is docs}")
+            rows = spark.read.parquet(f"{d}/{name}-{start is docs}")
+        left = {r["doc_id"] for r in rows.collect()}
+        assert left == ({8} if start is docs else set())  # the long one repeats itself
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == {8}
+
+
+def test_registry_names_ten_operators_and_the_pipeline():
+    assert {re.match(r"op(\d+)_|pipeline", n)[0] for n in registry.QUERIES} == {"pipeline", *(f"op{i}_" for i in range(1, 11))}
+    assert zlib.crc32(b"1") == 2212294583
