@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows in the session's shared checkpoint folder; where none is named (tests), in one of our own."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+    return df.checkpoint()
+
+
 def bounded_slice(edges: DataFrame, starts: DataFrame, depth: int, most: int) -> DataFrame:
     """(start, node, hop, rank): nodes within ``depth`` hops of each start, at most ``most`` of each.
 
@@ -67,20 +76,16 @@ def complete_link_merge(pairs: DataFrame) -> DataFrame:
 
 
 def small_components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """Pairs with ``part``: the smallest id that they lead to.  Labels spread until none changes; each round is checkpointed where the session has a folder."""
+    """Pairs with ``part``: the smallest id that they lead to.  Labels spread until none changes; each round is checkpointed."""
+    pairs = kept(pairs)
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l"))
-    checkpoints = pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    total = None
+    labels = kept(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
     for _ in range(rounds):
         spread = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        labels = labels.join(spread, "x").select("x", F.least("l", "m").alias("l"))
-        labels = labels.checkpoint() if checkpoints else labels.persist()
-        now = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            break
-        total = now
-    return pairs.join(labels.select(F.col("x").alias("a"), F.col("l").alias("part")), "a")
+        labels = kept(labels.join(spread, "x").select("x", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved")))
+        if labels.filter("moved").isEmpty():
+            return pairs.join(labels.select(F.col("x").alias("a"), F.col("l").alias("part")), "a")
+    raise RuntimeError(f"components not found in {rounds} rounds")
 
 
 def settle_duplicates(claims: DataFrame, item: str, is_owner: str, pos: str) -> DataFrame:

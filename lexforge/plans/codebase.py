@@ -47,8 +47,8 @@ query("sections")(lambda t: S.sections(_markdown(t), "conv_id", "content"))
 query("test_phrases", r"""with c as (select p_brand, string_agg(case p_partkey % 4 when 0 then 'def test_' || replace(p_name, ' ', '_') || '():' when 1 then '  it("' || p_name || '", () => {' when 2 then 'items "' || p_name || '"' else 'describe ''' || p_type || ''' do' end, chr(10) order by p_partkey) as content from part group by 1), l as (select p_brand, list_transform(string_split(content, chr(10)), lambda x: trim(x)) as ls from c), f as (select p_brand, list_filter(list_transform(ls, lambda x: case when starts_with(x, 'def test_') then trim(replace(regexp_extract(x, '^def test_([\p{L}\p{N}_]*)', 1), '_', ' ')) else regexp_extract(x, '^(?:describe|context|feature|scenario|specify|example|test|it)(?:\(\s*| +)["''`]([^"''`]*)', 1) end), lambda x: x <> '') as fs from l) select p_brand, list_transform(list_sort(list_transform(list_distinct(fs), lambda y: {'p': list_position(fs, y), 'v': y})), lambda z: z.v)[1:30] as phrases from f""")(
     lambda t: t.part.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("def test_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit('  it("'), "p_name", F.lit('", () => {'))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit('items "'), "p_name", F.lit('"'))).otherwise(F.concat(F.lit("describe '"), "p_type", F.lit("' do"))).alias("l")))), lambda x: x["l"]), "\n").alias("content")).select("p_brand", S.phrases(F.col("content")).alias("phrases"))
 )
-query("schema_tables", "select p_brand, cast(0 as int) as table_no, 'app.' || replace(lower(p_brand), '#', '_') as name, list('c' || p_partkey order by p_partkey) as columns from part where p_size < 10 group by p_brand")(
-    lambda t: S.sql_tables(t.part.filter("p_size < 10").groupBy("p_brand").agg(F.concat(F.lit('-- x\nCREATE TABLE IF NOT EXISTS "app".'), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit(" (\n"), F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("  `c"), k.cast("string"), F.lit("` int,\n"))), ""), F.lit("  PRIMARY KEY (id)\n);\n")).alias("content")), "p_brand", "content")
+query("schema_tables", "select p_brand, cast(0 as int) as table_no, 'app.' || replace(lower(p_brand), '#', '_') as name, list('c' || p_partkey order by p_partkey) as columns from part group by p_brand")(
+    lambda t: S.sql_tables(t.part.groupBy("p_brand").agg(F.concat(F.lit('-- x\nCREATE TABLE IF NOT EXISTS "app".'), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit(" (\n"), F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda k: F.concat(F.lit("  `c"), k.cast("string"), F.lit("` int,\n"))), ""), F.lit("  PRIMARY KEY (id)\n);\n")).alias("content")), "p_brand", "content")
 )
 query("migration_names", r"""with m as (select case p_partkey % 3 when 0 then 'V' || p_partkey || '__' || replace(p_name, ' ', '_') when 1 then '2024' || lpad(p_partkey::varchar, 6, '0') || '_add_' || replace(p_name, ' ', '-') else 'init' end as stem from part), w as (select stem, trim(regexp_replace(regexp_replace(regexp_replace(stem, '^[Vv]([0-9])', '\1'), '^([0-9][0-9a-fA-F.]*[_-]+)+', ''), '[_-]+', ' ', 'g')) as words, try_cast(regexp_extract(stem, '^[Vv]?([0-9]+)', 1) as hugeint) as version from m), k as (select * from w where words not in ('', 'init') order by version desc nulls first, stem desc limit 150) select stem, words, row_number() over (order by version nulls last, stem) as place from k""")(
     lambda t: S.migrations(t.part.select(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("V"), F.col("p_partkey").cast("string"), F.lit("__"), F.replace("p_name", F.lit(" "), F.lit("_")))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("2024"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("_add_"), F.replace("p_name", F.lit(" "), F.lit("-")))).otherwise("init").alias("stem")), "stem", 150).select("stem", "words", "place")
@@ -66,8 +66,8 @@ def commit_subject_filter(t):
 query("route_segments", r"select page_id, list_transform(list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> ''), lambda x, i: case when regexp_matches(x, '^[:{<*]') then '*' when i = len(list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/'), lambda y: y <> '')) then string_split(x, '.')[1] else x end) as segments from pages")(
     lambda t: t.pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*", ""), "[?#].*$", "").alias("p")).select("page_id", T.route_segments(F.col("p")).alias("segments"))
 )
-query("bounded_reach", "with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem where l_quantity > 48), h1 as (select s.l_suppkey as start, dst as node from (select distinct l_suppkey from lineitem where l_suppkey <= 20) s join e on e.src = s.l_suppkey), b as (select distinct x.src as start, y.src as node from e x join e y on x.dst = y.dst where x.src <= 20 and x.src <> y.src) select start, count(*) as reached from b group by 1")(
-    lambda t: (lambda e: G.bounded_slice(e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.dst")).filter("x.src <> y.src").select(F.col("x.src").alias("src"), F.col("y.src").alias("dst")).distinct().withColumn("rank", F.lit(1)), e.filter("src <= 20").select(F.col("src").alias("start")).distinct(), 1, 1_000_000).groupBy("start").agg(F.count("*").alias("reached")))(t.lineitem.filter("l_quantity > 48").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
+query("bounded_reach", "with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem where l_quantity >= 50), b as (select distinct x.src as start, y.src as node from e x join e y on x.dst = y.dst where x.src <> y.src) select start, count(*) as reached from b group by 1")(
+    lambda t: (lambda e: G.bounded_slice(e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.dst")).filter("x.src <> y.src").select(F.col("x.src").alias("src"), F.col("y.src").alias("dst")).distinct().withColumn("rank", F.lit(1)), e.select(F.col("src").alias("start")).distinct(), 1, 1_000_000).groupBy("start").agg(F.count("*").alias("reached")))(t.lineitem.filter("l_quantity >= 50").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
 )
 
 
@@ -83,7 +83,7 @@ def slice_reach(t):
 
 @query("rule_merge")
 def rule_merge(t):
-    pairs = M.similar_statements(t.documents.select("doc_id", "source", F.left("text", F.lit(400)).alias("text")), "doc_id", "source", "text")
+    pairs = M.similar_statements(t.documents, "doc_id", "source", "text")
     return G.complete_link_merge(G.small_components(pairs))
 
 

@@ -15,7 +15,7 @@ from lexforge.plans.registry import query
 # ---- text scalars
 
 query("normalize_names", f"select p_partkey, {S.normalized('p_name')} as name_key from part")(lambda t: t.part.select("p_partkey", T.normalize_name(F.col("p_name")).alias("name_key")))
-query("identifier_words", r"select doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(left(text, 300), '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words from documents")(lambda t: t.documents.select("doc_id", T.identifier_words(F.left("text", F.lit(300))).alias("words")))
+query("identifier_words", r"select doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as words from documents")(lambda t: t.documents.select("doc_id", T.identifier_words(F.col("text")).alias("words")))
 query("statement_words", r"select doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 3))) as words from documents")(lambda t: t.documents.select("doc_id", F.array_sort(T.statement_words(F.col("text"))).alias("words")))
 query("one_line", r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as line from documents")(lambda t: t.documents.select("doc_id", T.one_line(F.col("text")).alias("line")))
 query("fold_latin", f"select doc_id, {S.folded('text')} as folded from documents")(lambda t: t.documents.select("doc_id", T.fold_latin(F.col("text")).alias("folded")))
@@ -82,12 +82,12 @@ def interval_overlap(t):
     return met.select(F.col("a_path").alias("path"), "a_id", "b_id")
 
 
-_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(left(text, 400)), '[^\p{L}\p{N}]+'), lambda w: length(w) > 3))"
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 3))"
 
 
 @query("jaccard_pairs", f"with s as (select doc_id, source, {_WORDS} as w from documents), e as (select doc_id, unnest(w) as word from s), c as (select x.doc_id as a, y.doc_id as b, count(*) as n from e x join e y on x.word = y.word and x.doc_id < y.doc_id group by all) select a, b, p.source as ga, q.source as gb, round(n / (len(p.w) + len(q.w) - n), 6) as similarity from c join s p on p.doc_id = a join s q on q.doc_id = b where p.source <> q.source and n / (len(p.w) + len(q.w) - n) >= 0.6")
 def jaccard_pairs(t):
-    return M.similar_statements(t.documents.select("doc_id", "source", F.left("text", F.lit(400)).alias("text")), "doc_id", "source", "text").withColumn("similarity", F.round("similarity", 6))
+    return M.similar_statements(t.documents, "doc_id", "source", "text").withColumn("similarity", F.round("similarity", 6))
 
 
 query("first_claim", "select l_partkey, l_suppkey, l_orderkey from lineitem qualify row_number() over (partition by l_partkey order by l_suppkey, l_orderkey, l_linenumber) = 1")(

@@ -10,7 +10,7 @@ from lexforge.operators import retrieval as R
 from lexforge.plans import sqltext as S
 from lexforge.plans.registry import query
 
-ONE = "how to find thing attion erble inble reble edble with the plans"
+ONE = "how is the attion thanedble anea with eriner thanea"
 _DOCS = "select doc_id as doc, text from documents"
 _ONE = f"select 1 as query, '{ONE}' as text"
 
@@ -41,23 +41,23 @@ query("bm25_left_out", f"with {S.scored(_DOCS, _BENCH)} select query, count(*) f
 
 
 @query("bm25_unknown_words", f"""
-with q as (select conv_id as query, text from conversations where turn = 0 and text is not null),
+with q as (select conv_id * 1000 + turn as query, text from conversations where text is not null),
 w as (select query, unnest(list_transform(range(len(ws)), lambda i: {{'pos': i, 'word': ws[i + 1]}})) as x from (select query, array_agg(w order by p) as ws from (select query, w, min(p) as p from (select query, unnest(ws) as w, generate_subscripts(ws, 1) as p from (select query, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as ws from q)) group by query, w) group by query)),
 v as (select distinct unnest({S.tokens('text')}) as term from documents),
 k as (select query, x.pos as pos, x.word as word, unnest({S.tokens('x.word')}) as term from w)
 select query, cast(pos as int) as pos, word from k left join v on k.term = v.term group by query, pos, word having not bool_or(v.term is not null or k.term in ({S.listing(T.stop_terms())}))""")
 def unknown_words(t):
-    q = t.conversations.filter("turn = 0 and text is not null")
-    return R.unknown_words(_index(t), q, "conv_id", "text")
+    q = t.conversations.filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return R.unknown_words(_index(t), q, "id", "text")
 
 
-_FUSED = """select item_id * 10 + n as query, part as text, item_id as item from (select item_id, generate_subscripts(ps, 1) - 1 as n, unnest(ps) as part from (select item_id, string_split(text, '.') as ps from benchmark)) where trim(part) <> '' and n < 10"""
+_FUSED = """select item_id * 1000 + n as query, part as text, item_id as item from (select item_id, generate_subscripts(ps, 1) - 1 as n, unnest(ps) as part from (select item_id, string_split(text, '.') as ps from benchmark)) where trim(part) <> ''"""
 
 
 @query("bm25_fused", f"with {S.scored(_DOCS, _FUSED)}, o as ({_FUSED}), i as (select item, doc, count(distinct query) as queries, max(round(score, 6)) as best from s join o using (query) where {S.HALF} group by item, doc) select item, doc, queries, best, row_number() over (partition by item order by queries desc, best desc, doc) as rank from i qualify rank <= 3")
 def fused(t):
-    parts = t.benchmark.select("item_id", F.posexplode(F.split("text", r"\.")).alias("n", "part")).filter((F.trim("part") != "") & (F.col("n") < 10))
-    queries = parts.select(F.col("item_id").alias("item"), (F.col("item_id") * 10 + F.col("n")).alias("query"), "part")
+    parts = t.benchmark.select("item_id", F.posexplode(F.split("text", r"\.")).alias("n", "part")).filter(F.trim("part") != "")
+    queries = parts.select(F.col("item_id").alias("item"), (F.col("item_id") * 1000 + F.col("n")).alias("query"), "part")
     return R.fused(_index(t), queries, "item", "query", "part")
 
 
