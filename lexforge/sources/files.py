@@ -166,6 +166,6 @@ def commit_subjects(commits: DataFrame, subject: str, author: str, pos: str) ->
 
 def definitions(files: DataFrame, path: str, content: str) -> DataFrame:
     """(path, line, kind, name, signature) of definitions, found by patterns of the common languages."""
-    pattern = r"^\s*(?:(?:pub|public|private|protected|static|async|export|default|abstract|final)\s+)*(def|fn|func|function|class|struct|enum|trait|interface|module)\s+([\p{L}_][\p{L}\p{N}_.:?!]*)"
+    pattern = r"^\s*(?:(?:pub|public|private|protected|static|async|export|default|abstract|final)\s+)*(def|fn|func|function|class|struct|enum|trait|interface|module)\s+([\p{L}_][\p{L}\p{N}_]*(?:(?:::|\.)[\p{L}\p{N}_]+)*[?!]?)"
     lines = files.select(F.col(path), F.posexplode(F.split(content, "\r?\n")).alias("n", "l")).filter(F.col("l").rlike(pattern))
     return lines.select(path, (F.col("n") + 1).alias("line"), F.regexp_extract("l", pattern, 1).alias("kind"), F.regexp_extract("l", pattern, 2).alias("name"), F.left(F.trim("l"), F.lit(200)).alias("signature"))
