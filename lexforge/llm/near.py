@@ -195,3 +195,19 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = keyed.join(facts, "key", "left")
     known = F.col(id_col).isNotNull()
     return out.select(id_col, F.when(known, F.col("text_class")).alias("text_class"), F.when(known, F.coalesce("root", "text_class")).alias("class_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"))
+
+
+def oracle(n: int = WORDS, similar: tuple[int, int] = SIMILAR) -> str:
+    """jaccard_join of ``documents`` by all pairs that share a shingle, as SQL."""
+    return rf"""
+with recursive c as (select coalesce(text, '') as text, min(doc_id) as rep from documents group by 1),
+w as (select rep, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from c),
+s as (select rep, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i : i + {n - 1}], ' ')) end)) as s from w),
+m as (select rep, count(*) as m from s group by 1),
+p as (select a.rep as a, b.rep as b, count(*) as k from s a join s b on a.s = b.s and a.rep < b.rep group by all),
+l as (select a, b from p join m x on x.rep = a join m y on y.rep = b where {similar[1]} * k >= {similar[0]} * (x.m + y.m - k)),
+e as (select a, b from l union all select b, a from l),
+r(node, root) as (select rep, rep from c union select e.b, r.root from r join e on e.a = r.node),
+g as (select node, min(root) as root from r group by 1),
+k as (select a, count(*) as n_links from e group by 1)
+select doc_id, rep as text_class, root as class_id, coalesce(n_links, 0) as n_links from documents join c on c.text = coalesce(documents.text, '') join g on g.node = rep left join k on k.a = rep"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexforge.llm import licenses, queries_documents, queries_matches, queries_tokens, secrets, warc
+from lexforge.llm import licenses, near, queries_documents, queries_matches, queries_tokens, secrets, warc
 
 QUERIES = {
     "op1_license_scan": queries_matches.op1_license_scan,
@@ -18,6 +18,6 @@ QUERIES = {
     "op10_two_pass_shuffle": queries_documents.op10_two_pass_shuffle,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_secret_scan": secrets.findings_sql(), "op7_warc_derivatives": warc.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_ngram_jaccard": near.oracle(), "op4_secret_scan": secrets.findings_sql(), "op7_warc_derivatives": warc.oracle()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -37,8 +37,8 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(held, np.int64)
 
 
-def two_pass(rows: DataFrame, keys: list[str], size_col: str, shards: int, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``shard`` and ``slot``.  ``keys`` tell rows apart and fix the order before the shuffle."""
+def two_pass(rows: DataFrame, keys: list[str], size_col: str, shards: int, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
+    """Adds ``shard`` and ``slot``, under names that the rows must not have yet.  ``keys`` tell rows apart and fix the order before the shuffle."""
     spark = rows.sparkSession
     total = rows.agg(F.sum(size_col).alias("n"), F.count("*").alias("k")).first()
     buckets = max(partitions(spark), -(-(total["n"] or 0) // bucket_bytes), -(-total["k"] // bucket_rows))
@@ -58,10 +58,10 @@ def two_pass(rows: DataFrame, keys: list[str], size_col: str, shards: int, seed:
         bucket = key[0].as_py()
         held = held.take(pa.array(fisher_yates(held.num_rows, seed, bucket)))
         place = start[bucket] + np.arange(held.num_rows, dtype=np.int64)
-        held = held.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
+        held = held.append_column(shard_col, pa.array((place % shards).astype(np.int32))).append_column(slot_col, pa.array(place // shards))
         yield from held.combine_chunks().to_batches(max_chunksize=10_000)
 
-    return scattered.groupBy("__bucket").applyInArrow(run, ", ".join(columns) + ", `shard` int, `slot` bigint")
+    return scattered.groupBy("__bucket").applyInArrow(run, ", ".join(columns) + f", `{shard_col}` int, `{slot_col}` bigint")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
