@@ -30,7 +30,7 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches, partitions, text_bytes
 
 #: Text of one batch: what one task holds while it reassembles documents.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 #: A batch deals its words to this many buckets at most, so that packs don't become tiny.
 MOST_BUCKETS = 4096
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
