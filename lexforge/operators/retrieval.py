@@ -20,13 +20,13 @@ K1, B, FLOOR = 1.2, 0.75, 0.5 * (1 + 1e-5)
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc, tf
+    postings: DataFrame  # term, doc, tf, length of the doc (so that scoring needs no join for it)
     lengths: DataFrame  # doc, length: tokens, stop words included
 
 
 def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
     tokens = docs.select(F.col(id_col).alias("doc"), T.search_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    postings = tokens.select("doc", F.explode("tokens").alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
+    postings = tokens.select("doc", F.size("tokens").cast("bigint").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "doc", "length").agg(F.count("*").alias("tf"))
     return Index(postings, tokens.select("doc", F.size("tokens").cast("bigint").alias("length")))
 
 
@@ -60,7 +60,7 @@ def score(index: Index, terms: DataFrame) -> DataFrame:
     weight = known.groupBy("query").agg(F.sum("idf").alias("weight"))
     tf, length = F.col("tf"), F.col("length") / F.col("mean")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-    found = known.join(hits, "term").join(index.lengths, "doc").groupBy("query", "doc").agg(F.count("*").alias("matched"), F.sum(part).alias("score"), F.sum("idf").alias("held"), F.first("terms").alias("terms"))
+    found = known.join(hits, "term").groupBy("query", "doc").agg(F.count("*").alias("matched"), F.sum(part).alias("score"), F.sum("idf").alias("held"), F.first("terms").alias("terms"))
     return found.join(weight, "query")
 
 
