@@ -85,6 +85,11 @@ def search(index: Index, queries: DataFrame, id_col: str, text_col: str, rule: s
     return ranked(scored.filter(rules[rule]), top).select("query", "rank", "doc", "matched", "score")
 
 
+def hits_of_any(index: Index, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(query, doc, score) of every document that has a query term; unranked, so that no task holds a query's hits."""
+    return score(index, query_table(queries, id_col, text_col)).select("query", "doc", F.round("score", 6).alias("score"))
+
+
 def left_out(index: Index, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query, hits, left_out): how many the half rule finds, and how many of them the weight floor drops."""
     scored = score(index, query_table(queries, id_col, text_col)).filter(half_rule())
@@ -110,9 +115,19 @@ def fused(index: Index, queries: DataFrame, item_col: str, id_col: str, text_col
 
 
 def greedy_fit(hits: DataFrame, keys: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
-    """Per key, rows in order while they fit; one that doesn't is skipped, not a stop.  Groups are a query's short list."""
-    row = F.struct(F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("pos"), F.col("doc").alias("doc"), cost.cast("bigint").alias("cost"))
-    lists = hits.select(*keys, row.alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    """Per key, rows in order while they fit; one that doesn't is skipped, not a stop.
+
+    Once a row of some cost is skipped, no later one of that cost fits; so of each cost only as many
+    as the budget holds are folded (about budget * ln(budget) rows a key), and nothing is lost by
+    that.  They are found in parts of each key first, so a busy key spreads.
+    """
+    held = F.least(F.col("__cost"), F.lit(budget + 1))
+    rows = hits.withColumn("__cost", cost.cast("bigint")).withColumn("__part", F.pmod(F.hash("doc"), F.lit(64)))
+    for by in ([*keys, held, F.col("__part")], [*keys, held]):
+        n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        rows = rows.withColumn("__n", n).filter((F.col("__cost") <= 0) | (F.col("__n") <= F.greatest(F.expr(f"{budget} div __cost"), F.lit(1))))
+    row = F.struct(F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("pos"), F.col("doc").alias("doc"), F.col("__cost").alias("cost"))
+    lists = rows.select(*keys, row.alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("docs"))
     step = lambda a, x: F.when(a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["docs"], F.array(x["doc"])).alias("docs"))).otherwise(a)
     folded = lists.select(*keys, F.aggregate("xs", start, step).alias("a"))

@@ -73,8 +73,8 @@ def title_search(t):
 
 @query("evidence_fit")
 def evidence(t):
-    hits = R.search(_index(t), _bench(t), "item_id", "text", "any", 40).join(t.documents.select(F.col("doc_id").alias("doc"), F.length("text").alias("chars")), "doc")
-    return R.greedy_fit(hits, ["query"], [F.col("rank")], F.least(F.col("chars"), F.lit(400)) + 3, 1200)
+    hits = R.hits_of_any(_index(t), _bench(t), "item_id", "text").join(t.documents.select(F.col("doc_id").alias("doc"), F.length("text").alias("chars")), "doc")
+    return R.greedy_fit(hits, ["query"], [F.desc("score"), F.col("doc")], F.least(F.col("chars"), F.lit(400)) + 3, 1200)
 
 
 _CORPUS = f"""select 'page' as kind, page_id as id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, 1 as kind_order from pages union all select 'doc', doc_id, left(text, 40), 2 from documents union all select 'part', p_partkey, p_name, 3 from part"""
