@@ -12,6 +12,11 @@ as a random bit of the word and the step says, which turns edit distance into Ha
 against brute force is measured in the tests); exact edit distance, with free ends in the window
 and its margins, decides.
 
+Walks drift apart as texts grow, so items of more than ``WALKED`` words are not embedded: their
+windows that lie within the allowed edits of one another become one region, regions with fewer of
+the item's words than a match must have are dropped, and exact distance decides on all others.
+Nothing is lost on these items.
+
 No shuffle: items (in blocks of ``ITEM_BYTES``, so that what goes to the executors is bounded)
 meet all documents in one pass over the texts a block.
 
@@ -35,6 +40,8 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches
 
 EDITS, WALKS, TABLES, BITS, ITEM_BYTES = 0.2, 4, 128, 3, 8 << 20
+#: Words up to which the walks are measured to find their items, and words of regions that are compared at once.
+WALKED, REGION_WORDS = 60, 1 << 20
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FOLD = bv.fold_table({c: c + 32 for c in range(65, 91)})
@@ -63,7 +70,8 @@ def embed(windows: np.ndarray, seed: int, steps: int) -> np.ndarray:
 @dataclass
 class Items:
     ids: np.ndarray
-    words: np.ndarray  # item by word, padded by zeros
+    words: np.ndarray  # item by word, padded by zeros; rows of long items are empty
+    long: dict[int, np.ndarray]  # words of items of more than WALKED words
     size: np.ndarray
     edits: np.ndarray
     piece: np.ndarray  # hashes of pieces, in order, with item, first word and length of each
@@ -91,10 +99,12 @@ def prepare(rows: list[tuple[int, str]], share: float = EDITS, walks: int = WALK
         return None
     size = np.array([len(w) for w in words])
     edits = np.floor(size * share + 1e-9).astype(np.int64)
-    padded = np.zeros((len(ids), size.max()), np.uint64)
+    short = size <= WALKED
+    padded = np.zeros((len(ids), size[short].max() if short.any() else 1), np.uint64)
     pieces = []
     for i, w in enumerate(words):
-        padded[i, : len(w)] = w
+        if short[i]:
+            padded[i, : len(w)] = w
         cuts = np.linspace(0, len(w), edits[i] + 2).round().astype(int)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             pieces.append((int(_piece_hash(w[a:b], b - a)[0]), i, a, b - a))
@@ -104,8 +114,8 @@ def prepare(rows: list[tuple[int, str]], share: float = EDITS, walks: int = WALK
     seen[piece >> np.uint64(42)] = True
     rng = np.random.Generator(np.random.PCG64(5))
     samples = [(k % walks, rng.integers(0, 1 << 30, bits), np.uint64(rng.integers(1, 1 << 62))) for k in range(tables)]
-    out = Items(np.array(ids), padded, size, edits, piece, np.array([p[1] for p in pieces]), np.array([p[2] for p in pieces]), sorted({p[3] for p in pieces}), seen, samples, np.zeros(0))
-    out.tables = _tables(padded, size, out)
+    out = Items(np.array(ids), padded, {i: w for i, w in enumerate(words) if not short[i]}, size, edits, piece, np.array([p[1] for p in pieces]), np.array([p[2] for p in pieces]), sorted({p[3] for p in pieces}), seen, samples, np.zeros(0))
+    out.tables = _tables(padded, np.minimum(size, padded.shape[1]), out)
     return out
 
 
@@ -139,6 +149,51 @@ def distance(region: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarr
     return best
 
 
+def _regions(doc: np.ndarray, start: np.ndarray, item: np.ndarray, first: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
+    """(document, item, first word, end): windows of one document and item that lie within the allowed edits are one region, with margins."""
+    order = np.lexsort((start, item, doc))
+    d, s, k = doc[order], start[order], item[order]
+    fresh = np.ones(len(d), bool)
+    fresh[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] - s[:-1] > items.edits[k[1:]])
+    a = np.flatnonzero(fresh)
+    z = np.append(a[1:], len(d)) - 1
+    d, k = d[a], k[a]
+    lo = np.maximum(s[a] - items.edits[k], first[d])
+    hi = np.minimum(s[z] + items.size[k] + items.edits[k], first[d + 1])
+    return list(zip(d.tolist(), k.tolist(), lo.tolist(), hi.tolist(), strict=True))
+
+
+def _long(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, item: np.ndarray, first: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """Rows (document, item, least edits) of long items, by exact distance on all regions that hold enough of the item's words."""
+    bags: dict[int, np.ndarray] = {}
+    held: list[tuple[int, int, int, int]] = []
+
+    def compared() -> np.ndarray:
+        d, k, lo, hi = (np.array(x) for x in zip(*held, strict=True))
+        region = np.zeros((len(held), int((hi - lo).max())), np.uint64)
+        wanted = np.zeros((len(held), int(items.size[k].max())), np.uint64)
+        for r, (_, i, x, y) in enumerate(held):
+            region[r, : y - x] = hashes[x:y]
+            wanted[r, : items.size[i]] = items.long[i]
+        edits = distance(region, wanted, items.size[k])
+        ok = edits <= items.edits[k]
+        return np.stack([d[ok], k[ok], edits[ok]], 1)
+
+    # Regions of like size go together, so that padding stays small.
+    for d, i, lo, hi in sorted(_regions(doc, start, item, first, items), key=lambda x: (x[3] - x[2], x)):
+        if i not in bags:
+            bags[i] = np.unique(items.long[i])
+        bag, region = bags[i], hashes[lo:hi]
+        if int((bag[np.minimum(np.searchsorted(bag, region), len(bag) - 1)] == region).sum()) < items.size[i] - items.edits[i]:
+            continue
+        if held and (len(held) + 1) * (hi - lo) > REGION_WORDS:
+            yield compared()
+            held.clear()
+        held.append((d, i, lo, hi))
+    if held:
+        yield compared()
+
+
 def _find(hashes: np.ndarray, first: np.ndarray, items: Items, exact_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, least edits) of all matches in these documents."""
     none = np.zeros(0, np.int64)
@@ -166,7 +221,9 @@ def _find(hashes: np.ndarray, first: np.ndarray, items: Items, exact_only: bool)
         other = d != doc
         touch.append((d[other], start[other], item[other]))
     doc, start, item = (np.concatenate(x) for x in zip(*touch, strict=True))
-    out = []
+    long = items.size[item] > WALKED
+    out = list(_long(hashes, doc[long], start[long], item[long], first, items)) if long.any() else []
+    doc, start, item = doc[~long], start[~long], item[~long]
     for i in range(0, len(doc), 20_000):
         d, s, k = doc[i : i + 20_000], start[i : i + 20_000], item[i : i + 20_000]
         lo, hi = first[d], first[d + 1]
