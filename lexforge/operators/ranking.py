@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexforge.operators.graphs import kept
+
 # What an item of a kind weighs.
 DEBT_WEIGHTS = {"low_confidence": 1.0, "unbacked_narrative": 1.0, "stale": 1.0, "contradicted": 1.0, "marked_wrong": 1.0, "not_scored": 0.5, "technical_language": 0.5, "undocumented": 0.5, "entry_point_without_feature": 0.5, "to_review": 0.5, "outdated_edit": 0.5, "set_apart": 0.25, "no_domain": 0.25, "no_behaviour": 0.25, "not_analysed": 0.25}
 
@@ -28,6 +30,22 @@ def budget(rows: DataFrame, order: list[Column], n: int, group: list[str] | None
     return rows.join(top, key, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
+def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place in a total order of all rows.
+
+    Rows go to ranges of the order, which are kept so that they can't move; a place is the row's
+    number in its range after the rows of the ranges before, so no task sees all rows.
+    """
+    ranges = kept(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    before, sizes = 0, []
+    for r in ranges.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():
+        sizes.append((r["__p"], before))
+        before += r["n"]
+    starts = rows.sparkSession.createDataFrame(sizes, "__p int, __s bigint")
+    placed = ranges.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return placed.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__n")).drop("__p", "__s", "__n")
+
+
 def evenly_spaced(rows: DataFrame, group: list[str], order: list[Column], count: int) -> DataFrame:
     """``count`` rows of each group at even distances."""
     w = Window.partitionBy(*group)

@@ -10,7 +10,7 @@ from lexforge.operators import matching as M
 from lexforge.operators import ranking as K
 from lexforge.operators import rollups as A
 from lexforge.plans import sqltext as S
-from lexforge.plans.registry import query
+from lexforge.plans.registry import ORACLE_SQL, query
 
 # ---- text scalars
 
@@ -132,11 +132,19 @@ query("file_ranking", f"with c as ({_CHURN}) select p_partkey, round((1 + p_size
 query("file_budget", f"with c as ({_CHURN}), s as (select p_partkey, round((1 + p_size % 3) * (1 + ln(1 + least(commits, 65535)) + ln(1 + least(refs, 65535))), 6) as score from c) select p_partkey, score, row_number() over (order by score desc, p_partkey) <= 50 as kept from s")(
     lambda t: K.budget(_scored(t), [F.desc("score"), F.col("p_partkey")], 50)
 )
+
+
+def _priorities(t):
+    orders = t.orders.select("o_orderkey", "o_orderstatus").join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("e")), "o_orderkey", "left").fillna(0)
+    return orders.select("o_orderkey", F.round(K.debt_priority(F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.5).otherwise(0.25), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 100) / 100.0), F.col("n"), F.col("e")), 6).alias("priority"))
+
+
 query("priority_order", "with l as (select l_orderkey, count(*) as n, count(distinct l_suppkey) as e from lineitem group by 1), s as (select o_orderkey, round(case o_orderstatus when 'F' then 1.0 when 'O' then 0.5 else 0.25 end * coalesce(1 - case when o_orderkey % 5 = 0 then null else (o_orderkey % 100) / 100.0 end, 1.0) * (1 + ln(1 + coalesce(n, 0))) * (1 + ln(1 + coalesce(e, 0))), 6) as priority from orders left join l on l_orderkey = o_orderkey) select o_orderkey, priority, row_number() over (order by priority desc, o_orderkey) as rank from s qualify rank <= 200")(
-    lambda t: t.orders.select("o_orderkey", "o_orderstatus").join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("e")), "o_orderkey", "left").fillna(0)
-    .select("o_orderkey", F.round(K.debt_priority(F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.5).otherwise(0.25), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 100) / 100.0), F.col("n"), F.col("e")), 6).alias("priority"))
+    lambda t: _priorities(t)
     .orderBy(F.desc("priority"), "o_orderkey").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "o_orderkey")))
 )
+# priority_order stops at 200 orders, as its SQL does; this is the whole order.
+query("priority_order_all", ORACLE_SQL["priority_order"].removesuffix(" qualify rank <= 200"))(lambda t: K.global_rank(_priorities(t), [F.desc("priority"), F.col("o_orderkey")]))
 query("evenly_spaced", "with e as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r, count(*) over (partition by user_id) as n from events) select event_id, user_id from e where (r * least(5, n)) // n <> ((r + 1) * least(5, n)) // n")(
     lambda t: K.evenly_spaced(t.events.select("event_id", "user_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], 5).drop("ts")
 )

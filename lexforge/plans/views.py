@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.operators import documents as D
+from lexforge.operators import ranking as K
 from lexforge.plans import sqltext as S
-from lexforge.plans.registry import query
+from lexforge.plans.registry import ORACLE_SQL, query
 
 query("class_names", r"with p as (select p_partkey, 'src/' || case p_partkey % 3 when 0 then 'index' else replace(p_name, ' ', '_') end || '.py' as path from part) select p_partkey, case when lower(s) not in ('index', 'mod', 'main', 'init', 'url', 'urls', 'route', 'view', 'handler') then array_to_string(list_transform(regexp_split_to_array(s, '[_-]'), lambda w: upper(left(w, 1)) || substring(w, 2)), '') end as class from (select p_partkey, regexp_replace(string_split(path, '/')[-1], '\..*$', '') as s from p)")(
     lambda t: t.part.select("p_partkey", D.class_name(F.concat(F.lit("src/"), F.when(F.col("p_partkey") % 3 == 0, "index").otherwise(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit(".py"))).alias("class"))
@@ -74,10 +75,20 @@ query("pattern_coverage", "with l as (select lang, unnest(string_split(text, chr
     lambda t: D.pattern_coverage(t.documents.select("lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("e", F.col("line").startswith("Th")), "lang", "line", "e", "^Th.*and").select("lang", F.round("coverage", 6).alias("coverage"), F.round("breadth", 6).alias("breadth"))
 )
 query("even_shares")(lambda t: D.even_shares(t.part.select("p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size", 500))
+
+
+def _undocumented(t):
+    return t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 100) / 100.0).alias("c")).join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left").fillna(0, ["n"])
+
+
 query("undocumented_order", "select o_orderkey, row_number() over (order by n desc, c desc nulls last, o_orderkey) as place from (select o_orderkey, count(l_linenumber) as n, case when o_orderkey % 4 = 0 then null else (o_orderkey % 100) / 100.0 end as c from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey) order by place limit 100")(
-    lambda t: t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 100) / 100.0).alias("c")).join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left").fillna(0, ["n"]).orderBy(F.desc("n"), F.desc_nulls_last("c"), "o_orderkey").limit(100)
+    lambda t: _undocumented(t).orderBy(F.desc("n"), F.desc_nulls_last("c"), "o_orderkey").limit(100)
     .selectExpr("o_orderkey", "row_number() over (order by n desc, c desc nulls last, o_orderkey) as place")
 )
+# undocumented_order stops at 100 orders, as its SQL does; this is the whole order.
+query("undocumented_order_all", ORACLE_SQL["undocumented_order"].removesuffix(" order by place limit 100"))(
+    lambda t: K.global_rank(_undocumented(t), [F.desc("n"), F.desc_nulls_last("c"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
+)
 query("featureless_parents", "select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)")(
     lambda t: t.nation.select("n_nationkey").join(t.supplier.filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti")
 )

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexforge import catalog
-from lexforge.operators import retrieval
+from lexforge.operators import ranking, retrieval
+
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 
 
 def fit(rows, budget):
@@ -40,3 +45,22 @@ def test_evidence_fit_reads_past_the_best_forty(spark, tmp_path):
     assert {x["doc"]: x["rank"] for x in ranks}[61] > 40 and 61 in want[1]
     r = catalog.QUERIES["evidence_fit"](spark, d).first()
     assert (r["used"], r["docs"]) == want
+
+
+def test_global_rank_equals_sorting(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice([None, 0.1, 0.5, 0.9])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, c double").repartition(5)
+    got = {x["id"]: x["rank"] for x in ranking.global_rank(df, [F.desc_nulls_last("c"), F.col("id")]).collect()}
+    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0])))}
+    assert ranking.global_rank(df.limit(0), [F.col("id")]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["priority_order_all", "undocumented_order_all"])
+@tables
+def test_orders_are_ranked_whole(spark, name):
+    n = spark.read.parquet(f"{DIR}/orders.parquet").count()
+    place = "rank" if name.startswith("priority") else "place"
+    got = sorted(x[place] for x in catalog.QUERIES[name](spark, DIR).collect())
+    assert got == list(range(1, n + 1)) and n > 200
+    assert "qualify" not in catalog.ORACLE_SQL[name] and "limit" not in catalog.ORACLE_SQL[name]
