@@ -59,9 +59,21 @@ query("coverage_by_group", "with i as (select distinct p_brand, p_partkey from p
 query("rule_owner_by_slug", "with r as (select p_partkey, p_brand || '-' || p_size as slug from part), o as (select p_brand as owner, min(p_partkey) as owner_pos from part group by 1) select slug, p_partkey, owner_pos, try_cast(regexp_extract(slug, '^(.+)-([0-9]+)$', 2) as bigint) as number, regexp_extract(slug, '^(.+)-([0-9]+)$', 1) as owner from r left join o on owner = regexp_extract(slug, '^(.+)-([0-9]+)$', 1)")(
     lambda t: M.by_slug_pattern(t.part.select("p_partkey", F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("slug")), t.part.select(F.col("p_brand").alias("slug"), F.col("p_partkey").alias("pos")))
 )
+
+
+def _mentions_of_customers(t):
+    return t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.upper("c_name")).when(F.col("c_custkey") % 3 == 1, F.replace("c_name", F.lit("#"), F.lit("_"))).otherwise(F.concat("c_name", F.lit("x"))).alias("mention"))
+
+
+def _names(customers):
+    return customers.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
+
+
 query("actor_resolution", f"""with n as (select c_custkey as pos, c_name as name from customer where c_custkey <= 500), m as (select c_custkey as id, case c_custkey % 3 when 0 then upper(c_name) when 1 then replace(c_name, '#', '_') else c_name || 'x' end as mention from customer), l as (select lower(name) as low, min_by(name, pos) as exact from n group by 1), k as (select {S.normalized('name')} as norm, min(name) as alike from n group by 1 having count(distinct name) = 1) select id, mention, coalesce(exact, alike) as resolved from m left join l on lower(mention) = low left join k on {S.normalized('mention')} = norm""")(
-    lambda t: M.resolve_names(t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.upper("c_name")).when(F.col("c_custkey") % 3 == 1, F.replace("c_name", F.lit("#"), F.lit("_"))).otherwise(F.concat("c_name", F.lit("x"))).alias("mention")), t.customer.filter("c_custkey <= 500").select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name")))
+    lambda t: M.resolve_names(_mentions_of_customers(t), _names(t.customer.filter("c_custkey <= 500")))
 )
+# actor_resolution looks among 500 names, as its SQL does; this looks among all.
+query("actor_resolution_all", ORACLE_SQL["actor_resolution"].replace(" where c_custkey <= 500", ""))(lambda t: M.resolve_names(_mentions_of_customers(t), _names(t.customer)))
 
 
 @query("path_resolution", r"""with f as (select distinct regexp_replace(url, '^https?://', '') as p from pages), c as (select distinct case page_id % 3 when 0 then './' || regexp_replace(url, '^https?://', '') when 1 then regexp_replace(regexp_replace(url, '^https?://', ''), '^[^/]*/', '') else 'x/' || regexp_replace(url, '^https?://', '') end as cited from pages), k as (select cited, regexp_replace(cited, '^(\./)+', '') as c from c), e as (select cited, p as exact from k join f on c = p), l as (select distinct cited, p from k join f on suffix(p, '/' || c) or suffix(c, '/' || p) or c = p), o as (select cited, min(p) as only from l group by 1 having count(*) = 1) select cited, coalesce(exact, o.only) as resolved from k left join e using (cited) left join o using (cited)""")

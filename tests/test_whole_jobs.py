@@ -64,3 +64,17 @@ def test_orders_are_ranked_whole(spark, name):
     got = sorted(x[place] for x in catalog.QUERIES[name](spark, DIR).collect())
     assert got == list(range(1, n + 1)) and n > 200
     assert "qualify" not in catalog.ORACLE_SQL[name] and "limit" not in catalog.ORACLE_SQL[name]
+
+
+@tables
+def test_actors_resolve_among_all_names(spark):
+    rows = catalog.QUERIES["actor_resolution_all"](spark, DIR).collect()
+    known = dict(spark.read.parquet(f"{DIR}/customer.parquet").select("c_custkey", "c_name").collect())
+    assert {x["id"]: x["resolved"] for x in rows} == {k: None if k % 3 == 2 else n for k, n in known.items()}
+
+
+def test_actors_past_the_first_five_hundred_resolve(spark, tmp_path):
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in range(480, 640)], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {x["id"]: x["resolved"] for x in catalog.QUERIES["actor_resolution_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if k % 3 == 2 else f"Customer#{k:09d}" for k in range(480, 640)}
+    assert "500" not in catalog.ORACLE_SQL["actor_resolution_all"]
