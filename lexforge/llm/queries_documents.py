@@ -30,4 +30,9 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).drop("block")
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), headers=False).drop("block")
+
+
+def op7_warc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_warc_derivatives drops headers and blocks, as its SQL does; this returns both."""
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))

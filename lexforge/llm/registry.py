@@ -13,11 +13,12 @@ QUERIES = {
     "op5_byte_bpe": queries_tokens.op5_byte_bpe,
     "op6_substring_dedup": queries_tokens.op6_substring_dedup,
     "op7_warc_derivatives": queries_documents.op7_warc_derivatives,
+    "op7_warc_whole": queries_documents.op7_warc_whole,
     "op8_language": queries_documents.op8_language,
     "op9_decontaminate": queries_matches.op9_decontaminate,
     "op10_two_pass_shuffle": queries_documents.op10_two_pass_shuffle,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_ngram_jaccard": near.oracle(), "op4_secret_scan": secrets.findings_sql(), "op7_warc_derivatives": warc.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op2_ngram_jaccard": near.oracle(), "op4_secret_scan": secrets.findings_sql(), "op7_warc_derivatives": warc.oracle(), "op7_warc_whole": warc.oracle(headers=True)}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

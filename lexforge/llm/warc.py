@@ -56,13 +56,23 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     return pages.select("page_id", record_id(F.lit("response"), F.col("page_id").cast("string"), "url").alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("date"), head.alias("http_header"), payload.alias("payload"))
 
 
-def derivatives(records: DataFrame, carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Two rows a response (record_id, target_uri, date, http_header, payload): the records' headers and blocks."""
+def header_fields(http_header: Column) -> Column:
+    """The source's status line and one field a header, in order and as written; folded lines are joined."""
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce(http_header, F.lit("")), r"(\r\n|\r|\n)[ \t]+", " "), r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    named = F.transform(lines, lambda x, i: F.concat(F.when((i == 0) & x.startswith("HTTP/"), "sourceStatusLine: ").otherwise("sourceHeader: "), x, F.lit("\r\n")))
+    return F.array_join(named, "")
+
+
+def derivatives(records: DataFrame, carry: tuple[str, ...] = ("page_id",), headers: bool = True) -> DataFrame:
+    """Two rows a response (record_id, target_uri, date, http_header, payload): the records' headers and blocks.
+
+    Without ``headers`` the metadata keeps of the source's header block only status and content type.
+    """
     payload = F.coalesce(F.col("payload"), F.lit(""))
     base = records.select(*carry, F.col("record_id").alias("refers_to"), "target_uri", "date", "http_header", payload.alias("payload"), digest(payload).alias("source_digest"))
     title = _decoded(F.trim(F.regexp_replace(F.regexp_extract("payload", _TITLE, 1), r"\s+", " ")))
     status = F.regexp_extract("http_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
-    fields = F.concat(F.lit("fetchStatus: "), status, F.lit("\r\nsourceContentType: "), F.trim(F.regexp_extract("http_header", r"(?i)content-type:([^\r\n]*)", 1)), F.lit("\r\nsourceDigest: "), F.col("source_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\nlanguage: "), F.regexp_extract("payload", _LANG, 1), F.lit("\r\noutlinkCount: "), F.size(F.regexp_extract_all("payload", F.lit(_LINK), F.lit(0))).cast("string"), F.lit("\r\n"))
+    fields = F.concat(F.lit("fetchStatus: "), status, F.lit("\r\nsourceContentType: "), F.trim(F.regexp_extract("http_header", r"(?i)content-type:([^\r\n]*)", 1)), F.lit("\r\nsourceDigest: "), F.col("source_digest"), F.lit("\r\ntitle: "), title, F.lit("\r\nlanguage: "), F.regexp_extract("payload", _LANG, 1), F.lit("\r\noutlinkCount: "), F.size(F.regexp_extract_all("payload", F.lit(_LINK), F.lit(0))).cast("string"), F.lit("\r\n"), *([header_fields(F.col("http_header"))] if headers else []))
     both = base.select("*", F.inline(F.array(F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")), F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")))))
     return both.select(*carry, "warc_type", record_id("warc_type", "refers_to").alias("record_id"), "refers_to", "target_uri", "date", "source_digest", "content_type", F.octet_length("block").cast("bigint").alias("content_length"), digest(F.col("block")).alias("block_digest"), "block")
 
@@ -79,7 +89,7 @@ def write_warc(rows: DataFrame, path: str) -> None:
     record_text(rows).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def oracle() -> str:
+def oracle(headers: bool = False) -> str:
     def decoded(x: str) -> str:
         for name, char in ENTITIES:
             name, char = name.replace("'", "''"), char.replace("'", "''")
@@ -95,10 +105,11 @@ def oracle() -> str:
     lang, link = _LANG.replace("'", "''"), _LINK
     uuid = lambda x: f"'<urn:uuid:' || regexp_replace(md5({x}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'"
     crlf = "chr(13) || chr(10)"
+    of_source = f" || 'sourceStatusLine: HTTP/1.1 200 OK' || {crlf} || 'sourceHeader: Content-Type: text/html; charset=utf-8' || {crlf} || 'sourceHeader: Content-Length: ' || strlen(payload) || {crlf}" if headers else ""
     return f"""
 with r as (select page_id, url, coalesce(html, '') as payload, {uuid("concat_ws('|', 'response', cast(page_id as varchar), url)")} as refers_to from pages),
 d as (select *, 'sha256:' || sha256(payload) as source_digest from r),
 b as (select *, 'metadata' as warc_type, 'application/warc-fields' as content_type,
-  'fetchStatus: 200' || {crlf} || 'sourceContentType: text/html; charset=utf-8' || {crlf} || 'sourceDigest: ' || source_digest || {crlf} || 'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, '{lang}', 1) || {crlf} || 'outlinkCount: ' || len(regexp_extract_all(payload, '{link}')) || {crlf} as block from d
+  'fetchStatus: 200' || {crlf} || 'sourceContentType: text/html; charset=utf-8' || {crlf} || 'sourceDigest: ' || source_digest || {crlf} || 'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, '{lang}', 1) || {crlf} || 'outlinkCount: ' || len(regexp_extract_all(payload, '{link}')) || {crlf}{of_source} as block from d
   union all select *, 'conversion', 'text/plain; charset=utf-8', {text} from d)
-select page_id, warc_type, {uuid("concat_ws('|', warc_type, refers_to)")} as record_id, refers_to, url as target_uri, '2024-01-01T00:00:00Z' as date, source_digest, content_type, cast(strlen(block) as bigint) as content_length, 'sha256:' || sha256(block) as block_digest from b"""
+select page_id, warc_type, {uuid("concat_ws('|', warc_type, refers_to)")} as record_id, refers_to, url as target_uri, '2024-01-01T00:00:00Z' as date, source_digest, content_type, cast(strlen(block) as bigint) as content_length, 'sha256:' || sha256(block) as block_digest{", block" if headers else ""} from b"""
