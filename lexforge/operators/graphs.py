@@ -20,8 +20,8 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded_slice(edges: DataFrame, starts: DataFrame, depth: int, most: int) -> DataFrame:
-    """(start, node, hop, rank): nodes within ``depth`` hops of each start, at most ``most`` of each.
+def bounded_slice(edges: DataFrame, starts: DataFrame, depth: int, most: int | None) -> DataFrame:
+    """(start, node, hop, rank): nodes within ``depth`` hops of each start, at most ``most`` of each (all without one).
 
     edges: (src, dst, rank), the best rank first; a node keeps the hop that reaches it first and its
     best rank there.  Hops are few, each one join with the frontier and one anti-join with what is seen.
@@ -33,6 +33,8 @@ def bounded_slice(edges: DataFrame, starts: DataFrame, depth: int, most: int) ->
         frontier = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hop"), "rank")
         seen = seen.unionByName(frontier)
     w = Window.partitionBy("start").orderBy("hop", "rank", "node")
+    if most is None:
+        return seen.filter("hop > 0")
     return seen.filter("hop > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
@@ -51,6 +53,31 @@ def name_edges(mentions: DataFrame, owners: DataFrame, most_owners: int = 6, des
     return scores.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")).alias("rank"))
 
 
+def named_slice(mentions: DataFrame, owners: DataFrame, starts: DataFrame, depth: int, most: int, most_owners: int = 6, designated: int = 2) -> DataFrame:
+    """(start, node, hop, rank, place): the bounded slice by names, where each hop designates anew.
+
+    As ``name_edges``, but a name designates the nearest files that the start's slice doesn't hold
+    yet, so edges depend on the start.  Hops are few; a full slice goes no further.
+    """
+    few = owners.distinct().join(owners.distinct().groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") <= most_owners), "key")
+    a, b = F.split("src", "/"), F.split("dst", "/")
+    same = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))
+    named = kept(mentions.join(few, "key").filter("src <> dst").select("src", "key", "n", "dst", same.alias("shared"), F.size(b).alias("deep")))
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("place")).distinct()
+    frontier = seen
+    for hop in range(1, depth + 1):
+        fresh = frontier.select("start", F.col("node").alias("src")).join(named, "src").join(seen.select("start", F.col("node").alias("dst")), ["start", "dst"], "left_anti")
+        near = Window.partitionBy("start", "src", "key").orderBy(F.desc("shared"), "deep", "dst")
+        scores = fresh.withColumn("p", F.row_number().over(near)).filter(F.col("p") <= designated).groupBy("start", "src", "dst").agg(F.sum("n").alias("score"))
+        ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("start", "src").orderBy(F.desc("score"), "dst")).cast("bigint"))
+        reached = ranked.groupBy("start", F.col("dst").alias("node")).agg(F.min("rank").alias("rank"))
+        held = seen.groupBy("start").agg(F.max("place").alias("held"))
+        place = F.col("held") + F.row_number().over(Window.partitionBy("start").orderBy("rank", "node"))
+        frontier = kept(reached.join(held, "start").select("start", "node", F.lit(hop).alias("hop"), "rank", place.alias("place")).filter(F.col("place") <= most))
+        seen = seen.unionByName(frontier)
+    return seen.filter("hop > 0")
+
+
 def complete_link_merge(pairs: DataFrame) -> DataFrame:
     """(id, keeper): items merged greedily, the most similar first, where groups have no common owner and all are alike.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import os
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge import catalog
-from lexforge.operators import ranking, retrieval
+from lexforge.operators import graphs, ranking, retrieval
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
@@ -78,3 +79,54 @@ def test_actors_past_the_first_five_hundred_resolve(spark, tmp_path):
     got = {x["id"]: x["resolved"] for x in catalog.QUERIES["actor_resolution_all"](spark, str(tmp_path)).collect()}
     assert got == {k: None if k % 3 == 2 else f"Customer#{k:09d}" for k in range(480, 640)}
     assert "500" not in catalog.ORACLE_SQL["actor_resolution_all"]
+
+
+def plain_slice(mentions, owners, start, depth, most):
+    """The reference's walk: names of at most six files, the two nearest that aren't seen, best ranks first."""
+    seen, frontier, out = {start}, [start], []
+    for hop in range(1, depth + 1):
+        best = {}
+        for src in frontier:
+            scores = collections.Counter()
+            for key, n in mentions.get(src, {}).items():
+                files = owners.get(key, set())
+                if len(files) <= 6:
+                    near = sorted(files - seen - {src}, key=lambda f: (-len(os.path.commonprefix([src.split("/"), f.split("/")])), f.count("/"), f))
+                    for f in near[:2]:
+                        scores[f] += n
+            for rank, f in enumerate(sorted(scores, key=lambda f: (-scores[f], f)), 1):
+                best[f] = min(rank, best.get(f, rank))
+        frontier = sorted(best, key=lambda f: (best[f], f))[: most - len(out)]
+        out += [(f, hop) for f in frontier]
+        seen |= set(frontier)
+        if len(out) >= most:
+            break
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 8, 1000])
+def test_slices_equal_the_plain_walk(spark, most):
+    r = random.Random(6)
+    files = [f"{r.choice('ab')}/{'x/' * r.randrange(3)}f{i}" for i in range(40)]
+    mentions = {f: {f"k{k}": r.randrange(1, 5) for k in r.sample(range(30), 4)} for f in files}
+    owners = {f"k{k}": set(r.sample(files, r.choice([1, 2, 3, 5, 6, 7]))) for k in range(30)}
+    m = spark.createDataFrame([(f, k, n) for f, ks in mentions.items() for k, n in ks.items()], "src string, key string, n int")
+    o = spark.createDataFrame([(k, f) for k, fs in owners.items() for f in fs], "key string, dst string")
+    got = graphs.named_slice(m, o, spark.createDataFrame([(f,) for f in files], "start string"), 2, most).collect()
+    want = {(f, n, hop, place) for f in files for place, (n, hop) in enumerate(plain_slice(mentions, owners, f, 2, most), 1)}
+    assert {(x["start"], x["node"], x["hop"], x["place"]) for x in got} == want and any(x[2] == 2 for x in want)
+
+
+def test_slice_reach_starts_from_all_files_and_knows_all_owners(spark, tmp_path):
+    texts = [(1, "alpha shared", "src2"), (2, "alpha other", "src2"), (3, "alpha third", "src3"), (4, "other lonely", "src3")]
+    spark.createDataFrame([(i, t, s, "en") for i, t, s in texts], "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x["start"], x["node"], x["hop"]) for x in catalog.QUERIES["slice_reach"](spark, str(tmp_path)).collect()}
+    name = {i: f"src/{s}/en/d{i}" for i, _, s in texts}
+    assert got == {(name[a], name[b], h) for a, b, h in [(1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 1, 1), (2, 3, 1), (2, 4, 1), (3, 1, 1), (3, 2, 1), (3, 4, 2), (4, 2, 1), (4, 1, 2), (4, 3, 2)]}
+
+
+def test_reach_takes_all_rows_and_two_hops(spark, tmp_path):
+    rows = [(1, 10, 1), (2, 10, 1), (2, 11, 50), (3, 11, 50), (3, 12, 2), (4, 12, 2), (5, 13, 9)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {x["start"]: x["reached"] for x in catalog.QUERIES["bounded_reach_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 3, 3: 3, 4: 2}
