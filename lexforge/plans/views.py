@@ -20,6 +20,8 @@ query("json_answers", "select event_id, json_extract_string(props, '$.k')::int a
     lambda t: t.events.select("event_id", F.get_json_object(D.json_answer(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))), "$.k").cast("int").alias("k"))
 )
 query("part_markers", "select doc_id, left(text, 30) as plain from documents")(lambda t: t.documents.select("doc_id", D.without_part_marker(D.part_marker(F.lit(2), F.lit(3), F.left("text", F.lit(30)))).alias("plain")))
+# part_markers takes prefixes, as its SQL does; this takes whole texts.
+query("part_markers_all", "select doc_id, text as plain from documents")(lambda t: t.documents.select("doc_id", D.without_part_marker(D.part_marker(F.lit(2), F.lit(3), F.col("text"))).alias("plain")))
 query("line_window", r"select doc_id, list_transform(string_split(text, chr(10))[2:4], lambda x: left(x, 400)) as lines from documents")(lambda t: t.documents.select("doc_id", D.line_window(F.col("text"), 2, 4).alias("lines")))
 query("chunks")(lambda t: D.chunks(t.documents, "doc_id", "text", 1000, 1_000_000))
 query("static_segments", r"with s as (select page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') as p from pages) select page_id, list_filter(list_transform(p, lambda x, i: case when regexp_matches(x, '^[:{<*]') then '*' when i = len(p) then string_split(x, '.')[1] else x end), lambda x: x <> '*' and not regexp_matches(x, '^v[0-9]+$')) as segments from s")(

@@ -130,3 +130,9 @@ def test_reach_takes_all_rows_and_two_hops(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {x["start"]: x["reached"] for x in catalog.QUERIES["bounded_reach_all"](spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: 3, 3: 3, 4: 2}
+
+
+def test_part_markers_keep_whole_texts(spark, tmp_path):
+    texts = [(1, "(part 1/2) " + "long " * 40), (2, " line\n" * 30), (3, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x["doc_id"]: x["plain"] for x in catalog.QUERIES["part_markers_all"](spark, str(tmp_path)).collect()} == dict(texts)
