@@ -2,12 +2,14 @@
 
 Arrow hands a batch's texts over as one UTF-8 buffer with offsets.  Everything here works on
 slices of about ``CHUNK`` bytes of that buffer, so memory stays bounded whatever the batch holds
-(one longer document makes one longer slice).  Substring hashes are polynomial in the bytes
-modulo 2**64 with a final mix: two different strings agree with probability about 2**-64.
+(one longer document makes one longer slice).  Substring hashes have 64 bits and mix eight bytes at
+a time without an algebraic structure that texts could meet; where a wrong match would write wrong
+output (tokens, removed bytes), the operators compare the bytes themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,36 +17,24 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_rng = np.random.Generator(np.random.PCG64(20240607))
-#: Random odd weights of the 256 bytes.
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
+#: Strings longer than this are hashed one by one, so that a round of lanes isn't spent on few of them.
+LONG_STRING = 4096
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: The separators of words: space and \\x09 to \\x0D.
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) <= n:
-        size = 1 << int(n).bit_length()
-        p, q = np.full(size, _BASE, np.uint64), np.full(size, _BASE_INV, np.uint64)
-        p[0] = q[0] = 1
-        _pow, _inv = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-    return _pow, _inv
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    shifted = h >> np.uint64(32)
+    h = h ^ shifted
+    for _ in range(2):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        np.right_shift(h, np.uint64(32), out=shifted)
+        h ^= shifted
     return h
 
 
@@ -57,37 +47,63 @@ class Chunk:
     buf: np.ndarray
     offs: np.ndarray
 
-    def hasher(self, table: np.ndarray | None = None) -> Hasher:
-        return Hasher(self.buf, table)
+    def hasher(self, fold: np.ndarray | None = None) -> Hasher:
+        return Hasher(self.buf if fold is None else fold[self.buf])
 
 
-class Hasher:
-    """Hashes of any substrings of a byte array; ``table`` maps bytes to weights (equal weights make bytes equal)."""
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One value of two, in this order."""
+    out = a * _ODD
+    out ^= out >> np.uint64(29)
+    out += b
+    return mix(out)
 
-    def __init__(self, buf: np.ndarray, table: np.ndarray | None = None):
-        p, self.inv = _powers(len(buf))
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((_BYTE if table is None else table)[buf] * p[: len(buf)], out=self.sums[1:])
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inv[start]
+class Hasher:
+    """Hashes of any substrings of a byte array, by their bytes alone."""
+
+    def __init__(self, buf: np.ndarray):
+        self.buf = buf
+        self.padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        #: The eight bytes from each place on, as one value.
+        self.lanes = np.ndarray(len(buf) + 1, "<u8", self.padded.data, 0, (1,))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        """Eight bytes a round go through a non-linear mix, so no family of strings collides by its structure."""
+        length = end - start
+        out = mix(length.astype(np.uint64) * _ODD + np.uint64(1))
+        big = np.flatnonzero(length > LONG_STRING)
+        at = np.flatnonzero((length > 0) & (length <= LONG_STRING))
+        place, left = start[at], length[at]
+        while len(at):
+            out[at] = mix(out[at] ^ (self.lanes[place] & _MASKS[np.minimum(left, 8)])) + _ODD
+            more = left > 8
+            at, place, left = at[more], place[more] + 8, left[more] - 8
+        for i in big.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
     def every(self, k: int) -> np.ndarray:
-        """Hashes of all substrings of k bytes, by start."""
-        n = len(self.sums) - 1 - k + 1
+        """Hashes of all substrings of k bytes (eight or more), by start."""
+        n = len(self.buf) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[k : k + n] - self.sums[:n]) * self.inv[:n])
+        out = np.empty(n, np.uint64)
+        for lo in range(0, n, 1 << 15):  # pieces that stay in the cache
+            hi = min(n, lo + (1 << 15))
+            part, size = mix(self.lanes[lo : hi + k - 8] + _ODD), 8
+            while size * 2 <= k:
+                part = _folded(part[:-size], part[size:])
+                size *= 2
+            out[lo:hi] = part if size == k else _folded(part[: hi - lo], part[k - size :])
+        return out
 
 
 def fold_table(fold: dict[int, int]) -> np.ndarray:
-    """Byte weights in which each key byte counts as its value."""
-    t = _BYTE.copy()
+    """A table of bytes in which each key byte counts as its value."""
+    t = np.arange(256, dtype=np.uint8)
     for k, v in fold.items():
-        t[k] = _BYTE[v]
+        t[k] = v
     return t
 
 
@@ -140,10 +156,12 @@ def spans(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    p, q = _powers(len(hashes))
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * p[: len(hashes)], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * q[:n])
+    out = hashes[:n] * _ODD
+    for j in range(1, k):
+        out ^= out >> np.uint64(31)
+        out += hashes[j : j + n]
+        out *= _ODD
+    return mix(out)
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
