@@ -1,16 +1,21 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Pre-tokens of the GPT-2 kind of pattern are found on whole byte buffers (runs of letters,
-numbers, white space and the rest), never match by match.  Documents are dealt into batches by a
-hash; each batch names its distinct words once and sends them, packed by word bucket, through one
-shuffle.  A bucket holds every occurrence of a word, so each distinct word is merged once; its ids
-go back to the batches that asked, and a batch puts its documents together again by position.
-Texts and packs are compressed before each shuffle.  Decoding gathers bytes from the token table.
+numbers, white space and the rest), once for each text.  A batch of documents is exploded into
+positions: each document keeps, position by position, the number of its word among the batch's
+distinct words; each distinct word of the batch is a row (batch, word number, bytes).  These rows
+are written once.  Spark groups the words by their bytes, each distinct word of the corpus is
+merged once, its ids are joined back to (batch, word number), and a batch puts its documents
+together again by position.  Decoding works alike: a batch names its distinct ids, the table of
+token bytes is joined on the id, and the documents' bytes are put together by position.
+
+Words meet by their bytes, never by a hash alone.  A batch holds ``BATCH_BYTES`` of text or one
+longer document, so batches grow in number with the input, not in size.
 
 Defined results: a null text is an empty one (no ids, empty bytes); repeated rows give repeated
-rows; an empty table gives an empty result.  ``carry`` columns come along unchanged, and the
-columns ``ids`` (unsigned 32-bit, little endian) and ``decoded`` are added under names of your
-choice, so clashing input columns can be left out or renamed by the caller.
+rows; an empty table gives an empty result; a very long text is a batch of its own.  ``carry``
+columns come along unchanged, and the columns ``ids`` (unsigned 32-bit, little endian) and
+``decoded`` are added under names of your choice, which the carried columns must not have.
 """
 
 from __future__ import annotations
@@ -27,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import bound_batches, partitions, text_bytes
+from lexforge.llm.shared import bound_batches, stored
 
 #: Text of one batch: what one task holds while it reassembles documents.
-BATCH_BYTES = 10 << 20
-#: A batch deals its words to this many buckets at most, so that packs don't become tiny.
-MOST_BUCKETS = 4096
+BATCH_BYTES = 8 << 20
+#: Tokens up to which the table of their bytes may be broadcast; beyond, Spark shuffles it.
+BROADCAST_TOKENS = 1_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
@@ -44,22 +49,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 @functools.cache
 def merger(path: str):
-    """Bytes of one pre-token -> ids."""
+    """One pre-token -> ids.  The library's own pattern takes the whole word, so only merges are left to do."""
     import tiktoken
 
-    core = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path), special_tokens={})
-    return core._core_bpe.encode_single_piece
-
-
-@functools.cache
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' bytes one after another, with each id's start and length (bounded by the vocabulary)."""
-    ranks = load_ranks(path)
-    by_id = [b""] * (max(ranks.values()) + 1)
-    for k, v in ranks.items():
-        by_id[v] = k
-    length = np.array([len(x) for x in by_id], np.int64)
-    return np.frombuffer(b"".join(by_id), np.uint8), np.concatenate([[0], np.cumsum(length)[:-1]]), length
+    return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
 
 
 @functools.cache
@@ -136,186 +129,198 @@ def pretokens(c: bv.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n), np.searchsorted(starts, offs)
 
 
-_PACK = pa.schema([("part", pa.int32()), ("kind", pa.int8()), ("bucket", pa.int32()), ("data", pa.binary())])
-_PACK_DDL = "part int, kind tinyint, bucket int, data binary"
+def _groups(batches: Iterator[pa.RecordBatch], at: int, limit: int) -> Iterator[pa.Table]:
+    """Rows of this partition in groups of about ``limit`` bytes of column ``at``."""
+    held, size = [], 0
+    for batch in batches:
+        offs = bv.buffers(batch.column(at))[1]
+        lo = 0
+        while lo < batch.num_rows:
+            hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit - size, "right")) - 1))
+            if held and size + offs[hi] - offs[lo] > limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                continue
+            held.append(batch.slice(lo, hi - lo))
+            size += int(offs[hi] - offs[lo])
+            lo = hi
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _zip(*arrays: np.ndarray | bytes) -> bytes:
-    raw = [bytes(x) if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
-    head = np.array([len(raw), *map(len, raw)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
 
 
-def _unzip(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:8], "little")
-    sizes = np.frombuffer(raw, np.int64, n, 8)
-    at, out = 8 + 8 * n, []
-    for s in sizes.tolist():
-        out.append(raw[at : at + s])
-        at += s
-    return out
+def _expand(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _packs(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, _PACK, strict=True)], schema=_PACK)
+def _binary(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
-def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, carried columns, text) -> one compressed Arrow table for each part in a batch of rows."""
-    for batch in batches:
-        part = batch.column(0).to_numpy()
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        held = pa.Table.from_batches([batch]).drop_columns(["part"])
-        rows = []
-        for group in np.split(order, cuts):
-            if len(group):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, held.schema) as w:
-                    w.write_table(held.take(pa.array(group)))
-                rows.append((int(part[group[0]]), 0, 0, _zip(sink.getvalue().to_pybytes())))
-                if sum(len(r[3]) for r in rows) > 8 << 20:
-                    yield _packs(rows)
-                    rows = []
-        if rows:
-            yield _packs(rows)
-
-
-def _tokens(tables: list[pa.Table]) -> tuple[list[tuple], np.ndarray, np.ndarray, bytes]:
-    """Each slice's (table, documents, positions among its distinct words, documents' firsts), and the distinct words of all: hashes in order, lengths, bytes."""
-    pieces, found = [], []
-    for t, tab in enumerate(tables):
-        for c in bv.chunks(tab.column("text")):
-            starts, ends, first = pretokens(c)
-            h = c.hasher().of(starts, ends)
-            u, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            pieces.append((t, c.lo, c.hi, u, inverse.astype(np.int32), first))
-            length = ends[at] - starts[at]
-            found.append((u, length, c.buf[bv.ragged(starts[at], length)]))
-    if not found:
-        return pieces, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    u, at = np.unique(np.concatenate([x[0] for x in found]), return_index=True)
-    length = np.concatenate([x[1] for x in found])
-    begin = np.concatenate([[0], np.cumsum(length)[:-1]])
-    return pieces, u, length[at], np.concatenate([x[2] for x in found])[bv.ragged(begin[at], length[at])]
-
-
-def _read_docs(packs: list[bytes]) -> list[pa.Table]:
-    return [pa.ipc.open_stream(_unzip(x)[0]).read_all() for x in packs]
-
-
-def _bucket_cuts(u: np.ndarray, buckets: int) -> np.ndarray:
-    """Words are in order of their hashes; a bucket is a range of these."""
-    width = (1 << 64) // buckets + 1
-    return np.searchsorted(u, np.array([min(i * width, (1 << 64) - 1) for i in range(1, buckets)], np.uint64))
-
-
-def _name_words(buckets: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = [x for b in batches for x in b.column(3).to_pylist()]
-        _, u, length, data = _tokens(_read_docs(packs))
-        cuts = np.concatenate([[0], _bucket_cuts(u, buckets), [len(u)]])
-        begin = np.concatenate([[0], np.cumsum(length)])
-        rows = [(key[0].as_py(), 1, b, _zip(length[i:j].astype(np.uint32), data[begin[i] : begin[j]])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-        yield _packs(rows)
+def distinct_strings(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of (bytes, starts, ends) of some buffers: each string's number among the distinct ones, and these one after another with their offsets.
+
+    Strings are sorted by hash; those with equal hashes are compared byte by byte, and where any two
+    differ the strings themselves are numbered.
+    """
+    hashes = [bv.Hasher(buf).of(s, e) for buf, s, e in tokens]
+    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    _, at, number = np.unique(every, return_index=True, return_inverse=True)
+    cut = np.cumsum([0, *map(len, hashes)])
+    numbers = [number[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    length = np.concatenate([e - s for _, s, e in tokens])[at] if tokens else np.zeros(0, np.int64)
+    offs = np.concatenate([[0], np.cumsum(length)])
+    data = np.zeros(int(offs[-1]), np.uint8)
+    for (buf, s, _), a, b in zip(tokens, cut[:-1], cut[1:], strict=True):
+        mine = np.flatnonzero((at >= a) & (at < b))
+        data[bv.ragged(offs[mine], length[mine])] = buf[bv.ragged(s[at[mine] - a], length[mine])]
+    for (buf, s, e), n in zip(tokens, numbers, strict=True):
+        if not _same_bytes(buf, s, e, data, offs, n):
+            return _by_bytes(tokens)
+    return numbers, data, offs
+
+
+def _same_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, offs: np.ndarray, number: np.ndarray) -> bool:
+    """Whether every string equals the one that its number stands for."""
+    if ((end - start) != (offs[number + 1] - offs[number])).any():
+        return False
+    a, b = bv.Hasher(buf).lanes, bv.Hasher(data).lanes
+    x, y, left = start, offs[number], end - start
+    while len(x):
+        unlike = (a[x] ^ b[y]) & bv.MASKS[np.minimum(left, 8)]
+        if unlike.any():
+            return False
+        more = left > 8
+        x, y, left = x[more] + 8, y[more] + 8, left[more] - 8
+    return True
+
+
+def _by_bytes(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    known: dict[bytes, int] = {}
+    numbers = [np.array([known.setdefault(buf[a:b].tobytes(), len(known)) for a, b in zip(s.tolist(), e.tolist(), strict=True)], np.int64) for buf, s, e in tokens]
+    return numbers, np.frombuffer(b"".join(known), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in known])]).astype(np.int64)
+
+
+def _batch_name(n: int) -> int:
+    """A number of this partition's n-th batch that no other has."""
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 32 | n
+
+
+def _exploded(limit: int, names: list[str]):
+    """Rows (carried columns, text) -> (batch, number, carried columns, data): a document's word numbers by position (number null), or a distinct word's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, held in enumerate(_groups(batches, len(names), limit)):
+            tokens, docs = [], []
+            for c in bv.chunks(held.column("text")):
+                starts, ends, first = pretokens(c)
+                tokens.append((c.buf, starts, ends))
+                docs.append((c.lo, first))
+            numbers, data, offs = distinct_strings(tokens)
+            batch, positions = _batch_name(k), []
+            for (_, first), n in zip(docs, numbers, strict=True):
+                own = n.astype("<u4")
+                positions += [_squeeze(own[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            carried = [held.column(x).combine_chunks() for x in names]
+            carried = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in carried]
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * held.num_rows, pa.int64()), pa.nulls(held.num_rows, pa.int32()), *carried, pa.array(positions, pa.binary())], names=["batch", "number", *names, "data"])
+            words = len(offs) - 1
+            for lo in range(0, words, 50_000):
+                hi = min(words, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, batch, np.int64)), pa.array(np.arange(lo, hi, dtype=np.int32)), *(pa.nulls(hi - lo, x.type) for x in carried), _binary(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])], names=["batch", "number", *names, "data"])
 
     return run
 
 
-def _encode_words(ranks_path: str):
+def _merged(ranks_path: str):
+    """Distinct words -> their ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, known = merger(ranks_path), {}
+        merge = merger(ranks_path)
         for batch in batches:
-            rows = []
-            for part, _, bucket, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sizes, data = _unzip(pack)
-                at, ids, counts = 0, [], []
-                for s in np.frombuffer(sizes, np.uint32).tolist():
-                    w = data[at : at + s]
-                    at += s
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = merge(w)
-                    ids += got
-                    counts.append(len(got))
-                rows.append((part, 1, bucket, _zip(np.array(counts, np.uint32), np.array(ids, np.uint32))))
-                if len(known) > 1_000_000:  # words come again, so that only costs time
-                    known.clear()
-            yield _packs(rows)
+            ids = [np.array(merge(w.decode()), "<u4").tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "piece"])
 
     return run
 
 
-def _reassemble(ids_col: str):
-    def run(docs: pa.Table, ids: pa.Table) -> pa.Table:
-        tables = _read_docs(docs.column("data").to_pylist())
-        pieces, u, _, _ = _tokens(tables)
-        parts = [_unzip(x) for x in ids.sort_by("bucket").column("data").to_pylist()]
-        count = np.frombuffer(b"".join(x[0] for x in parts), np.uint32).astype(np.int64)
-        flat = np.frombuffer(b"".join(x[1] for x in parts), np.uint32)
-        assert len(count) == len(u), "a batch and its words don't agree"
-        begin = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else np.zeros(0, np.int64)
+def _assembled(names: list[str], out_col: str):
+    """A batch's documents (positions) and numbered pieces -> documents with the pieces of their positions in a row."""
+
+    def run(docs: pa.Table, pieces: pa.Table) -> pa.Table:
+        raw, offs = bv.buffers(pieces.column("piece"))
+        number = pieces.column("number").to_numpy()
+        begin, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        begin[number], size[number] = offs[:-1], np.diff(offs)
         made = []
-        for t, lo, hi, own, inverse, first in pieces:
-            word = np.searchsorted(u, own)[inverse]
-            size = count[word]
-            out = flat[bv.ragged(begin[word], size)]
-            ends = np.concatenate([[0], np.cumsum(size)])[first] * 4
-            held = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out.astype("<u4"))])
-            made.append(tables[t].slice(lo, hi - lo).drop_columns(["text"]).append_column(ids_col, held.cast(pa.binary())))
-        return pa.concat_tables(made)
+        for data in docs.column("data").to_pylist():
+            n = _expand(data, "<u4")
+            made.append(raw[bv.ragged(begin[n], size[n])].tobytes())
+        return docs.select(names).append_column(out_col, pa.array(made, pa.binary()))
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``carry`` columns plus the ids of each whole text, as little-endian unsigned 32-bit integers.
+def _put_together(rows: DataFrame, pieces: DataFrame, names: list[str], out_col: str) -> DataFrame:
+    docs = rows.filter("number is null").select("batch", *names, "data")
+    kinds = "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in names)
+    return docs.groupBy("batch").cogroup(pieces.groupBy("part")).applyInArrow(_assembled(names, out_col), f"{kinds}`{out_col}` binary")
 
-    Batches grow in number with the input (``batch_bytes`` of text each, and no fewer than the
-    session's shuffle partitions), so no task holds more than a batch or a bucket of words.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    parts = max(partitions(spark), -(-text_bytes(docs, text_col) // batch_bytes))
-    buckets = max(1, min(MOST_BUCKETS, parts))
+
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """``carry`` columns plus the ids of each whole text, as little-endian unsigned 32-bit integers."""
+    bound_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carry))]
-    dealt = docs.select(F.pmod(F.xxhash64(*[F.col(c) for c in carry], F.length(text_col)), F.lit(parts)).cast("int").alias("part"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = dealt.mapInArrow(_pack_docs, _PACK_DDL)
-    asked = packed.groupBy("part").applyInArrow(_name_words(buckets), _PACK_DDL)
-    answered = asked.repartition(min(buckets, 8 * partitions(spark)), "bucket").mapInArrow(_encode_words(ranks_path), _PACK_DDL)
-    kinds = ", ".join(f"`{n}` {dealt.schema[n].dataType.simpleString()}" for n in names)
-    # Both readers of the packed documents share one exchange.
-    out = packed.groupBy("part").cogroup(answered.groupBy("part")).applyInArrow(_reassemble("__ids"), (kinds + ", " if names else "") + "`__ids` binary")
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
+    exploded = stored(rows.mapInArrow(_exploded(batch_bytes, names), f"batch bigint, number int, {kinds}data binary"))
+    words = exploded.filter("number is not null").select("batch", "number", F.col("data").alias("word"))
+    merged = words.select("word").distinct().mapInArrow(_merged(ranks_path), "word binary, piece binary")
+    pieces = words.join(merged, "word").select(F.col("batch").alias("part"), "number", "piece")
+    out = _put_together(exploded, pieces, names, "__ids")
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("__ids").alias(ids_col))
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for; a null row of ids gives null."""
-    at = encoded.columns.index(ids_col)
+def token_table(spark, ranks_path: str) -> DataFrame:
+    """(id, piece): the bytes of each token."""
+    return spark.createDataFrame(pa.table({"id": pa.array(list(load_ranks(ranks_path).values()), pa.int64()), "piece": pa.array(list(load_ranks(ranks_path)), pa.binary())}))
+
+
+def _named_ids(limit: int, names: list[str]):
+    """Rows (carried columns, ids) -> as ``_exploded``, with ids in place of words; a null row of ids has null data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, begin, length = token_bytes(ranks_path)
-        for batch in batches:
-            lo = 0
-            offs = bv.buffers(batch.column(at))[1]
-            while lo < batch.num_rows:
-                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + (4 << 20), "right")) - 1))
-                part = batch.slice(lo, hi - lo)
-                raw, o = bv.buffers(part.column(at))
-                ids = raw[o[0] : o[-1]].view("<u4")
-                size = length[ids]
-                out = data[bv.ragged(begin[ids], size)]
-                ends = np.concatenate([[0], np.cumsum(size)])[(o - o[0]) // 4].astype(np.int64)
-                mask = part.column(at).is_valid()
-                held = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(out)]).cast(pa.binary())
-                if part.column(at).null_count:
-                    import pyarrow.compute as pc
-
-                    held = pc.if_else(mask, held, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, held], names=[*batch.schema.names, out_col])
-                lo = hi
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, `{out_col}` binary")
+        for k, held in enumerate(_groups(batches, len(names), limit)):
+            raw, offs = bv.buffers(held.column("ids"))
+            distinct, number = np.unique(raw[offs[0] : offs[-1]].view("<u4"), return_inverse=True)
+            cut, own = (offs - offs[0]) // 4, number.astype("<u4")
+            positions = [_squeeze(own[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            carried = [held.column(x).combine_chunks() for x in names]
+            carried = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in carried]
+            n, batch = len(distinct), _batch_name(k)
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * held.num_rows, pa.int64()), pa.nulls(held.num_rows, pa.int32()), pa.nulls(held.num_rows, pa.int64()), *carried, pa.array(positions, pa.binary())], names=["batch", "number", "id", *names, "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(distinct.astype(np.int64)), *(pa.nulls(n, x.type) for x in carried), pa.nulls(n, pa.binary())], names=["batch", "number", "id", *names, "data"])
+
+    return run
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """All columns plus the bytes that the ids stand for; null ids give null.  An id that the vocabulary lacks is an error."""
+    spark = encoded.sparkSession
+    bound_batches(spark)
+    names = [f"c{i}" for i in range(len(encoded.columns))]
+    rows = encoded.toDF(*names)
+    mine = names[encoded.columns.index(ids_col)]
+    kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
+    named = stored(rows.withColumn("ids", F.coalesce(mine, F.lit(b""))).mapInArrow(_named_ids(batch_bytes, names), f"batch bigint, number int, id bigint, {kinds}data binary"))
+    table = token_table(spark, ranks_path)
+    table = F.broadcast(table) if len(load_ranks(ranks_path)) <= BROADCAST_TOKENS else table
+    known = named.filter("number is not null").select("batch", "number", "id").join(table, "id", "left")
+    pieces = known.select(F.col("batch").alias("part"), "number", F.when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no such token: "), F.col("id")))).otherwise(F.col("piece")).alias("piece"))
+    out = _put_together(named, pieces, names, "__out")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(encoded.columns, names, strict=True)], F.when(F.col(mine).isNotNull(), F.col("__out")).alias(out_col))

@@ -20,7 +20,7 @@ CHUNK = 1 << 20
 #: Strings longer than this are hashed one by one, so that a round of lanes isn't spent on few of them.
 LONG_STRING = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: The separators of words: space and \\x09 to \\x0D.
 ASCII_SPACE = np.zeros(256, bool)
@@ -76,7 +76,7 @@ class Hasher:
         at = np.flatnonzero((length > 0) & (length <= LONG_STRING))
         place, left = start[at], length[at]
         while len(at):
-            out[at] = mix(out[at] ^ (self.lanes[place] & _MASKS[np.minimum(left, 8)])) + _ODD
+            out[at] = mix(out[at] ^ (self.lanes[place] & MASKS[np.minimum(left, 8)])) + _ODD
             more = left > 8
             at, place, left = at[more], place[more] + 8, left[more] - 8
         for i in big.tolist():

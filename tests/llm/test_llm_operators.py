@@ -36,6 +36,45 @@ def empty(spark):
     return spark.createDataFrame([], DDL)
 
 
+def thue_morse(rounds):
+    """Two strings that agree under every polynomial hash modulo a power of two."""
+    a, b = "a", "b"
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_stay_apart(spark):
+    a, b = thue_morse(11)
+    rows = spark.createDataFrame([(1, f"{a} {b}"), (2, f"{b} {a} {a}"), (3, f"{a}\n{b}\n{a}")], "doc_id bigint, text string")
+    path = queries_tokens.vocabulary()
+    for batch in (1, 1 << 20):
+        got = bpe.decode(bpe.encode(rows, path, batch_bytes=batch), path, batch_bytes=batch).collect()
+        assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in got} == {1: f"{a} {b}", 2: f"{b} {a} {a}", 3: f"{a}\n{b}\n{a}"}
+    weights = (np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2)))
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.judge(rows, weights).collect()} == {1: 0, 2: 0, 3: 1}
+    assert {r["n_links"] for r in near.jaccard_join(rows).collect()} == {0}
+    cut = {r["doc_id"]: tuple(r)[1:4] for r in substrings.remove_repeats(rows).collect()}
+    assert cut == {i + 1: x[:3] for i, x in enumerate(brute_repeats([r["text"].encode() for r in rows.orderBy("doc_id").collect()], 200))}
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe.bv.Hasher, "of", lambda self, s, e: np.zeros(len(s), np.uint64))
+    buf = np.frombuffer(b"onetwotwoone", np.uint8)
+    numbers, data, offs = bpe.distinct_strings([(buf, np.array([0, 3, 6, 9]), np.array([3, 6, 9, 12]))])
+    assert numbers[0].tolist() == [0, 1, 1, 0] and data.tobytes() == b"onetwo" and offs.tolist() == [0, 3, 6]
+
+
+def test_decoding_of_any_ids(spark):
+    path = queries_tokens.vocabulary()
+    rows = spark.createDataFrame([(1, np.array([5, 5, 900], "<u4").tobytes()), (2, None), (3, b"")], "doc_id bigint, ids binary")
+    by_id = {v: k for k, v in bpe.load_ranks(path).items()}
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(rows, path).collect()}
+    assert got == {1: by_id[5] * 2 + by_id[900], 2: None, 3: b""}
+    with pytest.raises(Exception, match="no such token"):
+        bpe.decode(spark.createDataFrame([(1, b"\xff\xff\xff\x7f")], "doc_id bigint, ids binary"), path).collect()
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     path = queries_tokens.vocabulary()
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
