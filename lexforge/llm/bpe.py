@@ -2,20 +2,21 @@
 
 Pre-tokens of the GPT-2 kind of pattern are found on whole byte buffers (runs of letters,
 numbers, white space and the rest), once for each text.  A batch of documents is exploded into
-positions: each document keeps, position by position, the number of its word among the batch's
-distinct words; each distinct word of the batch is a row (batch, word number, bytes).  These rows
-are written once.  Spark groups the words by their bytes, each distinct word of the corpus is
-merged once, its ids are joined back to (batch, word number), and a batch puts its documents
-together again by position.  Decoding works alike: a batch names its distinct ids, the table of
-token bytes is joined on the id, and the documents' bytes are put together by position.
+positions, each of which holds the rank of its word among the batch's distinct words; the distinct
+words themselves go to buckets by their hash.  Both are written once, compressed.  A bucket holds
+every occurrence of a word, so each distinct word of the corpus is merged once; its ids are joined
+back to the batches that asked, and a batch puts its documents together again by position.
+Decoding explodes the ids by position, joins the table of token bytes (broadcast, its size is
+checked) and puts the pieces of each document, which stay together in their order, in a row.
 
 Words meet by their bytes, never by a hash alone.  A batch holds ``BATCH_BYTES`` of text or one
-longer document, so batches grow in number with the input, not in size.
+longer document, a bucket the words of ``BUCKET_BYTES`` of text: both grow in number with the
+input, not in size.
 
 Defined results: a null text is an empty one (no ids, empty bytes); repeated rows give repeated
 rows; an empty table gives an empty result; a very long text is a batch of its own.  ``carry``
-columns come along unchanged, and the columns ``ids`` (unsigned 32-bit, little endian) and
-``decoded`` are added under names of your choice, which the carried columns must not have.
+columns come along unchanged, and the columns ``ids`` and ``decoded`` are added under names of your
+choice, which the carried columns must not have.
 """
 
 from __future__ import annotations
@@ -28,16 +29,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import bound_batches, stored
+from lexforge.llm.shared import bound_batches, stored, text_bytes
 
-#: Text of one batch: what one task holds while it reassembles documents.
-BATCH_BYTES = 8 << 20
-#: Tokens up to which the table of their bytes may be broadcast; beyond, Spark shuffles it.
-BROADCAST_TOKENS = 1_000_000
+#: Text of one batch (what one task holds while it reassembles documents), and text whose words make a bucket.
+BATCH_BYTES, BUCKET_BYTES = 12 << 20, 128 << 20
+#: The most tokens of a vocabulary whose bytes may be broadcast.
+MOST_TOKENS = 1_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
 
@@ -148,16 +149,17 @@ def _groups(batches: Iterator[pa.RecordBatch], at: int, limit: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of bytes, compressed together."""
+    raw = [bytes(x) if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw))
 
 
-def _expand(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def _binary(data: np.ndarray, offs: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+def _unpack(data: bytes) -> list[memoryview]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    n = int.from_bytes(raw[:8], "little")
+    cuts = np.cumsum([8 + 8 * n, *np.frombuffer(raw, np.int64, n, 8).tolist()]).tolist()
+    return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def distinct_strings(tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -211,116 +213,177 @@ def _batch_name(n: int) -> int:
     return TaskContext.get().partitionId() << 32 | n
 
 
-def _exploded(limit: int, names: list[str]):
-    """Rows (carried columns, text) -> (batch, number, carried columns, data): a document's word numbers by position (number null), or a distinct word's bytes."""
+_PACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+_PACK_DDL = "batch bigint, bucket int, data binary"
+
+
+def _packs(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, _PACK, strict=True)], schema=_PACK)
+
+
+def _exploded(limit: int, buckets: int, text_at: int):
+    """Documents -> a row a batch (bucket null): carried columns, words a document, words by position (as ranks by frequency, a byte of each rank after another), each rank's bucket; and a row for each bucket of its distinct words: lengths, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, held in enumerate(_groups(batches, len(names), limit)):
-            tokens, docs = [], []
+        for k, held in enumerate(_groups(batches, text_at, limit)):
+            tokens, counts = [], []
             for c in bv.chunks(held.column("text")):
                 starts, ends, first = pretokens(c)
                 tokens.append((c.buf, starts, ends))
-                docs.append((c.lo, first))
+                counts.append(np.diff(first))
             numbers, data, offs = distinct_strings(tokens)
-            batch, positions = _batch_name(k), []
-            for (_, first), n in zip(docs, numbers, strict=True):
-                own = n.astype("<u4")
-                positions += [_squeeze(own[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            carried = [held.column(x).combine_chunks() for x in names]
-            carried = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in carried]
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * held.num_rows, pa.int64()), pa.nulls(held.num_rows, pa.int32()), *carried, pa.array(positions, pa.binary())], names=["batch", "number", *names, "data"])
-            words = len(offs) - 1
-            for lo in range(0, words, 50_000):
-                hi = min(words, lo + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, batch, np.int64)), pa.array(np.arange(lo, hi, dtype=np.int32)), *(pa.nulls(hi - lo, x.type) for x in carried), _binary(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])], names=["batch", "number", *names, "data"])
+            number, n = np.concatenate(numbers) if numbers else np.zeros(0, np.int64), len(offs) - 1
+            frequent = np.argsort(-np.bincount(number, minlength=n), kind="stable")
+            rank = np.empty(n, np.uint32)
+            rank[frequent] = np.arange(n, dtype=np.uint32)
+            planes = rank[number].astype("<u4").view(np.uint8).reshape(-1, 4)
+            length, start = np.diff(offs)[frequent], offs[:-1][frequent]
+            bucket = (bv.Hasher(data).of(start, start + length) % np.uint64(buckets)).astype(np.int32)
+            sink = pa.BufferOutputStream()
+            carried = held.drop_columns(["text"])
+            with pa.ipc.new_stream(sink, carried.schema) as w:
+                w.write_table(carried)
+            batch = _batch_name(k)
+            yield _packs([(batch, None, _pack(sink.getvalue().to_pybytes(), np.concatenate(counts).astype(np.int64), *(planes[:, i] for i in range(4)), bucket))])
+            by_bucket = np.argsort(bucket, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by_bucket])) + 1, [n]]) if n else np.zeros(1, np.int64)
+            rows, size = [], 0
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mine = by_bucket[i:j]
+                rows.append((batch, int(bucket[mine[0]]), _pack(length[mine].astype("<u4"), data[bv.ragged(start[mine], length[mine])])))
+                size += len(rows[-1][2])
+                if size > 4 << 20:
+                    yield _packs(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _packs(rows)
 
     return run
 
 
 def _merged(ranks_path: str):
-    """Distinct words -> their ids."""
+    """A bucket's words, as the batches ask for them -> their counts of ids and ids; each distinct word is merged once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge = merger(ranks_path)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge, known = merger(ranks_path), {}
         for batch in batches:
-            ids = [np.array(merge(w.decode()), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "piece"])
+            rows = []
+            for name, bucket, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sizes, data = _unpack(pack)
+                at, ids, counts = 0, [], []
+                for s in np.frombuffer(sizes, "<u4").tolist():
+                    w = bytes(data[at : at + s])
+                    at += s
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = tuple(merge(w.decode()))
+                    ids += got
+                    counts.append(len(got))
+                rows.append((name, bucket, _pack(np.array(counts, "<u4"), np.array(ids, "<u4"))))
+            yield _packs(rows)
 
     return run
 
 
-def _assembled(names: list[str], out_col: str):
-    """A batch's documents (positions) and numbered pieces -> documents with the pieces of their positions in a row."""
+def _assembled(names: list[str]):
+    """A batch and its words' ids -> its documents with their ids in order of position, as numbers and as bytes."""
 
-    def run(docs: pa.Table, pieces: pa.Table) -> pa.Table:
-        raw, offs = bv.buffers(pieces.column("piece"))
-        number = pieces.column("number").to_numpy()
-        begin, size = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-        begin[number], size[number] = offs[:-1], np.diff(offs)
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket").column("data").to_pylist()
+        parts = [_unpack(x) for x in answers]
+        asked = np.frombuffer(b"".join(x[0] for x in parts), "<u4").astype(np.int64)
+        flat = np.frombuffer(b"".join(x[1] for x in parts), "<u4")
         made = []
-        for data in docs.column("data").to_pylist():
-            n = _expand(data, "<u4")
-            made.append(raw[bv.ragged(begin[n], size[n])].tobytes())
-        return docs.select(names).append_column(out_col, pa.array(made, pa.binary()))
+        for pack in docs.column("data").to_pylist():
+            carried, counts, *planes, bucket = _unpack(pack)
+            by_bucket = np.argsort(np.frombuffer(bucket, np.int32), kind="stable")
+            if len(by_bucket) != len(asked):
+                raise RuntimeError("a batch and the answers to it don't agree")
+            size, begin = np.empty(len(asked), np.int64), np.empty(len(asked), np.int64)
+            size[by_bucket], begin[by_bucket] = asked, np.cumsum(asked) - asked
+            word = np.stack([np.frombuffer(x, np.uint8) for x in planes], 1).reshape(-1).view("<u4")
+            ids = flat[bv.ragged(begin[word], size[word])]
+            upto = np.concatenate([[0], np.cumsum(size[word])])
+            cuts = upto[np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int64))])]
+            held = pa.ipc.open_stream(carried).read_all()
+            raw = pa.Array.from_buffers(pa.large_binary(), held.num_rows, [None, pa.py_buffer(cuts * 4), pa.py_buffer(ids)])
+            listed = pa.LargeListArray.from_arrays(pa.array(cuts), pa.array(ids.view("<i4")))
+            made.append(held.append_column("ids", listed.cast(pa.list_(pa.int32()))).append_column("raw", raw.cast(pa.binary())))
+        return pa.concat_tables(made).select([*names, "ids", "raw"])
 
     return run
 
 
-def _put_together(rows: DataFrame, pieces: DataFrame, names: list[str], out_col: str) -> DataFrame:
-    docs = rows.filter("number is null").select("batch", *names, "data")
-    kinds = "".join(f"`{n}` {docs.schema[n].dataType.simpleString()}, " for n in names)
-    return docs.groupBy("batch").cogroup(pieces.groupBy("part")).applyInArrow(_assembled(names, out_col), f"{kinds}`{out_col}` binary")
-
-
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """``carry`` columns plus the ids of each whole text, as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", raw_col: str = "ids_raw", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``carry`` columns plus the ids of each whole text, as array<int> and as little-endian unsigned 32-bit integers."""
     bound_batches(docs.sparkSession)
+    buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    exploded = stored(rows.mapInArrow(_exploded(batch_bytes, buckets, len(names)), _PACK_DDL))
+    answers = exploded.filter("bucket is not null").groupBy("bucket").applyInArrow(_merged(ranks_path), _PACK_DDL).withColumnRenamed("batch", "part")
     kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
-    exploded = stored(rows.mapInArrow(_exploded(batch_bytes, names), f"batch bigint, number int, {kinds}data binary"))
-    words = exploded.filter("number is not null").select("batch", "number", F.col("data").alias("word"))
-    merged = words.select("word").distinct().mapInArrow(_merged(ranks_path), "word binary, piece binary")
-    pieces = words.join(merged, "word").select(F.col("batch").alias("part"), "number", "piece")
-    out = _put_together(exploded, pieces, names, "__ids")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("__ids").alias(ids_col))
+    whole = exploded.filter("bucket is null").groupBy("batch").cogroup(answers.groupBy("part")).applyInArrow(_assembled(names), f"{kinds}`ids` array<int>, `raw` binary")
+    return whole.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("ids").alias(ids_col), F.col("raw").alias(raw_col))
 
 
-def token_table(spark, ranks_path: str) -> DataFrame:
+def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
     """(id, piece): the bytes of each token."""
-    return spark.createDataFrame(pa.table({"id": pa.array(list(load_ranks(ranks_path).values()), pa.int64()), "piece": pa.array(list(load_ranks(ranks_path)), pa.binary())}))
+    ranks = load_ranks(ranks_path)
+    return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())}))
 
 
-def _named_ids(limit: int, names: list[str]):
-    """Rows (carried columns, ids) -> as ``_exploded``, with ids in place of words; a null row of ids has null data."""
+def _in_a_row(names: list[str], out_col: str):
+    """Rows (pos, document on its first row, piece) in order -> documents with their pieces in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, held in enumerate(_groups(batches, len(names), limit)):
-            raw, offs = bv.buffers(held.column("ids"))
-            distinct, number = np.unique(raw[offs[0] : offs[-1]].view("<u4"), return_inverse=True)
-            cut, own = (offs - offs[0]) // 4, number.astype("<u4")
-            positions = [_squeeze(own[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            carried = [held.column(x).combine_chunks() for x in names]
-            carried = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in carried]
-            n, batch = len(distinct), _batch_name(k)
-            yield pa.RecordBatch.from_arrays([pa.array([batch] * held.num_rows, pa.int64()), pa.nulls(held.num_rows, pa.int32()), pa.nulls(held.num_rows, pa.int64()), *carried, pa.array(positions, pa.binary())], names=["batch", "number", "id", *names, "data"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(distinct.astype(np.int64)), *(pa.nulls(n, x.type) for x in carried), pa.nulls(n, pa.binary())], names=["batch", "number", "id", *names, "data"])
+        whole, open_, last = None, [], -1
+
+        def done(docs: pa.StructArray, data: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*docs.flatten(), pa.array(data, pa.binary())], names=[*names, out_col])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pos, docs = batch.column(0).fill_null(0).to_numpy(), batch.column(1)
+            raw, offs = bv.buffers(batch.column(2))
+            starts = np.flatnonzero(docs.is_valid().to_numpy(zero_copy_only=False))
+            expected = np.append(last, pos[:-1]) + 1
+            expected[starts] = 0
+            if (pos != expected).any():
+                raise RuntimeError("pieces of a document have left their order")
+            last = int(pos[-1])
+            cuts = [0, *starts.tolist(), batch.num_rows]
+            open_.append(raw[offs[0] : offs[cuts[1]]].tobytes())
+            if not len(starts):
+                continue
+            if whole is not None:
+                yield done(whole, [b"".join(open_)])
+            ends = offs[np.array(cuts[1:])]
+            if len(starts) > 1:
+                yield done(docs.take(pa.array(starts[:-1])), [raw[a:b].tobytes() for a, b in zip(ends[:-2].tolist(), ends[1:-1].tolist(), strict=True)])
+            whole, open_ = docs.take(pa.array(starts[-1:])), [raw[ends[-2] : ends[-1]].tobytes()]
+        if whole is not None:
+            yield done(whole, [b"".join(open_)])
 
     return run
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """All columns plus the bytes that the ids stand for; null ids give null.  An id that the vocabulary lacks is an error."""
-    spark = encoded.sparkSession
-    bound_batches(spark)
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """All columns but the ids (array<int>), plus the bytes that these stand for; null ids give null, an id that the vocabulary lacks is an error."""
+    bound_batches(encoded.sparkSession)
+    if len(load_ranks(ranks_path)) > MOST_TOKENS:
+        raise ValueError(f"a vocabulary of more than {MOST_TOKENS} tokens")
     names = [f"c{i}" for i in range(len(encoded.columns))]
     rows = encoded.toDF(*names)
     mine = names[encoded.columns.index(ids_col)]
-    kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
-    named = stored(rows.withColumn("ids", F.coalesce(mine, F.lit(b""))).mapInArrow(_named_ids(batch_bytes, names), f"batch bigint, number int, id bigint, {kinds}data binary"))
-    table = token_table(spark, ranks_path)
-    table = F.broadcast(table) if len(load_ranks(ranks_path)) <= BROADCAST_TOKENS else table
-    known = named.filter("number is not null").select("batch", "number", "id").join(table, "id", "left")
-    pieces = known.select(F.col("batch").alias("part"), "number", F.when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no such token: "), F.col("id")))).otherwise(F.col("piece")).alias("piece"))
-    out = _put_together(named, pieces, names, "__out")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(encoded.columns, names, strict=True)], F.when(F.col(mine).isNotNull(), F.col("__out")).alias(out_col))
+    exploded = rows.select(F.struct(*[n for n in names if n != mine], F.col(mine).isNotNull().alias("given")).alias("whole"), F.posexplode_outer(mine).alias("pos", "id"))
+    # The document itself comes along on its first row alone.
+    exploded = exploded.select("pos", "id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"))
+    joined = exploded.join(F.broadcast(token_table(encoded.sparkSession, ranks_path)), "id", "left")
+    piece = F.when(F.col("id").isNotNull() & F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no such token: "), F.col("id"))).cast("binary")).otherwise(F.col("piece"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in exploded.schema["whole"].dataType.fields)
+    inner = exploded.schema["whole"].dataType.names
+    out = joined.select("pos", "whole", piece.alias("piece")).mapInArrow(_in_a_row(inner, "__out"), f"{kinds}`__out` binary")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(encoded.columns, names, strict=True) if n != mine], F.when(F.col("given"), F.col("__out")).alias(out_col))

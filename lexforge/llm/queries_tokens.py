@@ -17,8 +17,8 @@ def vocabulary() -> str:
 
 def digest(docs: DataFrame) -> DataFrame:
     ranks = vocabulary()
-    both = bpe.decode(bpe.encode(docs, ranks), ranks)
-    return both.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, ranks).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("ids_raw", 256).alias("ids_sha256"), "ids")
+    return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
