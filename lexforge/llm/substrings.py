@@ -1,130 +1,57 @@
-"""Repeated byte strings, by a suffix array built in linear time from Lyndon-prefix groups.
+"""Repeated byte strings, by suffix arrays that are built in linear time from Lyndon-prefix groups.
 
 A window is ``LENGTH`` bytes of one text.  Every window names one anchor: of its ``GRAM``-byte
 strings the one with the smallest hash (the last of equals), so equal windows name equal anchors at
 the same place.  The windows that name one anchor of a text are neighbours and form a stretch.
+Hashes do no more than choose which stretches meet: those of an anchor that more than one stretch
+names (or of one that may repeat itself).
 
-1. Stretches are counted by content.  One that occurs twice or more is repeated throughout.
-2. Of anchors with several different stretches (or a stretch that may repeat itself), each
-   different one is looked at once: the stretches of a task's anchors are joined into one string, its suffixes are grouped by their
-   Lyndon prefixes and sorted (``lyndon_suffix_array``), and windows whose suffix agrees with a
-   neighbour's in the order for LENGTH bytes are repeated.  An anchor with more than ``MOST``
-   different stretches would be too much for one task; its windows are counted by hash instead,
-   which Spark aggregates before it shuffles.
+The stretches of an anchor are joined into one string, its suffixes are sorted
+(``lyndon.suffix_arrays``), and a window is repeated where its suffix agrees with a neighbour's in
+the order for LENGTH bytes.  That decides every window.
+
+An anchor may be named by a third of all texts, so no more than about ``BLOCK`` stretches are
+sorted together.  Where an anchor has several blocks, each of these tells the windows that it finds
+repeated and passes on one of each of its different windows; these meet again, under anchors of the
+next longer size in ``LADDER`` so that different surroundings part.  Copies shrink by the size of a
+block in each round, and the last size is the window itself, so the rounds come to an end.
 
 Repeated bytes are removed by document.  Nothing is sampled, and no group is cut.
 
 Defined results: null texts count as empty; texts shorter than LENGTH keep all bytes; strings are
 judged on the input, overlaps count, copies inside one text count; repeated rows are copies of one
-another; an empty table gives an empty result; only the id and text columns are read.
+another; ids may have any type, null included (rows are told apart by 96 bits of id and text, rows
+alike in both share their ranges); a very long text is cut into stretches like any other, and its
+bytes are held once by the task that cuts it; an empty table gives an empty result; only the id and
+text columns are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import partitions, ready_checkpoints
-
-LENGTH, GRAM, MOST, RUN_BYTES = 200, 64, 4096, 1 << 17
-
+from lexforge.llm.lyndon import suffix_arrays
+from lexforge.llm.shared import bound_batches, ready_checkpoints, stored
 
-def lyndon_suffix_array(text: list[int]) -> list[int]:
-    """The order of all suffixes of a sequence of whole numbers; a shorter suffix comes before its extensions.
-
-    Suffixes are grouped by their longest Lyndon prefixes.  Pass one takes the groups in
-    descending order: each member points to the nearest suffix before it in a smaller group, and
-    suffixes pointed to move to new groups right above their own, the more pointers the higher.
-    Pass two fills the order from its lowest place: the suffixes whose Lyndon prefix ends where a
-    placed suffix begins go to the next places of their groups.
-    """
-    n = len(text)
-    if n < 2:
-        return list(range(n))
-    # Groups are ranges of ``order``, named by their first place; ``top`` is one past their last.
-    order = sorted(range(n), key=text.__getitem__)
-    place, group, top = [0] * n, [0] * n, [0] * (n + 1)
-    start = 0
-    for k, i in enumerate(order):
-        if text[i] != text[order[start]]:
-            top[start] = k
-            start = k
-        place[i], group[i] = k, start
-    top[start] = n
-    smaller, pointers = [-1] * n, [0] * n
-    end = n
-    while end > 0:
-        at = group[order[end - 1]]
-        members = order[at:end]
-        end = at
-        if len(members) > 1:
-            members.sort()
-        targets = []
-        for i in members:
-            j = i - 1
-            while j >= 0 and group[j] >= at:
-                j = smaller[j]
-            smaller[i] = j
-            if j >= 0:
-                if not pointers[j]:
-                    targets.append(j)
-                pointers[j] += 1
-        if not targets:
-            continue
-        most = max([pointers[j] for j in targets]) if len(members) > 1 else 1
-        layers = [targets] if most == 1 else [[] for _ in range(most)]
-        if most > 1:
-            for j in targets:
-                layers[most - pointers[j]].append(j)
-        for layer in layers:
-            # To the ends of their groups, then the ends become groups.
-            moved = {}
-            for j in layer:
-                g = group[j]
-                to = top[g] - 1
-                k = place[j]
-                other = order[to]
-                order[k], order[to] = other, j
-                place[other], place[j] = k, to
-                top[g] = to
-                moved[g] = moved.get(g, 0) + 1
-            for j in layer:
-                pointers[j] = 0
-                g = group[j]
-                cut = top[g]
-                group[j] = cut
-            for g, m in moved.items():
-                cut = top[g]
-                top[cut] = cut + m
-    # Pass two.
-    out, free, done = [-1] * n, {}, [False] * n
-    last = n
-    for k in range(-1, n):
-        j = (last if k < 0 else out[k]) - 1
-        while j >= 0 and not done[j]:
-            g = group[j]
-            to = free.get(g, g)
-            out[to], done[j], free[g] = j, True, to + 1
-            j = smaller[j]
-    return out
+LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 64, (112, 160, 192, 200), 32, 2 << 20
 
 
 def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, document, first window, windows, whether its own windows may be equal) of all stretches of a chunk; windows count from the chunk's first byte."""
+    """(anchor hash, document, first window, windows, whether its own windows may be equal) of all stretches of a chunk; windows count from the chunk's first byte."""
     n, width = len(c.buf), length - gram + 1
     m = n - length + 1
     size = np.diff(c.offs)
     if m <= 0 or not (size >= length).any():
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-    hasher = c.hasher()
-    every, span = hasher.every(gram), 1
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    every, span = c.hasher().every(gram), 1
     low = every
     while span * 2 <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -158,31 +85,25 @@ def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     keys = rank.astype(np.int64) << 32 | at
     mine = rank[np.searchsorted(every[at], value)].astype(np.int64) << 32
     own = np.searchsorted(keys, mine | (stop - 1 + width)) - np.searchsorted(keys, mine | first) > 1
-    return value, hasher.of(first, stop - 1 + length), doc, first, stop - first, own
-
-
-_FOUND = "anchor bigint, content bigint, n bigint, id bigint, mark bigint, first int, windows int, own boolean"
-_ROW = "anchor bigint, content bigint, id bigint, mark bigint, first int, windows int"
+    return value, doc, first, stop - first, own
 
 
 def _columns(batch: pa.RecordBatch, length: int, gram: int) -> tuple[np.ndarray, ...]:
     parts = []
     for c in bv.chunks(batch.column(2)):
-        a, b, doc, first, windows, own = stretches(c, length, gram)
-        parts.append((a.view(np.int64), b.view(np.int64), c.lo + doc, first - c.offs[doc], windows, own))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5 + (np.zeros(0, bool),)
+        a, doc, first, windows, own = stretches(c, length, gram)
+        parts.append((a.view(np.int64), c.lo + doc, first - c.offs[doc], windows, own))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
 
 
 def _counted(length: int, gram: int):
-    """Stretches of each batch of rows, equal ones counted there already."""
+    """Anchors of each batch of rows, with their numbers of stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, doc, first, windows, own = _columns(batch, length, gram)
-            key = bv.mix(a.view(np.uint64)) ^ b.view(np.uint64)
-            _, at, n = np.unique(key, return_index=True, return_counts=True)
-            rows = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first[at].astype(np.int32)), pa.array(windows[at].astype(np.int32)), pa.array(own[at])], names=["anchor", "content", "n", "id", "mark", "first", "windows", "own"])
+            a, _, _, _, own = _columns(batch, length, gram)
+            keys, at, n = np.unique(a, return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.bincount(at[own], minlength=len(keys)) > 0)], names=["anchor", "n", "own"])
 
     return run
 
@@ -190,90 +111,9 @@ def _counted(length: int, gram: int):
 def _listed(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, doc, first, windows, _ = _columns(batch, length, gram)
+            a, doc, first, windows, _ = _columns(batch, length, gram)
             rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32))], names=["anchor", "content", "id", "mark", "first", "windows"])
-
-    return run
-
-
-def _sorted_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows that begin at ``starts`` (bytes + 1, zeros between stretches) come twice or more, by the suffix array."""
-    order = np.array(lyndon_suffix_array(data.tolist()), np.int64)
-    is_start = np.zeros(len(data), bool)
-    is_start[starts] = True
-    # Suffixes that agree for a window's length stand together.
-    x, y = order[:-1], order[1:]
-    keep = is_start[x] & is_start[y]
-    x, y = x[keep], y[keep]
-    raw = np.concatenate([data.astype(np.uint8), np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.as_strided(raw.view(np.uint8), (len(data), 8), (1, 1))
-    eight = np.ascontiguousarray(eight).view(np.uint64).ravel()
-    for t in [*range(0, length - 7, 8), length - 8]:
-        same = eight[x + t] == eight[y + t]
-        x, y = x[same], y[same]
-    twice = np.zeros(len(data), bool)
-    twice[x] = True
-    twice[y] = True
-    return twice[starts]
-
-
-def _suffix_sorted(length: int, run_bytes: int):
-    """Rows (anchor, n, id, mark, first, windows, bytes), an anchor's together -> (id, mark, first, windows): repeated windows of stretches that occur once."""
-
-    def resolve(rows: pa.Table) -> pa.RecordBatch:
-        # A stretch without a window whose hash comes twice has none that is repeated: it needs no place in the order.
-        maybe = np.zeros(rows.num_rows, bool)
-        hashes, owners = [], []
-        for c in bv.chunks(rows.column("bytes")):
-            k = rows.column("windows").slice(c.lo, c.hi - c.lo).to_numpy().astype(np.int64)
-            at = bv.ragged(c.offs[:-1], k)
-            hashes.append(c.hasher().of(at, at + length))
-            owners.append(np.repeat(np.arange(c.lo, c.hi), k))
-        h, o = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        maybe[o[order][1:][same]] = maybe[o[order][:-1][same]] = True
-        rows = rows.filter(pa.array(maybe))
-        raw, offs = bv.buffers(rows.column("bytes"))
-        raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
-        size = np.diff(offs)
-        # One string: bytes + 1, a zero after each stretch (the byte 255 wraps only in the comparison, where all agree).
-        data = np.zeros(len(raw) + len(size), np.int64)
-        base = offs[:-1] + np.arange(len(size))
-        data[bv.ragged(base, size)] = raw.astype(np.int64) + 1
-        windows = rows.column("windows").to_numpy().astype(np.int64)
-        starts = bv.ragged(base, windows)
-        owner = np.repeat(np.arange(len(size)), windows)
-        single = rows.column("n").to_numpy() == 1
-        hit = _sorted_windows(data, starts, length) & single[owner]
-        own, at = owner[hit], (starts - base[owner])[hit]
-        fresh = np.ones(len(own), bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
-        head = np.flatnonzero(fresh)
-        count = np.diff(np.append(head, len(own)))
-        take = pa.array(own[head])
-        first = rows.column("first").to_numpy()[own[head]] + at[head]
-        ids, marks = (rows.column(k).combine_chunks().take(take) for k in ("id", "mark"))
-        return pa.RecordBatch.from_arrays([ids, marks, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names=["id", "mark", "first", "windows"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, known = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1), batch.num_rows]
-            sums = bv.buffers(batch.column(6))[1]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if size >= run_bytes and anchor[lo] != known:
-                    yield resolve(pa.Table.from_batches(held))
-                    held, size = [], 0
-                held.append(batch.slice(lo, hi - lo))
-                size += int(sums[hi] - sums[lo])
-                known = anchor[lo]
-        if held:
-            yield resolve(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(a), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int16))], names=["anchor", "k", "mark", "first", "windows"])
 
     return run
 
@@ -284,7 +124,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = bv.buffers(batch.column(3))
         texts = [pack(raw[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], names=["id", "mark", "own", "text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], names=["k", "mark", "own", "text"])
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -292,8 +132,11 @@ def _texts(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(unpack(x), np.uint8) for x in column.to_pylist()]
 
 
+_PIECE = "anchor bigint, several boolean, block int, k bigint, mark int, first int, windows int, known boolean, bytes binary"
+
+
 def _cut_out(length: int):
-    """Rows (id, mark, own, text, wanted stretches or null) -> the stretches with their bytes."""
+    """Rows (k, mark, own, text, wanted stretches or null) -> the stretches with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -302,37 +145,122 @@ def _cut_out(length: int):
                 batch = some.slice(lo, 500)
                 wanted = batch.column("wanted")
                 flat, counts = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
-                first, windows = flat.field("first").to_numpy().tolist(), flat.field("windows").to_numpy().tolist()
+                first, windows = (flat.field(x).to_numpy().astype(np.int64) for x in ("first", "windows"))
                 data, k = [], 0
                 for text, n in zip(_texts(batch.column("text")), counts.tolist(), strict=True):
-                    for i in range(k, k + n):
-                        data.append(text[first[i] : first[i] + windows[i] + length - 1].tobytes())
+                    data.append(text[bv.ragged(first[k : k + n], windows[k : k + n] + length - 1)])
                     k += n
+                offs = np.concatenate([[0], np.cumsum(windows + length - 1)])
+                held = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offs), pa.py_buffer(np.concatenate(data))]).cast(pa.binary())
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("n"), batch.column("id").take(rows), batch.column("mark").take(rows), flat.field("first"), flat.field("windows"), pa.array(data, pa.binary())], names=["anchor", "n", "id", "mark", "first", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("several"), flat.field("block"), batch.column("k").take(rows), batch.column("mark").take(rows), flat.field("first"), flat.field("windows"), pa.array(np.zeros(len(first), bool)), held], names=[x.split()[0] for x in _PIECE.split(", ")])
 
     return run
 
 
-def _hashed(length: int):
-    """Stretches of anchors with very many -> a row a window."""
+def repeated_windows(text: np.ndarray, cuts: np.ndarray, strings: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in order of their suffixes, and whether each equals the one before.
+
+    ``text`` holds pieces one after another (piece i is cuts[i]..cuts[i + 1]), ``strings`` says how
+    many pieces make each string, ``starts`` are the places of windows, none of which crosses a piece.
+    """
+    size = np.diff(cuts)
+    place = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)  # a zero follows each piece
+    symbols = np.zeros(len(text) + len(size), np.int64)
+    symbols[place] = text.astype(np.int64) + 1
+    ends = np.concatenate([[0], np.cumsum(strings)])
+    lengths = (cuts[ends[1:]] - cuts[ends[:-1]]) + strings
+    order = suffix_arrays(symbols, lengths)
+    back = np.full(len(symbols), -1, np.int64)
+    back[place[starts]] = starts
+    order = back[order]
+    order = order[order >= 0]
+    string = np.searchsorted(cuts[ends], order, "right")
+    same = np.zeros(len(order), bool)
+    at = np.flatnonzero(string[1:] == string[:-1])
+    lanes = bv.Hasher(text).lanes
+    for t in [*range(0, length - 7, 8), length - 8]:
+        at = at[lanes[order[at] + t] == lanes[order[at + 1] + t]]
+    same[at + 1] = True
+    return order, same
+
+
+_TOLD = "anchor bigint, k bigint, mark int, first int, windows int, known boolean, bytes binary"
+
+
+def _resolved(length: int, gram: int, run_bytes: int):
+    """Pieces, a block's together -> runs of windows found repeated (bytes null); of blocks that aren't alone also one of each different window, under the next anchors."""
+
+    def resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        raw, offs = bv.buffers(rows.column("bytes"))
+        text, cuts = raw[offs[0] : offs[-1]], offs - offs[0]
+        key = np.stack([rows.column("anchor").to_numpy(), rows.column("block").to_numpy()], 1)
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        strings = np.diff(np.append(head, len(key)))
+        windows, first = (rows.column(x).to_numpy().astype(np.int64) for x in ("windows", "first"))
+        known = rows.column("known").to_numpy(zero_copy_only=False).astype(bool)
+        starts = bv.ragged(cuts[:-1], windows)
+        order, same = repeated_windows(text, cuts, strings, starts, length)
+        begin = np.flatnonzero(~same)
+        count = np.diff(np.append(begin, len(order)))
+        owner = np.searchsorted(cuts, order, "right") - 1
+        found = np.sort(order[(np.repeat(count, count) > 1) & ~known[owner]])
+
+        def runs(at: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places in order -> owners, places and lengths of runs of neighbours in a piece that are alike in ``flag``."""
+            own = np.searchsorted(cuts, at, "right") - 1
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1) | (flag[1:] != flag[:-1])
+            i = np.flatnonzero(fresh)
+            return own[i], at[i], np.diff(np.append(i, len(at)))
+
+        k, mark = rows.column("k").to_numpy(), rows.column("mark").to_numpy()
+
+        def told(anchor, own, place, n, flag, data) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(k[own]), pa.array(mark[own]), pa.array((first[own] + place - cuts[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(flag, pa.bool_()), data], names=[x.split()[0] for x in _TOLD.split(", ")])
+
+        own, place, n = runs(found, np.zeros(len(found), bool))
+        yield told(np.zeros(len(own), np.int64), own, place, n, np.ones(len(own), bool), pa.nulls(len(own), pa.binary()))
+        several = rows.column("several").to_numpy(zero_copy_only=False).astype(bool)
+        if not several.any() or not len(order):
+            return
+        least = np.minimum.reduceat(order, begin)
+        whether = (count > 1) | (np.maximum.reduceat(known[owner].astype(np.int8), begin) > 0)
+        sort = np.argsort(least)
+        least, whether = least[sort], whether[sort]
+        left = several[np.searchsorted(cuts, least, "right") - 1]
+        own, place, n = runs(least[left], whether[left])
+        flag = whether[left][np.searchsorted(least[left], place)]
+        size = n + length - 1
+        pieces = bv.Chunk(0, len(own), text[bv.ragged(place, size)], np.concatenate([[0], np.cumsum(size)]))
+        anchor, doc, at, n, _ = stretches(pieces, length, gram)
+        data = pieces.buf[bv.ragged(at, n + length - 1)]
+        held = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n + length - 1)])), pa.py_buffer(data)]).cast(pa.binary())
+        yield told(anchor.view(np.int64), own[doc], place[doc] + at - pieces.offs[doc], n, flag[doc], held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
         for batch in batches:
-            for c in bv.chunks(batch.column(6)):
-                windows = batch.column(5).slice(c.lo, c.hi - c.lo).to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(c.hi - c.lo), windows)
-                at = bv.ragged(c.offs[:-1], windows)
-                h = c.hasher().of(at, at + length).view(np.int64)
-                rows = pa.array(c.lo + row)
-                first = batch.column(4).to_numpy()[c.lo + row] + at - c.offs[row]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(h), batch.column(1).take(rows), batch.column(2).take(rows), batch.column(3).take(rows), pa.array(first.astype(np.int32))], names=["anchor", "content", "n", "id", "mark", "first"])
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(0).to_numpy(), batch.column(2).to_numpy()], 1)
+            sums = bv.buffers(batch.column(8))[1]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if size >= run_bytes and tuple(key[lo]) != last:
+                    yield from resolve(pa.Table.from_batches(held))
+                    held, size = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += int(sums[hi] - sums[lo])
+                last = tuple(key[lo])
+        if held:
+            yield from resolve(pa.Table.from_batches(held))
 
     return run
 
 
 def _remove(length: int):
-    """Rows (id, mark, own, text, ranges) -> own, counts, what is left."""
+    """Rows (k, mark, own, text, ranges) -> own, counts, what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -360,39 +288,37 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = MOST, run_bytes: int = RUN_BYTES) -> DataFrame:
+def _blocks(n: str, block: int) -> tuple[Column, Column]:
+    """Whether an anchor of ``n`` stretches has several blocks, and a stretch's block."""
+    blocks = F.ceil(F.col(n) / block).cast("int")
+    return (blocks > 1).alias("several"), F.when(blocks > 1, F.pmod(F.xxhash64("k", "mark", "first"), blocks)).otherwise(0).cast("int").alias("block")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, ladder: tuple[int, ...] = LADDER, block: int = BLOCK, run_bytes: int = RUN_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): each text's bytes without those that a repeated string of ``length`` bytes covers."""
     spark = docs.sparkSession
     ready_checkpoints(spark)
+    bound_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = docs.schema[id_col].dataType.simpleString()
-    # Rows are told apart by id and a checksum of the text; rows alike in both are copies and share ranges.
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 62))).alias("id"), F.crc32(text).alias("mark"), F.col(id_col).alias("own"), text.alias("text"))
-    long = base.filter(F.octet_length("text") >= length).select("id", "mark", "text")
-    # All that follows on an anchor stays in its partition; batches have merged equal stretches before.
-    by_anchor = long.mapInArrow(_counted(length, gram), _FOUND).repartition(partitions(spark), "anchor")
-    kinds = by_anchor.groupBy("anchor", "content").agg(F.sum("n").alias("n"), F.min(F.struct("id", "mark", "first", "windows")).alias("at"), F.max("own").alias("own"))
-    over = Window.partitionBy("anchor")
-    kinds = kinds.withColumn("total", F.sum("n").over(over)).withColumn("kinds", F.count("*").over(over)).filter("total > 1 or own").select("anchor", "content", "n", "kinds", "own", "at.*").checkpoint()
-    # Stretches that come again whole, wherever they stand.
-    full = long.mapInArrow(_listed(length, gram), _ROW).join(kinds.filter("n > 1").select("anchor", "content"), ["anchor", "content"]).select("id", "mark", "first", "windows")
-    # Those of which only a part may come again.  The packed texts are shuffled once: every join with them is
-    # a left join on the same keys, and rows without a partner are passed over by the functions.
-    packed = base.mapInArrow(_squeezed, f"id bigint, mark bigint, own {kind}, text binary")
-    row = "anchor bigint, n bigint, id bigint, mark bigint, first int, windows int, bytes binary"
-
-    def cut(stretched: DataFrame) -> DataFrame:
-        want = stretched.groupBy("id", "mark").agg(F.collect_list(F.struct("anchor", "n", "first", "windows")).alias("wanted"))
-        return packed.join(want, ["id", "mark"], "left").mapInArrow(_cut_out(length), row)
-
-    partly = kinds.filter("kinds > 1 or own and n = 1")
-    part = cut(partly.filter(F.col("kinds") <= most)).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_suffix_sorted(length, run_bytes), "id bigint, mark bigint, first int, windows int")
-    ranges = full.unionByName(part)
-    hot = partly.filter(F.col("kinds") > most)
-    if not hot.isEmpty():
-        each = cut(hot).mapInArrow(_hashed(length), "anchor bigint, content bigint, n bigint, id bigint, mark bigint, first int").checkpoint()
-        twice = each.groupBy("anchor", "content").agg(F.sum("n").alias("all")).filter("all > 1")
-        ranges = ranges.unionByName(each.join(twice, ["anchor", "content"]).select("id", "mark", "first", F.lit(1).alias("windows")))
-    ranges = ranges.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
-    cleaned = packed.join(ranges, ["id", "mark"], "left").mapInArrow(_remove(length), f"own {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    base = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("k"), (F.crc32(text) - (1 << 31)).cast("int").alias("mark"), F.col(id_col).alias("own"), text.alias("text"))
+    long = base.filter(F.octet_length("text") >= length).select("k", "mark", "text")
+    counts = long.mapInArrow(_counted(length, gram), "anchor bigint, n bigint, own boolean").groupBy("anchor").agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("n > 1 or own").select("anchor", "n")
+    listed = long.mapInArrow(_listed(length, gram), "anchor bigint, k bigint, mark int, first int, windows smallint")
+    want = listed.join(counts, "anchor").select("k", "mark", F.struct("anchor", *_blocks("n", block), "first", F.col("windows").cast("int").alias("windows")).alias("w")).groupBy("k", "mark").agg(F.collect_list("w").alias("wanted"))
+    # Texts are shuffled once: both joins with them are left joins on the same keys.
+    packed = base.mapInArrow(_squeezed, f"k bigint, mark int, own {kind}, text binary")
+    pieces = packed.join(want, ["k", "mark"], "left").mapInArrow(_cut_out(length), _PIECE)
+    found = []
+    for step in range(1 << 20):
+        together = pieces.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+        told = stored(together.mapInArrow(_resolved(length, (*ladder, length)[min(step, len(ladder))], run_bytes), _TOLD))
+        found.append(told.filter("bytes is null").select("k", "mark", "first", "windows"))
+        left = told.filter("bytes is not null")
+        counts = left.groupBy("anchor").agg(F.count("*").alias("n"), F.min("known").alias("all_known")).filter("n > 1 and not all_known")
+        if counts.isEmpty():
+            break
+        pieces = left.join(counts.select("anchor", "n"), "anchor").select("anchor", *_blocks("n", block), "k", "mark", "first", "windows", "known", "bytes")
+    ranges = reduce(DataFrame.unionByName, found).groupBy("k", "mark").agg(F.collect_list(F.struct("first", "windows")).alias("ranges"))
+    cleaned = packed.join(ranges, ["k", "mark"], "left").mapInArrow(_remove(length), f"own {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return cleaned.withColumnRenamed("own", id_col)

@@ -14,7 +14,7 @@ import regex
 
 from lexforge.llm import bpe, decontaminate, langid, licenses, near, quality, secrets, sharding
 from lexforge.llm import bytesview as bv
-from lexforge.llm.substrings import lyndon_suffix_array
+from lexforge.llm.lyndon import suffix_arrays
 
 TEXTS = ["", None, "one", "a b c d e f g", "a b c d e", "x " * 30, "  lead\n\ntrail  ", "é ü 漢字 😀 a\tb", "same line\nsame line\n \n#*$ x", "w" * 5000, "Und " * 400]
 
@@ -100,13 +100,17 @@ def test_field_learns_junk_lines():
     assert not quality.fit([], [])[0].any()
 
 
-def test_suffix_array():
+def test_suffix_arrays():
     r = random.Random(3)
-    for k in range(600):
-        t = [r.randrange(1 + k % 4) for _ in range(r.randrange(30))]
-        assert lyndon_suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
-    t = list(("abracadabra" * 40).encode())
-    assert lyndon_suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
+    for k in range(300):
+        strings = [[r.randrange(1 + (k + j) % 4) for _ in range(r.randrange(30))] for j in range(r.randrange(9))]
+        want, at = [], 0
+        for t in strings:
+            want += [at + i for i in sorted(range(len(t)), key=lambda i: t[i:])]
+            at += len(t)
+        assert suffix_arrays(np.array([x for t in strings for x in t], np.int64), np.array([len(t) for t in strings], np.int64)).tolist() == want
+    t = np.frombuffer(b"abracadabra" * 40, np.uint8)
+    assert suffix_arrays(t.astype(np.int64), np.array([len(t)])).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tobytes())
 
 
 def test_edit_distance_and_recall_of_the_embedding():

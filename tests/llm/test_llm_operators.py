@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -97,15 +98,28 @@ def brute_repeats(texts, length):
         yield len(t), keep.count(False), sum(not k and (i == 0 or keep[i - 1]) for i, k in enumerate(keep)), bytes(b for b, k in zip(t, keep, strict=True) if k)
 
 
-@pytest.mark.parametrize("most", [1, 4096])
-def test_repeats_equal_brute_force(docs, empty, most):
+def removed(rows, **options):
+    return collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(rows, **options).collect())
+
+
+@pytest.mark.parametrize("block", [2, 32])
+def test_repeats_equal_brute_force(docs, empty, block):
     rows = docs.collect()
     want = collections.Counter((r["doc_id"], *x) for r, x in zip(rows, brute_repeats([(r["text"] or "").encode() for r in rows], 200), strict=True))
-    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeats(docs, most=most).collect())
-    assert got == want
+    assert removed(docs, block=block) == want
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_one_hot_line_in_other_surroundings(spark):
+    r = random.Random(4)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    line, near_copy = words(14), words(90)
+    rows = [(f"id{i % 40}", f"{words(r.randrange(40))} {line} {words(r.randrange(40))}") for i in range(60)]
+    rows += [(None, near_copy[:i] + "#" + near_copy[i:]) for i in range(0, 600, 40)] + [("same", near_copy)] * 20
+    want = collections.Counter((r[0], *x) for r, x in zip(rows, brute_repeats([t.encode() for _, t in rows], 200), strict=True))
+    assert removed(spark.createDataFrame(rows, "doc_id string, text string"), block=3) == want
+
+
 def shingle_set(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
