@@ -2,12 +2,12 @@
 
 Pre-tokens of the GPT-2 kind of pattern are found on whole byte buffers (runs of letters,
 numbers, white space and the rest), once for each text.  A batch of documents is exploded into
-positions, each of which holds the rank of its word among the batch's distinct words; the distinct
-words themselves go to buckets by their hash.  Both are written once, compressed.  A bucket holds
-every occurrence of a word, so each distinct word of the corpus is merged once; its ids are joined
-back to the batches that asked, and a batch puts its documents together again by position.
-Decoding explodes the ids by position, joins the table of token bytes (broadcast, its size is
-checked) and puts the pieces of each document, which stay together in their order, in a row.
+positions, each of which holds the rank of its word among the batch's distinct words; batches are
+shuffled once, compressed, and both readers share that exchange.  One sends the distinct words to
+buckets by their hash.  A bucket holds every occurrence of a word, so each distinct word of the
+corpus is merged once; its ids are joined back to the batches that asked, where the other reader
+puts the documents together again by position.  Decoding joins the ids, position by position, with
+the table of token bytes, which is broadcast (its size is checked) and keyed by place.
 
 Words meet by their bytes, never by a hash alone.  A batch holds ``BATCH_BYTES`` of text or one
 longer document, a bucket the words of ``BUCKET_BYTES`` of text: both grow in number with the
@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import bound_batches, stored, text_bytes
+from lexforge.llm.shared import bound_batches, text_bytes
 
 #: Text of one batch (what one task holds while it reassembles documents), and text whose words make a bucket.
-BATCH_BYTES, BUCKET_BYTES = 12 << 20, 128 << 20
+BATCH_BYTES, BUCKET_BYTES = 6 << 20, 128 << 20
 #: The most tokens of a vocabulary whose bytes may be broadcast.
 MOST_TOKENS = 1_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -222,36 +222,53 @@ def _packs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(cols, _PACK, strict=True)], schema=_PACK)
 
 
-def _exploded(limit: int, buckets: int, text_at: int):
-    """Documents -> a row a batch (bucket null): carried columns, words a document, words by position (as ranks by frequency, a byte of each rank after another), each rank's bucket; and a row for each bucket of its distinct words: lengths, bytes."""
+def _exploded(limit: int, text_at: int):
+    """Documents -> a row a batch: carried columns, words a document, and the words by position, as ranks by frequency (a byte of each rank after another); and the distinct words in this order: lengths, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, held in enumerate(_groups(batches, text_at, limit)):
-            tokens, counts = [], []
+            tokens, counts = [], [np.zeros(0, np.int64)]
             for c in bv.chunks(held.column("text")):
                 starts, ends, first = pretokens(c)
                 tokens.append((c.buf, starts, ends))
                 counts.append(np.diff(first))
             numbers, data, offs = distinct_strings(tokens)
-            number, n = np.concatenate(numbers) if numbers else np.zeros(0, np.int64), len(offs) - 1
+            number, n = np.concatenate([np.zeros(0, np.int64), *numbers]), len(offs) - 1
             frequent = np.argsort(-np.bincount(number, minlength=n), kind="stable")
             rank = np.empty(n, np.uint32)
             rank[frequent] = np.arange(n, dtype=np.uint32)
             planes = rank[number].astype("<u4").view(np.uint8).reshape(-1, 4)
             length, start = np.diff(offs)[frequent], offs[:-1][frequent]
-            bucket = (bv.Hasher(data).of(start, start + length) % np.uint64(buckets)).astype(np.int32)
             sink = pa.BufferOutputStream()
             carried = held.drop_columns(["text"])
             with pa.ipc.new_stream(sink, carried.schema) as w:
                 w.write_table(carried)
-            batch = _batch_name(k)
-            yield _packs([(batch, None, _pack(sink.getvalue().to_pybytes(), np.concatenate(counts).astype(np.int64), *(planes[:, i] for i in range(4)), bucket))])
-            by_bucket = np.argsort(bucket, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by_bucket])) + 1, [n]]) if n else np.zeros(1, np.int64)
+            docs = _pack(sink.getvalue().to_pybytes(), np.concatenate(counts).astype(np.int64), *(planes[:, i] for i in range(4)))
+            words = _pack(length.astype("<u4"), data[bv.ragged(start, length)])
+            yield pa.RecordBatch.from_arrays([pa.array([_batch_name(k)], pa.int64()), pa.array([docs], pa.binary()), pa.array([words], pa.binary())], names=["batch", "docs", "words"])
+
+    return run
+
+
+def _words(pack: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's distinct words: bytes, starts, lengths and buckets."""
+    sizes, data = _unpack(pack)
+    length, data = np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(data, np.uint8)
+    start = np.cumsum(length) - length
+    return data, start, length, (bv.Hasher(data).of(start, start + length) % np.uint64(buckets)).astype(np.int32)
+
+
+def _asked(buckets: int):
+    """A batch -> a row for each bucket of its distinct words: lengths, bytes."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in (x for b in batches for x in b.column(b.schema.get_field_index("words")).to_pylist()):
+            data, start, length, bucket = _words(pack, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]).tolist()
             rows, size = [], 0
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                mine = by_bucket[i:j]
-                rows.append((batch, int(bucket[mine[0]]), _pack(length[mine].astype("<u4"), data[bv.ragged(start[mine], length[mine])])))
+            for mine in (order[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i):
+                rows.append((key[0].as_py(), int(bucket[mine[0]]), _pack(length[mine].astype("<u4"), data[bv.ragged(start[mine], length[mine])])))
                 size += len(rows[-1][2])
                 if size > 4 << 20:
                     yield _packs(rows)
@@ -286,104 +303,89 @@ def _merged(ranks_path: str):
     return run
 
 
-def _assembled(names: list[str]):
-    """A batch and its words' ids -> its documents with their ids in order of position, as numbers and as bytes."""
+def _assembled(names: list[str], buckets: int):
+    """A batch and its words' ids -> its documents with their ids in order of position."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("bucket").column("data").to_pylist()
-        parts = [_unpack(x) for x in answers]
+        parts = [_unpack(x) for x in answers.sort_by("bucket").column("data").to_pylist()]
         asked = np.frombuffer(b"".join(x[0] for x in parts), "<u4").astype(np.int64)
         flat = np.frombuffer(b"".join(x[1] for x in parts), "<u4")
+        del parts
         made = []
-        for pack in docs.column("data").to_pylist():
-            carried, counts, *planes, bucket = _unpack(pack)
-            by_bucket = np.argsort(np.frombuffer(bucket, np.int32), kind="stable")
+        for pack, words in zip(docs.column("docs").to_pylist(), docs.column("words").to_pylist(), strict=True):
+            by_bucket = np.argsort(_words(words, buckets)[3], kind="stable")
             if len(by_bucket) != len(asked):
                 raise RuntimeError("a batch and the answers to it don't agree")
             size, begin = np.empty(len(asked), np.int64), np.empty(len(asked), np.int64)
             size[by_bucket], begin[by_bucket] = asked, np.cumsum(asked) - asked
+            carried, counts, *planes = _unpack(pack)
+            first = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int64))])
             word = np.stack([np.frombuffer(x, np.uint8) for x in planes], 1).reshape(-1).view("<u4")
-            ids = flat[bv.ragged(begin[word], size[word])]
-            upto = np.concatenate([[0], np.cumsum(size[word])])
-            cuts = upto[np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int64))])]
-            held = pa.ipc.open_stream(carried).read_all()
-            raw = pa.Array.from_buffers(pa.large_binary(), held.num_rows, [None, pa.py_buffer(cuts * 4), pa.py_buffer(ids)])
-            listed = pa.LargeListArray.from_arrays(pa.array(cuts), pa.array(ids.view("<i4")))
-            made.append(held.append_column("ids", listed.cast(pa.list_(pa.int32()))).append_column("raw", raw.cast(pa.binary())))
-        return pa.concat_tables(made).select([*names, "ids", "raw"])
+            held, lo = pa.ipc.open_stream(carried).read_all(), 0
+            while lo < held.num_rows:  # about a million positions at once
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + (1 << 20), "right")) - 1)
+                w = word[first[lo] : first[hi]]
+                upto = np.concatenate([[0], np.cumsum(size[w])])
+                ids = flat[bv.ragged(begin[w], size[w])]
+                raw = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(upto[first[lo : hi + 1] - first[lo]] * 4), pa.py_buffer(ids)])
+                made.append(held.slice(lo, hi - lo).append_column("ids", raw.cast(pa.binary())))
+                lo = hi
+        return pa.concat_tables(made).select([*names, "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", raw_col: str = "ids_raw", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``carry`` columns plus the ids of each whole text, as array<int> and as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``carry`` columns plus the ids of each whole text, as little-endian unsigned 32-bit integers."""
     bound_batches(docs.sparkSession)
     buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    exploded = stored(rows.mapInArrow(_exploded(batch_bytes, buckets, len(names)), _PACK_DDL))
-    answers = exploded.filter("bucket is not null").groupBy("bucket").applyInArrow(_merged(ranks_path), _PACK_DDL).withColumnRenamed("batch", "part")
+    exploded = rows.mapInArrow(_exploded(batch_bytes, len(names)), "batch bigint, docs binary, words binary")
+    asked = exploded.groupBy("batch").applyInArrow(_asked(buckets), _PACK_DDL)
+    answers = asked.groupBy("bucket").applyInArrow(_merged(ranks_path), _PACK_DDL).withColumnRenamed("batch", "part")
     kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
-    whole = exploded.filter("bucket is null").groupBy("batch").cogroup(answers.groupBy("part")).applyInArrow(_assembled(names), f"{kinds}`ids` array<int>, `raw` binary")
-    return whole.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("ids").alias(ids_col), F.col("raw").alias(raw_col))
+    whole = exploded.groupBy("batch").cogroup(answers.groupBy("part")).applyInArrow(_assembled(names, buckets), f"{kinds}`ids` binary")
+    return whole.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("ids").alias(ids_col))
 
 
-def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
-    """(id, piece): the bytes of each token."""
+def token_bytes(ranks_path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The table of token bytes: all pieces one after another, with each id's start and length (-1: no such token)."""
     ranks = load_ranks(ranks_path)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array(list(ranks), pa.binary())}))
-
-
-def _in_a_row(names: list[str], out_col: str):
-    """Rows (pos, document on its first row, piece) in order -> documents with their pieces in a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, open_, last = None, [], -1
-
-        def done(docs: pa.StructArray, data: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*docs.flatten(), pa.array(data, pa.binary())], names=[*names, out_col])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            pos, docs = batch.column(0).fill_null(0).to_numpy(), batch.column(1)
-            raw, offs = bv.buffers(batch.column(2))
-            starts = np.flatnonzero(docs.is_valid().to_numpy(zero_copy_only=False))
-            expected = np.append(last, pos[:-1]) + 1
-            expected[starts] = 0
-            if (pos != expected).any():
-                raise RuntimeError("pieces of a document have left their order")
-            last = int(pos[-1])
-            cuts = [0, *starts.tolist(), batch.num_rows]
-            open_.append(raw[offs[0] : offs[cuts[1]]].tobytes())
-            if not len(starts):
-                continue
-            if whole is not None:
-                yield done(whole, [b"".join(open_)])
-            ends = offs[np.array(cuts[1:])]
-            if len(starts) > 1:
-                yield done(docs.take(pa.array(starts[:-1])), [raw[a:b].tobytes() for a, b in zip(ends[:-2].tolist(), ends[1:-1].tolist(), strict=True)])
-            whole, open_ = docs.take(pa.array(starts[-1:])), [raw[ends[-2] : ends[-1]].tobytes()]
-        if whole is not None:
-            yield done(whole, [b"".join(open_)])
-
-    return run
+    if len(ranks) > MOST_TOKENS or max(ranks.values(), default=0) >= 2 * MOST_TOKENS:
+        raise ValueError(f"a vocabulary of more than {MOST_TOKENS} tokens")
+    length = np.full(max(ranks.values(), default=0) + 2, -1, np.int64)  # the last stands for ids beyond
+    for piece, i in ranks.items():
+        length[i] = len(piece)
+    start = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+    return b"".join(sorted(ranks, key=ranks.__getitem__)), start, length
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """All columns but the ids (array<int>), plus the bytes that these stand for; null ids give null, an id that the vocabulary lacks is an error."""
+    """All columns plus the bytes that the ids stand for; null ids give null, an id that the vocabulary lacks is an error."""
     bound_batches(encoded.sparkSession)
-    if len(load_ranks(ranks_path)) > MOST_TOKENS:
-        raise ValueError(f"a vocabulary of more than {MOST_TOKENS} tokens")
+    table = encoded.sparkSession.sparkContext.broadcast(token_bytes(ranks_path))
     names = [f"c{i}" for i in range(len(encoded.columns))]
     rows = encoded.toDF(*names)
-    mine = names[encoded.columns.index(ids_col)]
-    exploded = rows.select(F.struct(*[n for n in names if n != mine], F.col(mine).isNotNull().alias("given")).alias("whole"), F.posexplode_outer(mine).alias("pos", "id"))
-    # The document itself comes along on its first row alone.
-    exploded = exploded.select("pos", "id", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"))
-    joined = exploded.join(F.broadcast(token_table(encoded.sparkSession, ranks_path)), "id", "left")
-    piece = F.when(F.col("id").isNotNull() & F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no such token: "), F.col("id"))).cast("binary")).otherwise(F.col("piece"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in exploded.schema["whole"].dataType.fields)
-    inner = exploded.schema["whole"].dataType.names
-    out = joined.select("pos", "whole", piece.alias("piece")).mapInArrow(_in_a_row(inner, "__out"), f"{kinds}`__out` binary")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(encoded.columns, names, strict=True) if n != mine], F.when(F.col("given"), F.col("__out")).alias(out_col))
+    at = encoded.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, start, length = table.value
+        data = np.frombuffer(data, np.uint8)
+        for batch in batches:
+            raw, offs = bv.buffers(batch.column(at))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + (2 << 20), "right")) - 1))
+                ids = np.minimum(raw[offs[lo] : offs[hi]].view("<u4"), len(length) - 1)
+                size = length[ids]
+                if len(size) and size.min() < 0:
+                    raise ValueError("no such token")
+                upto = np.concatenate([[0], np.cumsum(size)])[(offs[lo : hi + 1] - offs[lo]) // 4]
+                out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(upto), pa.py_buffer(data[bv.ragged(start[ids], size)])])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, out.cast(pa.binary())], names=[*names, "out"])
+                lo = hi
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
+    out = rows.mapInArrow(run, f"{kinds}out binary")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(encoded.columns, names, strict=True)], F.when(F.col(names[at]).isNotNull(), F.col("out")).alias(out_col))
