@@ -4,29 +4,33 @@ Words are runs of ASCII letters and digits (in lower case) and of bytes beyond A
 n words is found where some run of a document's words is within floor(n * EDITS) word insertions,
 deletions and substitutions of it.
 
-An item cut into one piece more than it may have edits keeps a piece intact wherever it is found,
-so only item-sized windows placed by an intact piece can match (nothing is lost by that).  These
-windows and the items pass a CGK embedding: a random walk that copies a word and moves on or stays
-as a random bit of the word and the step says, which turns edit distance into Hamming distance.
-``TABLES`` samples of ``BITS`` places of the walks retrieve items whose sample is equal (recall
-against brute force is measured in the tests); exact edit distance, with free ends in the window
-and its margins, decides.
-
-Walks drift apart as texts grow, so items of more than ``WALKED`` words are not embedded: their
-windows that lie within the allowed edits of one another become one region, regions with fewer of
-the item's words than a match must have are dropped, and exact distance decides on all others.
-Nothing is lost on these items.
+Items of more than ``SEGMENT`` words are cut into segments of like size.  Wherever an item is found,
+at least one of its segments has no more than its own share of the edits, so segments are searched
+for and items are verified.
+
+Every place of a document begins a window of a segment's size.  Windows and segments pass a CGK
+embedding: a random walk that copies a word and moves on or stays as a random bit of the word and
+the step says, which turns edit distance into Hamming distance.  Windows of all sizes that begin at
+one place share their walk, so it is taken once, ``WALKS`` times over.  A table samples a
+few places of a walk; a window whose sample equals a segment's in some table is a candidate.  Segments
+of like size share tables, whose places lie within the walks of the shortest of them; their number
+(``CLASSES``) is chosen for a recall of 0.95 or more at the edit limit, which the tests measure.
+Exact edit distance, with free ends in the window and its margins, decides on candidates: first of
+the segment, then of the whole item.
 
 No shuffle: items (in blocks of ``ITEM_BYTES``, so that what goes to the executors is bounded)
 meet all documents in one pass over the texts a block.
 
 Defined results: null and empty texts and items match nothing; repeated documents give repeated
-rows, repeated items (one id) count once, the smallest distance of an id wins; empty tables give
-an empty result; other columns are not read.
+rows, repeated items (one id) count once, the smallest distance of an id wins; ids may have any
+type, rows with a null item id are left out; very long texts and items are worked on in pieces of
+bounded size; empty tables give an empty result; other columns are not read by ``matches`` and come
+along unchanged in ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -39,9 +43,11 @@ from pyspark.sql import functions as F
 from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches
 
-EDITS, WALKS, TABLES, BITS, ITEM_BYTES = 0.2, 4, 128, 3, 8 << 20
-#: Words up to which the walks are measured to find their items, and words of regions that are compared at once.
-WALKED, REGION_WORDS = 60, 1 << 20
+EDITS, SEGMENT, WALKS, ITEM_BYTES = 0.2, 32, 4, 8 << 20
+#: Least words of the segments that share tables, the number of these, and the places that each samples.  Below five words no edit is allowed, and one place finds them.
+CLASSES = ((1, 1, 1), (5, 32, 4), (9, 32, 4), (17, 72, 5))
+#: Words of windows that are compared at once.
+REGION_WORDS = 1 << 20
 _SEP = np.ones(256, bool)
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FOLD = bv.fold_table({c: c + 32 for c in range(65, 91)})
@@ -53,41 +59,126 @@ def word_hashes(c: bv.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return c.hasher(_FOLD).of(starts, ends) | np.uint64(1), first
 
 
-def embed(windows: np.ndarray, seed: int, steps: int) -> np.ndarray:
-    """CGK: the walk of each row (padded by zeros), ``steps`` places long."""
-    odd = np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 62, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    rows, width = windows.shape
-    flat = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], 1).ravel()
-    base, at = np.arange(rows) * (width + 1), np.zeros(rows, np.int64)
-    out = np.zeros((rows, steps), np.uint64)
-    for t in range(steps):
-        s = flat[base + at]
-        out[:, t] = s
-        at = np.minimum(at + ((s * odd[t]) >> np.uint64(63)).astype(np.int64), width)
-    return out
+@dataclass
+class Table:
+    """A sample of a walk: its places, and for each place the words that segments have there (by 16 bits); samples of segments in order, with their segments."""
 
+    walk: int
+    places: tuple[int, ...]
+    seen: list[np.ndarray]
+    samples: np.ndarray
+    segment: np.ndarray
+
+
+def _odds(walk: int, steps: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(1000 + walk)).integers(1, 1 << 30, steps, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-@dataclass
-class Items:
-    ids: np.ndarray
-    words: np.ndarray  # item by word, padded by zeros; rows of long items are empty
-    long: dict[int, np.ndarray]  # words of items of more than WALKED words
-    size: np.ndarray
-    edits: np.ndarray
-    piece: np.ndarray  # hashes of pieces, in order, with item, first word and length of each
-    piece_item: np.ndarray
-    piece_at: np.ndarray
-    lengths: list[int]
-    filter: np.ndarray
-    samples: list[tuple[int, np.ndarray, np.ndarray]]
-    tables: np.ndarray  # item by table
 
+def _steps(words: np.ndarray, walk: int, steps: int) -> Iterator[np.ndarray]:
+    """CGK walks from every place of ``words`` (32 bits, zeros behind the last): the word of each walk, step by step."""
+    at = np.arange(len(words), dtype=np.int32)
+    padded = np.concatenate([words, np.zeros(steps + 1, np.uint32)])
+    for odd in _odds(walk, steps):
+        word = padded[at]
+        yield word
+        word = word * odd
+        word >>= np.uint32(31)
+        at += word.view(np.int32)
 
-def _piece_hash(hashes: np.ndarray, n: int) -> np.ndarray:
-    return bv.spans(hashes, n) ^ bv.mix(np.array([n], np.uint64))
+
+def _sample(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for x in parts:
+        out = bv.mix(out ^ x.astype(np.uint64)) + np.uint64(1)
+    return out
 
 
-def prepare(rows: list[tuple[int, str]], share: float = EDITS, walks: int = WALKS, tables: int = TABLES, bits: int = BITS) -> Items | None:
+class Items:
+    """A block of items, ready to be looked for."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], share: float):
+        self.ids, self.words = ids, words
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.edits = np.floor(self.size * share + 1e-9).astype(np.int64)
+        parts = -(-self.size // SEGMENT)
+        self.item = np.repeat(np.arange(len(words)), parts)
+        nth = np.arange(len(self.item)) - np.repeat(np.cumsum(parts) - parts, parts)
+        n = self.size[self.item]
+        self.at = nth * n // parts[self.item]  # first word of each segment in its item
+        self.length = (nth + 1) * n // parts[self.item] - self.at
+        self.allowed = np.floor(self.length * share + 1e-9).astype(np.int64)
+        flat = np.concatenate(words)
+        begin = (np.cumsum(self.size) - self.size)[self.item] + self.at
+        inside = np.arange(SEGMENT) < self.length[:, None]
+        self.segments = np.where(inside, flat[np.minimum(begin[:, None] + np.arange(SEGMENT), len(flat) - 1)], _PAD)
+        self.tables: list[Table] = []
+        rng = np.random.Generator(np.random.PCG64(5))
+        least = [c[0] for c in CLASSES]
+        for c, (low, count, bits) in enumerate(CLASSES):
+            mine = np.flatnonzero(np.searchsorted(least, self.length, "right") - 1 == c)
+            reach = low + low // 2 if c else 1
+            plans = [(k % WALKS, tuple(sorted(rng.choice(reach, min(bits, reach), replace=False).tolist()))) for k in range(count)]
+            if len(mine):
+                self._add(mine, plans, reach)
+        self.reach = max(t.places[-1] for t in self.tables) + 1
+
+    def _add(self, mine: np.ndarray, plans: list[tuple[int, tuple[int, ...]]], reach: int) -> None:
+        # Segments stand apart by as many zeros as a walk may run on into.
+        gap = SEGMENT + reach + 1
+        rows = np.zeros((len(mine), gap), np.uint32)
+        rows[:, :SEGMENT] = self.segments[mine] >> np.uint64(32)
+        starts = np.arange(len(mine)) * gap
+        walks = {w: np.stack([v[starts] for v in _steps(rows.ravel(), w, reach)]) for w in {p[0] for p in plans}}
+        for walk, places in plans:
+            parts = [walks[walk][p] for p in places]
+            whole = np.flatnonzero(np.all([x != 0 for x in parts], 0))  # a walk that has left its segment says nothing
+            if not len(whole):
+                continue
+            seen = []
+            for x in parts:
+                s = np.zeros(1 << 16, bool)
+                s[x[whole] >> np.uint32(16)] = True
+                seen.append(s)
+            sample = _sample([x[whole] for x in parts])
+            order = np.argsort(sample)
+            self.tables.append(Table(walk, places, seen, sample[order], mine[whole][order]))
+
+    def candidates(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, segment) of all windows that agree with a segment in some table."""
+        short = (words >> np.uint64(32)).astype(np.uint32)
+        short[short == 0] = 1
+        starts, segments = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for walk in sorted({t.walk for t in self.tables}):
+            tables = [t for t in self.tables if t.walk == walk]
+            due: dict[int, list[Table]] = {}
+            for t in tables:
+                for p in t.places:
+                    due.setdefault(p, []).append(t)
+            open_: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+            for p, word in enumerate(_steps(short, walk, max(due) + 1)):
+                key = word >> np.uint32(16) if p in due else None
+                for t in due.get(p, ()):
+                    seen = t.seen[t.places.index(p)]
+                    if p == t.places[0]:
+                        at, before = np.flatnonzero(seen[key]), []
+                    else:
+                        at, before = open_.pop(id(t))
+                        keep = seen[key[at]]
+                        at, before = at[keep], [x[keep] for x in before]
+                    before = [*before, word[at]]
+                    if p != t.places[-1]:
+                        open_[id(t)] = (at, before)
+                    elif len(at):
+                        sample = _sample(before)
+                        lo, hi = np.searchsorted(t.samples, sample, "left"), np.searchsorted(t.samples, sample, "right")
+                        starts.append(np.repeat(at, hi - lo))
+                        segments.append(t.segment[bv.ragged(lo, hi - lo)])
+        both = np.unique(np.concatenate(starts) * len(self.item) + np.concatenate(segments))
+        return both // len(self.item), both % len(self.item)
+
+
+def read_items(rows: list[tuple]) -> tuple[list, list[np.ndarray]]:
+    """Ids and word hashes of the items that have words."""
     ids, words = [], []
     for c in bv.chunks(pa.array([t for _, t in rows], pa.string())):
         h, first = word_hashes(c)
@@ -95,42 +186,12 @@ def prepare(rows: list[tuple[int, str]], share: float = EDITS, walks: int = WALK
             if first[i + 1] > first[i]:
                 ids.append(rows[c.lo + i][0])
                 words.append(h[first[i] : first[i + 1]])
-    if not ids:
-        return None
-    size = np.array([len(w) for w in words])
-    edits = np.floor(size * share + 1e-9).astype(np.int64)
-    short = size <= WALKED
-    padded = np.zeros((len(ids), size[short].max() if short.any() else 1), np.uint64)
-    pieces = []
-    for i, w in enumerate(words):
-        if short[i]:
-            padded[i, : len(w)] = w
-        cuts = np.linspace(0, len(w), edits[i] + 2).round().astype(int)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            pieces.append((int(_piece_hash(w[a:b], b - a)[0]), i, a, b - a))
-    pieces.sort()
-    piece = np.array([p[0] for p in pieces], np.uint64)
-    seen = np.zeros(1 << 22, bool)
-    seen[piece >> np.uint64(42)] = True
-    rng = np.random.Generator(np.random.PCG64(5))
-    samples = [(k % walks, rng.integers(0, 1 << 30, bits), np.uint64(rng.integers(1, 1 << 62))) for k in range(tables)]
-    out = Items(np.array(ids), padded, {i: w for i, w in enumerate(words) if not short[i]}, size, edits, piece, np.array([p[1] for p in pieces]), np.array([p[2] for p in pieces]), sorted({p[3] for p in pieces}), seen, samples, np.zeros(0))
-    out.tables = _tables(padded, np.minimum(size, padded.shape[1]), out)
-    return out
+    return ids, words
 
 
-def _tables(windows: np.ndarray, size: np.ndarray, items: Items) -> np.ndarray:
-    """Each row's sample in each table; places are drawn from the first two thirds of the walk, which most walks fill."""
-    steps = 2 * windows.shape[1]
-    out = np.zeros((len(windows), len(items.samples)), np.uint64)
-    walks = {w: embed(windows, 1000 + w, steps) for w in {s[0] for s in items.samples}}
-    rows = np.arange(len(windows))
-    for k, (walk, places, salt) in enumerate(items.samples):
-        h = np.full(len(windows), salt, np.uint64)
-        for p in places:
-            h = bv.mix(h ^ walks[walk][rows, p % np.maximum(1, 2 * size)])
-        out[:, k] = h
-    return out
+def prepare(rows: list[tuple], share: float = EDITS) -> Items | None:
+    ids, words = read_items(rows)
+    return Items(ids, words, share) if ids else None
 
 
 def distance(region: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -138,7 +199,7 @@ def distance(region: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarr
     rows, width = region.shape
     best = np.zeros(rows, np.int64)
     row, col = np.zeros((rows, width + 1), np.int32), np.arange(width + 1, dtype=np.int32)
-    for i in range(item.shape[1]):
+    for i in range(int(size.max())):
         e = np.empty_like(row)
         e[:, 0] = i + 1
         e[:, 1:] = np.minimum(row[:, :-1] + ((region != item[:, i : i + 1]) | (region == _PAD)), row[:, 1:] + 1)
@@ -149,147 +210,138 @@ def distance(region: np.ndarray, item: np.ndarray, size: np.ndarray) -> np.ndarr
     return best
 
 
-def _regions(doc: np.ndarray, start: np.ndarray, item: np.ndarray, first: np.ndarray, items: Items) -> list[tuple[int, int, int, int]]:
-    """(document, item, first word, end): windows of one document and item that lie within the allowed edits are one region, with margins."""
-    order = np.lexsort((start, item, doc))
-    d, s, k = doc[order], start[order], item[order]
-    fresh = np.ones(len(d), bool)
-    fresh[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] - s[:-1] > items.edits[k[1:]])
+def _regions(doc: np.ndarray, what: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, what, first word, end): stretches of words, cut at their documents' ends; those of one document that look for one thing and meet are one."""
+    if not len(doc):
+        return doc, what, lo, hi
+    lo, hi = np.maximum(lo, first[doc]), np.minimum(hi, first[doc + 1])
+    order = np.lexsort((lo, what, doc))
+    doc, what, lo, hi = doc[order], what[order], lo[order], hi[order]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (what[1:] != what[:-1])
+    far = (np.cumsum(fresh) - 1) * (int(first[-1]) + 1)
+    upto = np.maximum.accumulate(hi + far) - far
+    fresh[1:] |= lo[1:] > upto[:-1]
     a = np.flatnonzero(fresh)
-    z = np.append(a[1:], len(d)) - 1
-    d, k = d[a], k[a]
-    lo = np.maximum(s[a] - items.edits[k], first[d])
-    hi = np.minimum(s[z] + items.size[k] + items.edits[k], first[d + 1])
-    return list(zip(d.tolist(), k.tolist(), lo.tolist(), hi.tolist(), strict=True))
-
-
-def _long(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray, item: np.ndarray, first: np.ndarray, items: Items) -> Iterator[np.ndarray]:
-    """Rows (document, item, least edits) of long items, by exact distance on all regions that hold enough of the item's words."""
-    bags: dict[int, np.ndarray] = {}
-    held: list[tuple[int, int, int, int]] = []
-
-    def compared() -> np.ndarray:
-        d, k, lo, hi = (np.array(x) for x in zip(*held, strict=True))
-        region = np.zeros((len(held), int((hi - lo).max())), np.uint64)
-        wanted = np.zeros((len(held), int(items.size[k].max())), np.uint64)
-        for r, (_, i, x, y) in enumerate(held):
-            region[r, : y - x] = hashes[x:y]
-            wanted[r, : items.size[i]] = items.long[i]
-        edits = distance(region, wanted, items.size[k])
-        ok = edits <= items.edits[k]
-        return np.stack([d[ok], k[ok], edits[ok]], 1)
-
-    # Regions of like size go together, so that padding stays small.
-    for d, i, lo, hi in sorted(_regions(doc, start, item, first, items), key=lambda x: (x[3] - x[2], x)):
-        if i not in bags:
-            bags[i] = np.unique(items.long[i])
-        bag, region = bags[i], hashes[lo:hi]
-        if int((bag[np.minimum(np.searchsorted(bag, region), len(bag) - 1)] == region).sum()) < items.size[i] - items.edits[i]:
-            continue
-        if held and (len(held) + 1) * (hi - lo) > REGION_WORDS:
-            yield compared()
-            held.clear()
-        held.append((d, i, lo, hi))
-    if held:
-        yield compared()
-
-
-def _find(hashes: np.ndarray, first: np.ndarray, items: Items, exact_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return doc[a], what[a], lo[a], upto[np.append(a[1:], len(doc)) - 1]
+
+
+def _compared(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, sought: list[np.ndarray] | np.ndarray, which: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Least edits between each region and what it is held against, regions of like size together so that padding stays small."""
+    out = np.zeros(len(lo), np.int64)
+    order = np.lexsort((hi - lo, size[which]))
+    i = 0
+    while i < len(order):
+        j, widest = i, 0
+        while j < len(order):
+            widest = max(widest, int(hi[order[j]] - lo[order[j]]))
+            if j > i and (j + 1 - i) * max(widest, int(size[which[order[j]]])) > REGION_WORDS:
+                break
+            j += 1
+        r = order[i:j]
+        n, k = hi[r] - lo[r], which[r]
+        region = np.zeros((len(r), max(1, int(n.max()))), np.uint64)
+        region[np.arange(region.shape[1]) < n[:, None]] = hashes[bv.ragged(lo[r], n)]
+        wanted = np.zeros((len(r), int(size[k].max())), np.uint64)
+        for row, x in enumerate(k.tolist()):
+            wanted[row, : size[x]] = sought[x][: size[x]]
+        out[r] = distance(region, wanted, size[k])
+        i = j
+    return out
+
+
+def find(hashes: np.ndarray, first: np.ndarray, items: Items, exact_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, least edits) of all matches in these documents."""
     none = np.zeros(0, np.int64)
-    starts, who = [none], [none]
-    for n in items.lengths:
-        h = _piece_hash(hashes, n)
-        at = np.flatnonzero(items.filter[h >> np.uint64(42)])
-        lo, hi = np.searchsorted(items.piece, h[at], "left"), np.searchsorted(items.piece, h[at], "right")
-        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-        pick = bv.ragged(lo, hi - lo)
-        starts.append(np.repeat(at, hi - lo) - items.piece_at[pick])
-        who.append(items.piece_item[pick])
-    start, item = np.concatenate(starts), np.concatenate(who)
-    if not len(start):
-        return none, none, none
-    # A window may begin before its document; the document is the piece's.
-    both = np.unique(np.stack([start, item], 1), axis=0)
-    start, item = both[:, 0], both[:, 1]
-    middle = np.clip(start + items.size[item] // 2, 0, len(hashes) - 1)
-    doc = np.searchsorted(first, middle, "right") - 1
-    # Windows at a document's edge are placed by each document that they touch.
-    touch = [(doc, start, item)]
-    for edge in (start, start + items.size[item] - 1):
-        d = np.searchsorted(first, np.clip(edge, 0, len(hashes) - 1), "right") - 1
-        other = d != doc
-        touch.append((d[other], start[other], item[other]))
-    doc, start, item = (np.concatenate(x) for x in zip(*touch, strict=True))
-    long = items.size[item] > WALKED
-    out = list(_long(hashes, doc[long], start[long], item[long], first, items)) if long.any() else []
-    doc, start, item = doc[~long], start[~long], item[~long]
-    for i in range(0, len(doc), 20_000):
-        d, s, k = doc[i : i + 20_000], start[i : i + 20_000], item[i : i + 20_000]
-        lo, hi = first[d], first[d + 1]
-
-        def cut(begin, length):
-            width = int(length.max())
-            at = begin[:, None] + np.arange(width)
-            good = (np.arange(width) < length[:, None]) & (at >= lo[:, None]) & (at < hi[:, None])
-            return np.where(good, hashes[np.clip(at, 0, len(hashes) - 1)], _PAD)
-
-        if not exact_only:
-            begin = np.maximum(s, lo)  # at a document's edge the walk begins with its first word
-            window = cut(begin, items.size[k])
-            width = items.words.shape[1]
-            window = np.concatenate([window, np.zeros((len(window), width - window.shape[1]), np.uint64)], 1) if window.shape[1] < width else window
-            hit = (_tables(window, items.size[k], items) == items.tables[k]).any(1)
-            d, s, k, lo, hi = d[hit], s[hit], k[hit], lo[hit], hi[hit]
-            if not len(d):
-                continue
-        margin = items.edits[k]
-        region = cut(s - margin, items.size[k] + 2 * margin)
-        edits = distance(region, items.words[k][:, : int(items.size[k].max())], items.size[k])
-        ok = edits <= items.edits[k]
-        out.append(np.stack([d[ok], k[ok], edits[ok]], 1))
-    if not out:
-        return none, none, none
-    found = np.concatenate(out)
-    found = found[np.lexsort((found[:, 2], items.ids[found[:, 1]], found[:, 0]))]
+    if exact_only:  # whole documents against all items
+        docs = np.flatnonzero(np.diff(first))
+        doc, item = np.repeat(docs, len(items.words)), np.tile(np.arange(len(items.words)), len(docs))
+        lo, hi = first[doc], first[doc + 1]
+    else:
+        start, segment = items.candidates(hashes)
+        if not len(start):
+            return none, none, none
+        doc = np.searchsorted(first, start, "right") - 1
+        margin = 2 * items.allowed[segment] + 1
+        doc, segment, lo, hi = _regions(doc, segment, start - margin, start + items.length[segment] + margin, first)
+        edits = _compared(hashes, lo, hi, items.segments, segment, items.length)
+        ok = edits <= items.allowed[segment]
+        doc, segment, lo, hi, edits = doc[ok], segment[ok], lo[ok], hi[ok], edits[ok]
+        item = items.item[segment]
+        whole = items.length[segment] == items.size[item]
+        out = [np.stack([doc[whole], item[whole], edits[whole]], 1)]
+        # Of items of several segments: where the item would stand around the segment that was found.
+        doc, item, segment, lo, hi = doc[~whole], item[~whole], segment[~whole], lo[~whole], hi[~whole]
+        margin, rest = 2 * items.edits[item], items.size[item] - items.at[segment] - items.length[segment]
+        doc, item, lo, hi = _regions(doc, item, lo - items.at[segment] - margin, hi + rest + margin, first)
+    edits = _compared(hashes, lo, hi, items.words, item, items.size)
+    ok = edits <= items.edits[item]
+    found = np.concatenate([*([] if exact_only else out), np.stack([doc[ok], item[ok], edits[ok]], 1)])
+    name = {x: i for i, x in enumerate(items.ids)}
+    same = np.array([name[x] for x in items.ids])[found[:, 1]]  # rows of one id are one item
+    found = found[np.lexsort((found[:, 2], same, found[:, 0]))]
+    same = np.array([name[x] for x in items.ids])[found[:, 1]]
     fresh = np.ones(len(found), bool)
-    fresh[1:] = (found[1:, 0] != found[:-1, 0]) | (items.ids[found[1:, 1]] != items.ids[found[:-1, 1]])
+    fresh[1:] = (found[1:, 0] != found[:-1, 0]) | (same[1:] != same[:-1])
     found = found[fresh]
     return found[:, 0], found[:, 1], found[:, 2]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+_known: dict[str, Items] = {}
+
+
+class _Block:
+    """Items as they go to the executors: their words alone; each Python worker makes the tables of the block that it works on."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], share: float):
+        self.name, self.ids, self.words, self.share = uuid.uuid4().hex, ids, words, share
+
+    def items(self) -> Items:
+        if self.name not in _known:
+            _known.clear()
+            _known[self.name] = Items(self.ids, self.words, self.share)
+        return _known[self.name]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int, share: float) -> Iterator[_Block]:
     held, size = [], 0
-    for r in items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col).toLocalIterator():
+
+    def block() -> Iterator[_Block]:
+        ids, words = read_items(held)
+        if ids:
+            yield _Block(ids, words, share)
+
+    for r in items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).toLocalIterator():
         held.append((r[0], r[1]))
         size += len(r[1])
         if size >= block_bytes:
-            yield held
+            yield from block()
             held, size = [], 0
-    if held:
-        yield held
+    yield from block()
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = EDITS, exact_only: bool = False, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(id, item, edits, item_words): every item found in every document, with its least distance.
 
-    ``exact_only`` skips the embedding and compares all placed windows, to measure recall by.
+    ``exact_only`` compares whole documents with all items, to measure recall by.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).alias("text"))
-    ddl = "d bigint, item bigint, edits bigint, item_words bigint"
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("text"))
+    kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    ddl = f"d {kinds[0]}, item {kinds[1]}, edits bigint, item_words bigint"
 
-    def finder(block: Items):
+    def finder(block: _Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = block.items()
             for batch in batches:
                 for c in bv.chunks(batch.column(1)):
-                    d, k, e = _find(*word_hashes(c), block, exact_only)
+                    d, k, e = find(*word_hashes(c), items, exact_only)
                     if len(d):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.lo + d)), pa.array(block.ids[k].astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(block.size[k].astype(np.int64))], names=["d", "item", "edits", "item_words"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.lo + d)), pa.array([items.ids[i] for i in k.tolist()]), pa.array(e.astype(np.int64)), pa.array(items.size[k].astype(np.int64))], names=["d", "item", "edits", "item_words"])
 
         return run
 
-    found = [rows.mapInArrow(finder(b), ddl) for b in (prepare(x, share) for x in _blocks(items, item_col, item_text, item_bytes)) if b is not None]
+    found = [rows.mapInArrow(finder(b), ddl) for b in _blocks(items, item_col, item_text, item_bytes, share)]
     out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], ddl)
     if len(found) > 1:  # an item's rows may lie in several blocks
         out = out.groupBy("d", "item").agg(F.min("edits").alias("edits"), F.min("item_words").alias("item_words"))
@@ -303,18 +355,18 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text:
     names = [f"c{i}" for i in range(len(docs.columns))]
     ddl = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
 
-    def keeper(block: Items):
+    def keeper(block: _Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = block.items()
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for c in bv.chunks(batch.column(at)):
-                    keep[c.lo + _find(*word_hashes(c), block, False)[0]] = False
+                    keep[c.lo + find(*word_hashes(c), items)[0]] = False
                 yield batch.filter(pa.array(keep))
 
         return run
 
     out = docs.toDF(*names)
-    for block in (prepare(x, share) for x in _blocks(items, id_col, item_text, item_bytes)):
-        if block is not None:
-            out = out.mapInArrow(keeper(block), ddl)
+    for block in _blocks(items, id_col, item_text, item_bytes, share):
+        out = out.mapInArrow(keeper(block), ddl)
     return out.toDF(*docs.columns)

@@ -139,8 +139,8 @@ def test_edit_distance_and_recall_of_the_embedding():
     for exact_only, least in ((True, 1.0), (False, 0.97)):
         got = set()
         for c in chunked(texts, 5000):
-            d, k, e = decontaminate._find(*decontaminate.word_hashes(c), block, exact_only)
-            got |= {(c.lo + int(a), int(block.ids[b]), int(x)) for a, b, x in zip(d, k, e, strict=True)}
+            d, k, e = decontaminate.find(*decontaminate.word_hashes(c), block, exact_only)
+            got |= {(c.lo + int(a), block.ids[int(b)], int(x)) for a, b, x in zip(d, k, e, strict=True)}
         assert got <= want and len(got) >= least * len(want)
     assert len(want) >= 200
 
@@ -149,7 +149,7 @@ def test_bytes_before_documents_do_not_matter():
     block = decontaminate.prepare([(1, "alpha beta gamma delta epsilon zeta")])
     for texts in (["alpha beta gamma delta epsilon zeta"], ["x", "alpha beta gamma delta epsilon zeta", "y"], ["alpha beta gamma", "delta epsilon zeta"]):
         c = next(chunked(texts, 1 << 20))
-        found = decontaminate._find(*decontaminate.word_hashes(c), block, False)[0].tolist()
+        found = decontaminate.find(*decontaminate.word_hashes(c), block, False)[0].tolist()
         assert found == [i for i, t in enumerate(texts) if len(t.split()) == 6]
 
 

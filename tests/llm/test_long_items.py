@@ -49,8 +49,8 @@ def found(items, texts, exact_only=False):
     block = decontaminate.prepare([(i, " ".join(w)) for i, w in items])
     got = set()
     for c in byte_chunks(pa.array([" ".join(t) for t in texts], pa.string())):
-        d, k, e = decontaminate._find(*decontaminate.word_hashes(c), block, exact_only)
-        got |= {(c.lo + int(a), int(block.ids[b]), int(x)) for a, b, x in zip(d, k, e, strict=True)}
+        d, k, e = decontaminate.find(*decontaminate.word_hashes(c), block, exact_only)
+        got |= {(c.lo + int(a), block.ids[int(b)], int(x)) for a, b, x in zip(d, k, e, strict=True)}
     return got
 
 
