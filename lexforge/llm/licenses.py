@@ -105,21 +105,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     has_mark = None
     for w in marks:
         has_mark = low.contains(w) if has_mark is None else has_mark | low.contains(w)
-    words = docs.filter(has_mark).select(F.col(id_col).alias("__id"), F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "").alias("w"))
+    words = docs.filter(has_mark).select(F.col(id_col).alias("own"), F.monotonically_increasing_id().alias("__id"), F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "").alias("w"))
     # One shingle for a text of fewer words than n; else one a place.
     last = F.greatest(F.lit(0), F.size("w") - n)  # an anchor has been found, so there is a word
-    words = words.select("__id", "w", F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " "))).alias("sh"))
+    words = words.select("own", "__id", "w", F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, n), " "))).alias("sh"))
     mark_set = F.array(*[F.lit(w) for w in marks])
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(mark_set, F.element_at("w", i + 1)))
-    words = words.select("__id", "sh", at.alias("at"))
+    words = words.select("own", "__id", "sh", at.alias("at"))
     starts = F.concat(*[_windows(c, n) for c in classes])
     # Outer: else the optimizer tests for an empty array before the words are split, and so splits for every use.
-    windows = words.select("__id", "sh", F.explode_outer(starts).alias("x")).filter(F.col("x").isNotNull()).select("__id", F.col("x.cls").alias("cls"), F.array_distinct(F.slice("sh", F.col("x.from") + 1, F.col("x.width"))).alias("sh"))
-    banded = windows.select("__id", "cls", "sh", F.posexplode(least(F.col("sh"))).alias("band", "value"))
+    windows = words.select("own", "__id", "sh", F.explode_outer(starts).alias("x")).filter(F.col("x").isNotNull()).select("own", "__id", F.col("x.cls").alias("cls"), F.array_distinct(F.slice("sh", F.col("x.from") + 1, F.col("x.width"))).alias("sh"))
+    banded = windows.select("own", "__id", "cls", "sh", F.posexplode(least(F.col("sh"))).alias("band", "value"))
     hit = banded.join(F.broadcast(known), ["cls", "band", "value"])
     share = F.size(F.array_intersect("sh", "wanted")) / F.size("wanted")
-    best = hit.select("__id", "license", share.alias("share")).filter(F.col("share") >= contained).groupBy("__id", "license").agg(F.max("share").alias("share"))
-    return best.select(F.col("__id").alias(id_col), "license", F.round("share", 6).alias("containment"))
+    best = hit.select("own", "__id", "license", share.alias("share")).filter(F.col("share") >= contained).groupBy("__id", "license").agg(F.max("share").alias("share"), F.first("own").alias("own"))
+    # Rows are told apart by their place, so repeated ids and null ones stay rows of their own.
+    return best.select(F.col("own").alias(id_col), "license", F.round("share", 6).alias("containment"))
 
 
 def oracle(templates: dict[str, str] | None = None, n: int = WORDS, contained: float = CONTAINED) -> str:
@@ -128,10 +129,10 @@ def oracle(templates: dict[str, str] | None = None, n: int = WORDS, contained: f
     rows = ", ".join("('{}', {}, {}, '{}')".format(name, size_class(len(s)), len(s), x) for name, t in templates.items() if (s := template_shingles(t, n)) for x in s)
     return f"""
 with t(license, cls, m, s) as (values {rows}),
-w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents where text is not null),
-p as (select doc_id, w, unnest(range(0, greatest(len(w) - {n}, 0) + 1)) as i from w where len(w) > 0),
-s as (select doc_id, i, array_to_string(w[i + 1 : i + {n}], ' ') as s from p),
-m as (select doc_id, i, license, cls, m, s.s, greatest(1, cls // 2) as step from s join t on s.s = t.s),
-k as (select doc_id, license, m, s, unnest(range(greatest(0, cast(ceil((i - (cls + step) + 1) / step) as bigint)), i // step + 1)) as k from m),
-c as (select doc_id, license, k, count(distinct s) / any_value(m) as share from k group by all)
-select doc_id, license, round(max(share), 6) as containment from c where share >= {contained} group by doc_id, license"""
+w as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents where text is not null),
+p as (select r, doc_id, w, unnest(range(0, greatest(len(w) - {n}, 0) + 1)) as i from w where len(w) > 0),
+s as (select r, doc_id, i, array_to_string(w[i + 1 : i + {n}], ' ') as s from p),
+m as (select r, doc_id, i, license, cls, m, s.s, greatest(1, cls // 2) as step from s join t on s.s = t.s),
+k as (select r, doc_id, license, m, s, unnest(range(greatest(0, cast(ceil((i - (cls + step) + 1) / step) as bigint)), i // step + 1)) as k from m),
+c as (select r, doc_id, license, k, count(distinct s) / any_value(m) as share from k group by all)
+select doc_id, license, round(max(share), 6) as containment from c where share >= {contained} group by r, doc_id, license"""

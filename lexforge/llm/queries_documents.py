@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import langid, quality, sharding, warc
-from lexforge.llm.shared import table
+from lexforge.llm.shared import shared_path, table
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,16 +23,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, whole documents with their texts, and returns the digest of what was written."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    dealt = sharding.two_pass(rows, ["doc_id", "text_crc32", "size"], "size", shards=24)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    path = shared_path(spark, "shards")
+    sharding.write_shards(sharding.two_pass(rows, ["doc_id", "text_crc32", "size"], "size", shards=24), path)
+    written = spark.read.parquet(path)
+    return written.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), headers=False).drop("block")
-
-
-def op7_warc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7_warc_derivatives drops headers and blocks, as its SQL does; this returns both."""
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))

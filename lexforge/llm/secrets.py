@@ -2,14 +2,15 @@
 
 Candidates are runs of 16 or more token characters.  Their features are whole numbers: length,
 shares of digits and capitals, character transitions, common letter pairs, dictionary coverage,
-distinct characters, neighbouring words, what stands right before, and the path.  The forest is
+distinct characters, neighbouring words on both sides, what stands right before, and the path.  The forest is
 trained by numpy on labelled findings (a bounded list; by default drawn by rule from a seed) and
 becomes nested CASE expressions, so scoring is built-in functions over the arrays of one row: no
 shuffle, no Python on the executors.
 
 Defined results: null and empty texts have no findings; each occurrence is a finding of its own,
 told apart by its word and its place in it; repeated rows give repeated findings; a null path
-counts as an empty one; an empty table gives an empty result; only the named columns are read.
+counts as an empty one; an empty table gives an empty result; very long texts are one array of words in one task, like any
+other; ``scan`` reads the named columns only, ``redact`` keeps all others, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 MIN_CHARS, TREES, DEPTH, FINDINGS, THRESHOLD, MASK = 16, 15, 5, 3000, 0.5, "[SECRET]"
 _WORD = r"[ \t\n\x0B\f\r]+"
-_TOKEN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+#: A run of token characters; parts that full stops join (as in signed web tokens) are one candidate.
+_TOKEN = r"[A-Za-z0-9_+/-]{16,}(?:\.[A-Za-z0-9_+/-]{16,}){0,2}={0,2}"
 # Frequent letter pairs and words of English and of code.
 _PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|nt|to|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ch|ll|be|ma|si|om|ur|ie|sc|qu|ci|ue|la|os"
 _WORDS = "the|and|for|with|that|this|from|have|name|user|test|example|sample|config|index|table|default|service|file|path|data|value|time|type|list|model|client|server|version|request|response|controller|manager|update|create|delete|order|account|invoice|number|string|token|secret|password|key"
@@ -34,37 +36,37 @@ _BAD = "example|dummy|sample|placeholder|commit|sha[0-9]*|md5|hash|checksum|uuid
 _SET = """[:=] ?["']?$"""
 _TEST_PATH = "test|example|sample|fixture|mock|docs?/"
 _CHANGE = "[a-z][^a-z]|[A-Z][^A-Z]|[0-9][^0-9]"
-NAMES = ("chars", "digits", "capitals", "transitions", "pairs", "dictionary", "variety", "hexadecimal", "separators", "near_good", "near_bad", "assigned", "test_path")
+NAMES = ("chars", "digits", "capitals", "transitions", "pairs", "dictionary", "variety", "hexadecimal", "separators", "near_good", "near_bad", "assigned", "test_path", "after_good", "after_bad")
 
 
-def features(c: Column, before: Column, path: Column) -> list[Column]:
-    """The features of a candidate, by NAMES.  before: two words and what the candidate's own word has before it."""
+def features(c: Column, before: Column, path: Column, after: Column) -> list[Column]:
+    """The features of a candidate, by NAMES.  before: two words and what the candidate's own word has before it; after: the two words behind."""
     n, low = F.length(c), F.lower(c)
     share = lambda x: F.floor(100 * x / n).cast("int")
     count = lambda s, p: F.regexp_count(s, F.lit(p))
     flag = lambda x: x.cast("int")
     near = F.lower(before)
-    return [n, share(count(c, "[0-9]")), share(count(c, "[A-Z]")), share(count(c, _CHANGE)), share(count(low, _PAIRS)), share(n - F.length(F.regexp_replace(low, _WORDS, ""))), share(F.size(F.array_distinct(F.split(c, "")))), flag(c.rlike("^[0-9a-f]+$")), count(c, "[/_-]"), flag(near.rlike(_GOOD)), flag(near.rlike(_BAD)), flag(before.rlike(_SET)), flag(F.coalesce(F.lower(path).rlike(_TEST_PATH), F.lit(False)))]
+    return [n, share(count(c, "[0-9]")), share(count(c, "[A-Z]")), share(count(c, _CHANGE)), share(count(low, _PAIRS)), share(n - F.length(F.regexp_replace(low, _WORDS, ""))), share(F.size(F.array_distinct(F.split(c, "")))), flag(c.rlike("^[0-9a-f]+$")), count(c, "[/_-]"), flag(near.rlike(_GOOD)), flag(near.rlike(_BAD)), flag(before.rlike(_SET)), flag(F.coalesce(F.lower(path).rlike(_TEST_PATH), F.lit(False))), flag(F.lower(after).rlike(_GOOD)), flag(F.lower(after).rlike(_BAD))]
 
 
-def features_sql(c: str = "c", before: str = "before", path: str = "path") -> list[str]:
+def features_sql(c: str = "c", before: str = "before", path: str = "path", after: str = "after") -> list[str]:
     q = lambda p: "'" + p.replace("'", "''") + "'"
     count = lambda s, p: f"len(regexp_extract_all({s}, {q(p)}))"
     share = lambda x: f"cast(floor(100 * ({x}) / length({c})) as int)"
     flag = lambda s, p: f"cast(coalesce(regexp_matches({s}, {q(p)}), false) as int)"
-    return [f"length({c})", share(count(c, "[0-9]")), share(count(c, "[A-Z]")), share(count(c, _CHANGE)), share(count(f"lower({c})", _PAIRS)), share(f"length({c}) - length(regexp_replace(lower({c}), {q(_WORDS)}, '', 'g'))"), share(f"len(list_distinct(string_split({c}, '')))"), flag(c, "^[0-9a-f]+$"), count(c, "[/_-]"), flag(f"lower({before})", _GOOD), flag(f"lower({before})", _BAD), flag(before, _SET), flag(f"lower({path})", _TEST_PATH)]
+    return [f"length({c})", share(count(c, "[0-9]")), share(count(c, "[A-Z]")), share(count(c, _CHANGE)), share(count(f"lower({c})", _PAIRS)), share(f"length({c}) - length(regexp_replace(lower({c}), {q(_WORDS)}, '', 'g'))"), share(f"len(list_distinct(string_split({c}, '')))"), flag(c, "^[0-9a-f]+$"), count(c, "[/_-]"), flag(f"lower({before})", _GOOD), flag(f"lower({before})", _BAD), flag(before, _SET), flag(f"lower({path})", _TEST_PATH), flag(f"lower({after})", _GOOD), flag(f"lower({after})", _BAD)]
 
 
-def features_py(c: str, before: str, path: str) -> list[int]:
+def features_py(c: str, before: str, path: str, after: str) -> list[int]:
     n, low = len(c), c.lower()
     share = lambda x: 100 * x // n
     count = lambda s, p: sum(1 for _ in re.finditer(p, s))
     flag = lambda s, p: int(re.search(p, s) is not None)
-    return [n, share(count(c, "[0-9]")), share(count(c, "[A-Z]")), share(count(c, _CHANGE)), share(count(low, _PAIRS)), share(n - len(re.sub(_WORDS, "", low))), share(len(set(c))), flag(c, "^[0-9a-f]+$"), count(c, "[/_-]"), flag(before.lower(), _GOOD), flag(before.lower(), _BAD), flag(before, _SET), flag(path.lower(), _TEST_PATH)]
+    return [n, share(count(c, "[0-9]")), share(count(c, "[A-Z]")), share(count(c, _CHANGE)), share(count(low, _PAIRS)), share(n - len(re.sub(_WORDS, "", low))), share(len(set(c))), flag(c, "^[0-9a-f]+$"), count(c, "[/_-]"), flag(before.lower(), _GOOD), flag(before.lower(), _BAD), flag(before, _SET), flag(path.lower(), _TEST_PATH), flag(after.lower(), _GOOD), flag(after.lower(), _BAD)]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, int]]:
-    """(candidate, before, path, 1 if a secret): drawn by rule."""
+def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
+    """(candidate, before, path, after, 1 if a secret): drawn by rule."""
     r = random.Random(seed)
     any_of = lambda chars, k: "".join(r.choices(chars, k=k))
     pairs = _PAIRS.split("|")
@@ -79,20 +81,26 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, str,
     false = [syllables, lambda: syllables().capitalize(), lambda: syllables().upper(), lambda: some(3, "_") + "_id", lambda: "".join(w.capitalize() for w in some(4, " ").split()), lambda: some(4, "/"), lambda: some(4, "-"), lambda: any_of(string.digits, r.randrange(16, 24)), lambda: r.choice("xX0a-_") * r.randrange(16, 40), lambda: "your_" + some(2, "_") + "_here", lambda: some(4, "_").upper(), lambda: any_of("-_=#", 3) * 6]
     hashes = [lambda: f"{r.choice(['commit', 'sha1', 'sha256', 'md5', 'checksum', 'revision', 'integrity'])} {r.choice(['', ': ', '= '])}", lambda: f"see http {r.choice(['example', 'uuid'])}="]
     paths = ["src/app.py", "config/prod.yaml", "src0", "src7", "lib/main.go", ""]
+    behind = lambda: r.choice([plain(), plain(), "", f"# {r.choice(keys)}", f"is the {r.choice(keys)}"])
+    signed = lambda: "ey" + ".".join(any_of(b64 + "_-", r.randrange(18, 44)) for _ in range(3))
     out = []
     for _ in range(n):
         x, path = r.random(), r.choice(paths)
-        if x < 0.3:
-            out.append((r.choice(true)(), assigned(), path, 1))
+        if x < 0.26:
+            out.append((r.choice(true)(), assigned(), path, behind(), 1))
+        elif x < 0.3:
+            out.append((signed(), assigned() if r.random() < 0.7 else plain(), path, behind(), 1))
         elif x < 0.38:
-            out.append((r.choice(true)(), plain(), path, 1))
+            out.append((r.choice(true)(), plain(), path, behind(), 1))
+        elif x < 0.47:
+            out.append((any_of("0123456789abcdef", r.choice([32, 40, 64])), r.choice(hashes)(), path, plain(), 0))
         elif x < 0.5:
-            out.append((any_of("0123456789abcdef", r.choice([32, 40, 64])), r.choice(hashes)(), path, 0))
+            out.append((any_of("0123456789abcdef", r.choice([32, 40, 64])), plain(), path, f"{r.choice(['checksum', 'md5', 'sha256', 'digest', '(commit)'])} {syllables()[:5]}", 0))
         elif x < 0.54:
-            out.append((r.choice(true)(), assigned(), r.choice(["tests/fixtures/keys.py", "docs/example.md", "mock/data.json"]), 0))
+            out.append((r.choice(true)(), assigned(), r.choice(["tests/fixtures/keys.py", "docs/example.md", "mock/data.json"]), behind(), 0))
         else:
-            out.append((r.choice(false)(), assigned() if r.random() < 0.25 else plain(), path, 0))
-    return [(c, b, p, y) for c, b, p, y in out if re.fullmatch(_TOKEN, c)]
+            out.append((r.choice(false)(), assigned() if r.random() < 0.25 else plain(), path, plain(), 0))
+    return [x for x in out if re.fullmatch(_TOKEN, x[0])]
 
 
 Tree = tuple  # (share of secrets in thousandths,) or (feature, most, low tree, high tree)
@@ -131,7 +139,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, s
 @functools.cache
 def default_forest() -> tuple[Tree, ...]:
     found = labelled_findings()
-    return tuple(grow(np.array([features_py(*f[:3]) for f in found]), np.array([f[3] for f in found])))
+    return tuple(grow(np.array([features_py(*f[:4]) for f in found]), np.array([f[4] for f in found])))
 
 
 def votes(forest: tuple[Tree, ...], x: list[int]) -> float:
@@ -164,11 +172,12 @@ def findings(words: Column, path: Column, forest: tuple[Tree, ...] | None = None
         def of(i: Column) -> Column:
             word = F.get(w, i)
             near = F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
-            return F.transform(F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(0)), lambda c, n: F.struct(i.alias("word_no"), n.alias("nth"), c.alias("secret"), F.concat(near, F.lit(" "), F.call_function("substring_index", word, c, F.lit(1))).alias("before")))
+            after = F.concat_ws(" ", F.get(w, i + 1), F.get(w, i + 2))
+            return F.transform(F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(0)), lambda c, n: F.struct(i.alias("word_no"), n.alias("nth"), c.alias("secret"), F.concat(near, F.lit(" "), F.call_function("substring_index", word, c, F.lit(1))).alias("before"), after.alias("after")))
 
         return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.length(F.get(w, i)) >= MIN_CHARS), of))
 
-    described = F.transform(candidates(words), lambda x: F.struct(x["word_no"].alias("word_no"), x["nth"].alias("nth"), x["secret"].alias("secret"), *[f.alias(k) for f, k in zip(features(x["secret"], x["before"], path), NAMES, strict=True)]))
+    described = F.transform(candidates(words), lambda x: F.struct(x["word_no"].alias("word_no"), x["nth"].alias("nth"), x["secret"].alias("secret"), *[f.alias(k) for f, k in zip(features(x["secret"], x["before"], path, x["after"]), NAMES, strict=True)]))
 
     def scored(x: Column) -> Column:
         total = functools.reduce(Column.__add__, [_tree_column(t, x) for t in forest])
@@ -179,19 +188,22 @@ def findings(words: Column, path: Column, forest: tuple[Tree, ...] | None = None
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", forest: tuple[Tree, ...] | None = None) -> DataFrame:
     """(id, word_no, nth, secret, score): one row a confirmed finding."""
-    words = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(path_col).alias("__path"), F.split(text_col, _WORD).alias("__words"))
-    found = words.select(id_col, findings(F.col("__words"), F.col("__path"), forest).alias("found"))
+    words = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("own"), F.col(path_col).alias("path"), F.split(text_col, _WORD).alias("words"))
+    found = words.select("own", findings(F.col("words"), F.col("path"), forest).alias("found"))
     # Outer: else the optimizer tests for an empty array before the words are split, and so splits for every use.
-    return found.select(id_col, F.inline_outer("found")).filter(F.col("secret").isNotNull()).select(id_col, "word_no", "nth", "secret", F.round("score", 6).alias("score"))
+    return found.select("own", F.inline_outer("found")).filter(F.col("secret").isNotNull()).select(F.col("own").alias(id_col), "word_no", "nth", "secret", F.round("score", 6).alias("score"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", path_col: str = "source", forest: tuple[Tree, ...] | None = None) -> DataFrame:
-    """The documents, confirmed secrets masked in their texts."""
-    secret = F.transform(findings(F.col("__words"), F.col(path_col), forest), lambda x: x["secret"])
+    """The documents, confirmed secrets masked in their texts; all other columns stay as they are, whatever their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, path = (names[docs.columns.index(c)] for c in (text_col, path_col))
+    secret = F.transform(findings(F.col("words"), F.col(path), forest), lambda x: x["secret"])
     # The longest first: a secret that is part of another must not break it.
     longest = F.array_sort(F.array_distinct(secret), lambda a, b: F.length(b) - F.length(a))
-    found = docs.withColumn("__words", F.split(text_col, _WORD)).withColumn("__found", longest)
-    return found.withColumn(text_col, F.aggregate("__found", F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK)))).select(*docs.columns)
+    found = docs.toDF(*names).withColumn("words", F.split(text, _WORD)).withColumn("found", longest)
+    masked = found.withColumn(text, F.aggregate("found", F.col(text), lambda t, s: F.replace(t, s, F.lit(MASK))))
+    return masked.select(*names).toDF(*docs.columns)
 
 
 def findings_sql(table: str = "documents", forest: tuple[Tree, ...] | None = None, threshold: float = THRESHOLD) -> str:
@@ -202,9 +214,9 @@ def findings_sql(table: str = "documents", forest: tuple[Tree, ...] | None = Non
     return f"""
 with w as (select doc_id, coalesce(source, '') as path, regexp_split_to_array(text, '{_WORD}') as w from {table} where text is not null),
 i as (select doc_id, path, w, unnest(list_filter(range(len(w)), lambda j: length(w[j + 1]) >= {MIN_CHARS})) as i from w),
-c as (select doc_id, path, i, w[i + 1] as word, case when i >= 2 then w[i - 1] || ' ' else '' end || case when i >= 1 then w[i] else '' end as near, regexp_extract_all(w[i + 1], '{_TOKEN}') as found from i),
-n as (select doc_id, path, i as word_no, word, near, found, unnest(range(len(found))) as nth from c),
-x as (select doc_id, path, word_no, nth, found[nth + 1] as c, near || ' ' || string_split(word, found[nth + 1])[1] as before from n),
+c as (select doc_id, path, i, w[i + 1] as word, case when i >= 2 then w[i - 1] || ' ' else '' end || case when i >= 1 then w[i] else '' end as near, concat_ws(' ', w[i + 2], w[i + 3]) as after, regexp_extract_all(w[i + 1], '{_TOKEN}') as found from i),
+n as (select doc_id, path, i as word_no, word, near, after, found, unnest(range(len(found))) as nth from c),
+x as (select doc_id, path, word_no, nth, after, found[nth + 1] as c, near || ' ' || string_split(word, found[nth + 1])[1] as before from n),
 f as (select doc_id, word_no, nth, c, {cols} from x),
 s as (select doc_id, word_no, nth, c, ({score}) / {1000.0 * len(forest)} as score from f)
 select doc_id, cast(word_no as int) as word_no, cast(nth as int) as nth, c as secret, round(score, 6) as score from s where score >= {threshold}"""

@@ -14,14 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Keeps the cluster's shared checkpoint folder; only where none is named (tests), one of our own."""
+    """Keeps the cluster's shared checkpoint folder; one of our own only in local mode, where driver and executors are one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexforge-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ready_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 #: Rows and bytes that Python gets at once: a worker's memory must not follow the length of texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
@@ -45,8 +53,6 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as Parquet in the shared checkpoint folder, read again: cuts lineage and keeps column pruning."""
-    spark = df.sparkSession
-    ready_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

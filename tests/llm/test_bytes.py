@@ -164,7 +164,7 @@ def test_fisher_yates_is_a_permutation_and_repeats():
 def test_forest_beats_false_positives():
     forest = secrets.default_forest()
     held = secrets.labelled_findings(800, seed=77)
-    right = sum((secrets.votes(forest, secrets.features_py(c, b, p)) >= 0.5) == bool(y) for c, b, p, y in held)
+    right = sum((secrets.votes(forest, secrets.features_py(c, b, p, a)) >= 0.5) == bool(y) for c, b, p, a, y in held)
     assert right >= 0.97 * len(held)
 
 

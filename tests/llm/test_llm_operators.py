@@ -174,24 +174,48 @@ def test_languages(spark, docs, empty):
     assert set(langs) == {"en"} and all(texts)
 
 
-def test_shards(spark, docs, empty):
+def plain_two_pass(rows, shards, seed, buckets, key):
+    """The two passes over a list, with the operator's bucket of each row: place by place."""
+    out, place = [], 0
+    for b in range(buckets):
+        held = sorted((r for r in rows if key[r] == b), key=lambda r: tuple((x is None, x) for x in r))
+        for i in sharding.fisher_yates(len(held), seed, b).tolist():
+            out.append((*held[i], place % shards, place // shards))
+            place += 1
+    return out
+
+
+def test_shards_equal_two_plain_passes(spark, docs, empty):
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.coalesce("text", F.lit("")).alias("t"))
-    for parts in (1, 5):
-        dealt = sharding.two_pass(rows.repartition(parts), ["doc_id", "t", "size"], "size", shards=3).collect()
-        assert len(dealt) == docs.count()
-        n = collections.Counter(r["shard"] for r in dealt)
-        assert max(n.values()) - min(n.values()) <= 1
-        assert all(sorted(r["slot"] for r in dealt if r["shard"] == s) == list(range(n[s])) for s in n)
-        order = sorted((r["shard"], r["slot"], r["doc_id"]) for r in dealt if r["doc_id"] is not None)
-        assert order == globals().setdefault("_order", order)
+    keys = ["doc_id", "t", "size"]
+    hashed = rows.select(*keys, F.pmod(F.xxhash64(sharding._hash(17, keys), F.lit(0).cast("bigint")), F.lit(3)).alias("b")).collect()
+    want = plain_two_pass([tuple(r)[:3] for r in hashed], 3, 17, 3, {tuple(r)[:3]: r["b"] for r in hashed})
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        dealt = sharding.two_pass(rows.repartition(parts), keys, "size", shards=3, bucket_rows=8).collect()
+        assert sorted((r["shard"], r["slot"], r["doc_id"] or -1, r["t"]) for r in dealt) == sorted((x[3], x[4], x[0] or -1, x[1]) for x in want)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sharding.two_pass(rows.limit(0), ["doc_id"], "size", shards=3).count() == 0
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    rows = spark.range(400).select(F.when(F.col("id") < 300, F.lit("same")).otherwise(F.col("id").cast("string")).alias("k"), F.lit(1).alias("size"))
+    found = sharding._copies(rows, ["k", "size"], "size", 17, 1 << 20, 40).groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("__copy").alias("c")).collect()
+    assert {(r["n"], r["c"]) for r in found} == {(300, 300), (1, 1)}
+    dealt = sharding.two_pass(rows, ["k", "size"], "size", shards=8, bucket_rows=40).collect()
+    assert collections.Counter(r["shard"] for r in dealt) == {s: 50 for s in range(8)}
+    assert {(r["shard"], r["slot"]) for r in dealt} == {(s, i) for s in range(8) for i in range(50)}
+
+
 def test_shards_are_written_in_order(spark, tmp_path):
     rows = spark.range(50).withColumn("size", F.lit(1))
-    sharding.write_shards(sharding.two_pass(rows, ["id"], "size", shards=4), str(tmp_path / "s"))
-    for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").agg(F.collect_list("slot").alias("s")).collect():
-        assert r["s"] == sorted(r["s"])
+    sharding.write_shards(sharding.two_pass(rows, ["id"], "size", shards=4, bucket_rows=9), str(tmp_path / "s"))
+    written = spark.read.parquet(str(tmp_path / "s")).withColumn("file", F.input_file_name()).collect()
+    assert len(written) == 50
+    for file in {r["file"] for r in written}:
+        slots = [r["slot"] for r in written if r["file"] == file]
+        assert slots == sorted(slots)
 
 
 def test_licenses(spark, docs, empty):
@@ -200,6 +224,9 @@ def test_licenses(spark, docs, empty):
     got = {tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(50, "mit", 1.0), (52, "mit-line", 1.0)}
     assert [r["license"] for r in licenses.scan(docs).collect()] == ["cc-by-nc-4.0-line"]
+    line = "Released under the MIT License."
+    again = spark.createDataFrame([(1, line), (1, line), (None, line), (None, f"x {line}")], "doc_id bigint, text string")
+    assert collections.Counter(r["doc_id"] for r in licenses.scan(again).collect()) == {1: 2, None: 2}
     assert licenses.scan(empty).count() == 0
 
 
@@ -209,14 +236,16 @@ def test_secrets_and_masks(docs, empty):
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect() if r["doc_id"] is not None}
     assert masked[15] == 'key token = "[SECRET]" here' and masked[6] == LONG and masked[0] is None
     assert secrets.redact(docs).columns == docs.columns and secrets.scan(empty).count() == 0
+    named = docs.withColumn("words", F.lit("mine")).withColumn("__words", F.lit("too")).withColumnRenamed("n_chars", "found")
+    assert {(r["words"], r["__words"]) for r in secrets.redact(named).collect()} == {("mine", "too")}
 
 
 def test_column_features_equal_python(spark):
     found = secrets.labelled_findings(300, seed=8)
-    df = spark.createDataFrame(found, "c string, b string, p string, y int")
-    cols = [f.alias(n) for f, n in zip(secrets.features(F.col("c"), F.col("b"), F.col("p")), secrets.NAMES, strict=True)]
+    df = spark.createDataFrame(found, "c string, b string, p string, a string, y int")
+    cols = [f.alias(n) for f, n in zip(secrets.features(F.col("c"), F.col("b"), F.col("p"), F.col("a")), secrets.NAMES, strict=True)]
     for r in df.select("*", *cols).collect():
-        assert [r[n] for n in secrets.NAMES] == secrets.features_py(r["c"], r["b"], r["p"])
+        assert [r[n] for n in secrets.NAMES] == secrets.features_py(r["c"], r["b"], r["p"], r["a"])
 
 
 def test_decontamination(spark, docs, empty):
@@ -236,9 +265,8 @@ def test_warc(spark, tmp_path):
     assert by[1, "conversion"]["block"] == "Hi!\nyou <3" and by[2, "conversion"]["block"] == ""
     assert "title: T & x\r\nlanguage: en\r\noutlinkCount: 0" in by[1, "metadata"]["block"]
     assert by[1, "conversion"]["refers_to"] == by[1, "metadata"]["refers_to"] != by[1, "conversion"]["record_id"]
-    warc.write_warc(rows, str(tmp_path / "w"))
-    text = "".join(r["value"] for r in spark.read.text(str(tmp_path / "w"), wholetext=True).collect())
-    assert text.count("WARC/1.1\r\n") == 4 and text.endswith("\r\n\r\n")
+    assert warc.write_warc(rows, str(tmp_path / "w")) == 4
+    assert {r["record_id"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()} == {r["record_id"] for r in by.values()}
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
