@@ -4,11 +4,12 @@ Bytes are embedded, filters of several widths slide over fixed-length windows, e
 maximum goes to a softmax.  The windows tile the whole text (the last is padded with spaces); the
 prediction is the mean of their softmaxes, weighted by their bytes.
 
-The network is fitted on a bounded sample: at most ``PER_LANG`` documents of each language and
-``SAMPLE_CHARS`` characters of each, ``WINDOWS`` windows a document.
+The network is fitted on a bounded sample: at most ``PER_LANG`` documents of each language, and of
+each ``WINDOWS`` windows from anywhere in its text, cut where the text is.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with nothing to
-learn from, so is every text; repeated rows give repeated rows; an empty table an empty result.
+learn from, so is every text; repeated rows give repeated rows; an empty table an empty result; all
+windows of a very long text count; carried columns may have any names but ``lang_pred`` and ``score``.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches
 
-PER_LANG, SAMPLE_CHARS, WINDOWS = 200, 20_000, 4
+PER_LANG, WINDOWS = 200, 5
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 10
 UND = "und"
 
@@ -62,16 +63,14 @@ def _mask() -> np.ndarray:
 
 
 def train(texts: list[str], langs: list[str], steps: int = 260, batch: int = 96, seed: int = 7) -> Net | None:
-    """Adam on the softmax loss over windows drawn from the sample, classes in equal parts; the same data give the same net."""
+    """Adam on the softmax loss over windows (texts of up to WINDOW bytes), classes in equal parts; the same data give the same net."""
     rng = np.random.Generator(np.random.PCG64(seed))
     names = sorted(set(langs))
     windows, labels = [], []
     for text, lang in sorted(zip(texts, langs, strict=True)):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        for at in rng.integers(0, max(1, len(raw) - WINDOW + 1), WINDOWS):
-            w = raw[at : at + WINDOW]
-            windows.append(np.concatenate([w, np.full(WINDOW - len(w), 32, np.uint8)]))
-            labels.append(names.index(lang))
+        w = np.frombuffer(text.encode()[:WINDOW], np.uint8)
+        windows.append(np.concatenate([w, np.full(WINDOW - len(w), 32, np.uint8)]))
+        labels.append(names.index(lang))
     if not windows:
         return None
     windows, labels = np.array(windows), np.array(labels)
@@ -156,11 +155,12 @@ def predict(docs: DataFrame, net: Net | None, text_col: str = "text", carry: tup
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], "lang_pred", "score")
 
 
-def training_sample(docs: DataFrame, usable: Column, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """Texts and languages of at most ``per_lang`` documents of each language: of each slot of a hash of the ids, the smallest id."""
-    ids = docs.filter(usable & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col), F.pmod(F.xxhash64(id_col), F.lit(per_lang)).alias("slot")).agg(F.min(id_col).alias("id"))
-    wanted = [r["id"] for r in ids.collect()]
-    if not wanted:
-        return [], []
-    rows = docs.filter(F.col(id_col).isin(wanted) & usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.substring(text_col, 1, SAMPLE_CHARS), lang_col).collect()
+def training_sample(docs: DataFrame, usable: Column, per_lang: int = PER_LANG, windows: int = WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[str]]:
+    """Windows and languages of at most ``per_lang`` documents of each language: of each slot of a hash of the ids, the smallest id; a window begins anywhere in its text."""
+    known = docs.filter(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = known.groupBy("lang", F.pmod(F.xxhash64("id"), F.lit(per_lang)).alias("slot")).agg(F.min("id").alias("id")).select("id", "lang")
+    wanted = docs.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], known.select("id", "lang").schema)
+    places = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(windows)), lambda k: F.substring("text", F.pmod(F.xxhash64("id", k), places).cast("int") + 1, F.lit(WINDOW)))
+    rows = known.join(F.broadcast(wanted), ["id", "lang"], "left_semi").select(F.explode(cut).alias("w"), "lang").collect()
     return [r[0] for r in rows], [r[1] for r in rows]

@@ -3,14 +3,15 @@
 Base rules come from word and line counts.  Documents that pass them are judged by the share of
 their words that stands in content lines, as decoded by Viterbi over the two labels.
 
-The field is fitted on a bounded sample of labelled documents (``SAMPLE`` of each quality,
-``SAMPLE_CHARS`` characters of each at most): lines of good documents begin as content, lines of
+The field is fitted on a bounded sample of labelled documents (``SAMPLE`` of each quality, whole
+texts): lines of good documents begin as content, lines of
 bad ones as boilerplate, and one round of relabelling by the fitted field lets bad documents keep
 the lines that look like content.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows give
 repeated rows; an empty table gives an empty result; without labelled documents every line counts
-as content.
+as content; a very long text is judged whole, in a slice of its own; carried columns may have any
+names but those of the counts, which come under theirs.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches
 
-SAMPLE, SAMPLE_CHARS = 600, 20_000
+SAMPLE = 600
 LEAST_CONTENT = 0.5
 N_FEATURES = 12
 _SYMBOL = np.zeros(256, bool)
@@ -200,7 +201,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
             ids.setdefault(r[0], quality)
     if not ids:
         return [], []
-    rows = docs.filter(F.col(id_col).isin(list(ids)) & F.col(text_col).isNotNull()).select(id_col, F.substring(text_col, 1, SAMPLE_CHARS)).collect()
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}")
+    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(wanted), id_col, "left_semi").select(id_col, text_col).collect()
     rows = sorted((r[0], r[1]) for r in rows)
     return [t for _, t in rows], [ids[i] == 1 for i, _ in rows]
 

@@ -270,6 +270,15 @@ def test_warc(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    near_copy = " ".join("changed" if i == 40 else w for i, w in enumerate(LONG.split()[:120]))
+    a = " ".join(LONG.split()[:120])
+    rows = [(1, a), (5, near_copy), (5, PASSAGE), (5, PASSAGE), (None, "words of its own here"), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, row string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, a), (5, PASSAGE), (None, "words of its own here"), (None, None)], key=str)
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
