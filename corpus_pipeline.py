@@ -2,7 +2,8 @@
 
 Each stage takes all that the one before kept and returns the columns of ``documents``; the last
 returns token digests.  Null texts fail the quality rules; repeated rows are copies, of which one
-stays; empty tables give empty tables; further columns come along.
+stays; rows that share an id but not a text are told apart; empty tables give empty tables; further
+columns come along.
 """
 
 from __future__ import annotations
@@ -29,10 +30,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of similar documents; rows without an id are in no group."""
-    found = near.jaccard_join(docs)
-    dropped = found.filter(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group of similar documents, the first by id and text; rows without an id are judged like others.
+
+    Ids may repeat, so rows go through the join under a 64-bit number of id and text; equal rows share it.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    numbered = docs.toDF(*names).withColumn("row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.coalesce(text, F.lit("\0"))))
+    groups = near.jaccard_join(numbered.select("row", text), "row", text).select("row", "class_id").distinct()
+    order = F.struct(F.col(key).isNull(), key, near.text_key(text))
+    first = numbered.select("row", order.alias("key")).join(groups, "row").groupBy("class_id").agg(F.min_by("row", "key").alias("row"))
+    return numbered.join(first, "row", "left_semi").dropDuplicates(["row"]).select(*names).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
