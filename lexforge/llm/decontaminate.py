@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches
 
-EDITS, SEGMENT, WALKS, ITEM_BYTES = 0.2, 32, 4, 8 << 20
+EDITS, SEGMENT, WALKS, ITEM_BYTES = 0.2, 28, 4, 8 << 20
 #: Least words of the segments that share tables, the number of these, and the places that each samples.  Below five words no edit is allowed, and one place finds them.
-CLASSES = ((1, 1, 1), (5, 32, 4), (9, 32, 4), (17, 72, 5))
+CLASSES = ((1, 1, 1), (5, 24, 3), (9, 36, 5), (17, 64, 5))
 #: Words of windows that are compared at once.
 REGION_WORDS = 1 << 20
 _SEP = np.ones(256, bool)
@@ -76,14 +76,14 @@ def _odds(walk: int, steps: int) -> np.ndarray:
 
 def _steps(words: np.ndarray, walk: int, steps: int) -> Iterator[np.ndarray]:
     """CGK walks from every place of ``words`` (32 bits, zeros behind the last): the word of each walk, step by step."""
-    at = np.arange(len(words), dtype=np.int32)
+    at = np.arange(len(words))
     padded = np.concatenate([words, np.zeros(steps + 1, np.uint32)])
     for odd in _odds(walk, steps):
-        word = padded[at]
+        word = padded.take(at, mode="clip")
         yield word
         word = word * odd
         word >>= np.uint32(31)
-        at += word.view(np.int32)
+        at += word
 
 
 def _sample(parts: list[np.ndarray]) -> np.ndarray:
@@ -111,6 +111,9 @@ class Items:
         begin = (np.cumsum(self.size) - self.size)[self.item] + self.at
         inside = np.arange(SEGMENT) < self.length[:, None]
         self.segments = np.where(inside, flat[np.minimum(begin[:, None] + np.arange(SEGMENT), len(flat) - 1)], _PAD)
+        #: Which words each segment has, by ten bits of their hashes.
+        self.has = np.zeros((len(self.item), 1024), bool)
+        self.has[np.nonzero(inside)[0], (self.segments[inside] >> np.uint64(8)).astype(np.intp) & 1023] = True
         self.tables: list[Table] = []
         rng = np.random.Generator(np.random.PCG64(5))
         least = [c[0] for c in CLASSES]
@@ -129,16 +132,17 @@ class Items:
         rows[:, :SEGMENT] = self.segments[mine] >> np.uint64(32)
         starts = np.arange(len(mine)) * gap
         walks = {w: np.stack([v[starts] for v in _steps(rows.ravel(), w, reach)]) for w in {p[0] for p in plans}}
+        shown = {}
+        for walk, p in {(w, p) for w, places in plans for p in places}:
+            shown[walk, p] = np.zeros(1 << 16, bool)
+            x = walks[walk][p]
+            shown[walk, p][x[x != 0] >> np.uint32(16)] = True
         for walk, places in plans:
             parts = [walks[walk][p] for p in places]
             whole = np.flatnonzero(np.all([x != 0 for x in parts], 0))  # a walk that has left its segment says nothing
             if not len(whole):
                 continue
-            seen = []
-            for x in parts:
-                s = np.zeros(1 << 16, bool)
-                s[x[whole] >> np.uint32(16)] = True
-                seen.append(s)
+            seen = [shown[walk, p] for p in places]
             sample = _sample([x[whole] for x in parts])
             order = np.argsort(sample)
             self.tables.append(Table(walk, places, seen, sample[order], mine[whole][order]))
@@ -156,16 +160,22 @@ class Items:
                     due.setdefault(p, []).append(t)
             open_: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
             for p, word in enumerate(_steps(short, walk, max(due) + 1)):
-                key = word >> np.uint32(16) if p in due else None
-                for t in due.get(p, ()):
+                if p not in due:
+                    continue
+                key = (word >> np.uint32(16)).astype(np.intp)
+                firsts: dict[int, np.ndarray] = {}  # tables that ask alike at their first place
+                for t in due[p]:
                     seen = t.seen[t.places.index(p)]
                     if p == t.places[0]:
-                        at, before = np.flatnonzero(seen[key]), []
+                        name = id(seen)
+                        if name not in firsts:
+                            firsts[name] = np.flatnonzero(seen.take(key, mode="clip"))
+                        at, before = firsts[name], []
                     else:
                         at, before = open_.pop(id(t))
-                        keep = seen[key[at]]
+                        keep = seen.take(key.take(at, mode="clip"), mode="clip")
                         at, before = at[keep], [x[keep] for x in before]
-                    before = [*before, word[at]]
+                    before = [*before, word.take(at, mode="clip")]
                     if p != t.places[-1]:
                         open_[id(t)] = (at, before)
                     elif len(at):
@@ -264,6 +274,13 @@ def find(hashes: np.ndarray, first: np.ndarray, items: Items, exact_only: bool =
         doc = np.searchsorted(first, start, "right") - 1
         margin = 2 * items.allowed[segment] + 1
         doc, segment, lo, hi = _regions(doc, segment, start - margin, start + items.length[segment] + margin, first)
+        # A region with fewer of the segment's words than a match must have holds none.
+        size = hi - lo
+        known = items.has[np.repeat(segment, size), (hashes[bv.ragged(lo, size)] >> np.uint64(8)).astype(np.intp) & 1023]
+        enough = np.add.reduceat(known.astype(np.int32), np.cumsum(size) - size) >= items.length[segment] - items.allowed[segment]
+        doc, segment, lo, hi = doc[enough], segment[enough], lo[enough], hi[enough]
+        if not len(doc):
+            return none, none, none
         edits = _compared(hashes, lo, hi, items.segments, segment, items.length)
         ok = edits <= items.allowed[segment]
         doc, segment, lo, hi, edits = doc[ok], segment[ok], lo[ok], hi[ok], edits[ok]
