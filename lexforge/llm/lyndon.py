@@ -16,6 +16,9 @@ import numpy as np
 
 from lexforge.llm.bytesview import ragged
 
+#: Symbols that are worked on at once: enough that a round's calls pay, few enough for the cache.
+BATCH = 1 << 20
+
 
 def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The order of the suffixes of each of the strings that stand one after another in ``symbols`` (whole numbers below 2**16); suffixes are named by their places there.
@@ -23,12 +26,18 @@ def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     A suffix ends with its string; a shorter suffix comes before its extensions.
     """
     sizes = np.asarray(sizes, np.int64)
-    sizes = sizes[sizes > 0]
-    if not len(sizes):
-        return np.zeros(0, np.int64)
-    state = _Groups(symbols, sizes)
-    state.group_all()
-    return state.emitted()
+    start = np.cumsum(sizes) - sizes
+    out = np.zeros(len(symbols), np.int64)
+    # Strings of like size go together: the last rounds of a batch are those of its longest string.
+    by_size = np.argsort(sizes, kind="stable")
+    by_size = by_size[sizes[by_size] > 0]
+    batch = np.cumsum(sizes[by_size]) // BATCH
+    for mine in np.split(by_size, np.flatnonzero(np.diff(batch)) + 1) if len(by_size) else []:
+        places = ragged(start[mine], sizes[mine])
+        state = _Groups(symbols[places], sizes[mine])
+        state.group_all()
+        out[places] = places[state.emitted()]
+    return out
 
 
 class _Groups:
@@ -37,13 +46,16 @@ class _Groups:
     def __init__(self, symbols: np.ndarray, sizes: np.ndarray):
         self.strings, n = len(sizes), int(sizes.sum())
         string = np.repeat(np.arange(self.strings), sizes)
+        if self.strings > 65536:
+            raise ValueError("too many strings in a batch")
         self.where = np.arange(n) + string + 1  # from the places of symbols to those in here
         self.begin = np.cumsum(sizes) - sizes + np.arange(self.strings) + 1
         self.end = self.begin + sizes
         total = n + self.strings
-        by = string * 65536 + symbols
-        sort = np.argsort(by, kind="stable")
-        key = by[sort]
+        # By string, then symbol: two stable sorts of 16 bits, which count instead of comparing.
+        sort = np.argsort(symbols.astype(np.uint16), kind="stable")
+        sort = sort[np.argsort(string.astype(np.uint16)[sort], kind="stable")]
+        key = string[sort] * 65536 + symbols[sort]
         head = np.ones(n, bool)
         head[1:] = key[1:] != key[:-1]
         starts = np.flatnonzero(head)
