@@ -36,7 +36,7 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches, text_bytes
 
 #: Text of one batch (what one task holds while it reassembles documents), and text whose words make a bucket.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 128 << 20
+BATCH_BYTES, BUCKET_BYTES = 5 << 20, 64 << 20
 #: The most tokens of a vocabulary whose bytes may be broadcast.
 MOST_TOKENS = 1_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
