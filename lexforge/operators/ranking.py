@@ -9,7 +9,24 @@ from pyspark.sql.window import Window
 from lexforge.operators.graphs import kept
 
 # What an item of a kind weighs.
-DEBT_WEIGHTS = {"low_confidence": 1.0, "unbacked_narrative": 1.0, "stale": 1.0, "contradicted": 1.0, "marked_wrong": 1.0, "not_scored": 0.5, "technical_language": 0.5, "undocumented": 0.5, "entry_point_without_feature": 0.5, "to_review": 0.5, "outdated_edit": 0.5, "set_apart": 0.25, "no_domain": 0.25, "no_behaviour": 0.25, "not_analysed": 0.25}
+# The weight of each kind of debt, in the order in which the kinds are listed.
+DEBT_WEIGHTS = {
+    "low_confidence": 1.0,
+    "not_scored": 0.5,
+    "unbacked_narrative": 1.0,
+    "technical_language": 0.5,
+    "set_apart": 0.25,
+    "stale": 1.0,
+    "contradicted": 1.0,
+    "undocumented": 0.5,
+    "marked_wrong": 1.0,
+    "to_review": 0.5,
+    "outdated_edit": 0.5,
+    "entry_point_without_feature": 0.5,
+    "no_domain": 0.25,
+    "no_behaviour": 0.25,
+    "not_analysed": 0.25,
+}
 
 
 def file_score(weight: Column, commits: Column, references: Column) -> Column:
