@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexforge.functions import text as T
+from lexforge.operators.graphs import kept
 
 GENERIC_STEMS = "index mod main init url urls route view handler".split()  # fixed values
 
@@ -20,7 +21,7 @@ GENERIC_STEMS = "index mod main init url urls route view handler".split()  # fix
 def class_name(path: Column) -> Column:
     """The class that a file's stem names; generic stems name none."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\..*$", "")
-    parts = F.transform(F.split(stem, "[_-]"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 10_000)))
+    parts = F.transform(F.split(stem, "[_-]"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.right(w, F.length(w) - 1)))
     return F.when(~F.lower(stem).isin(GENERIC_STEMS), F.array_join(parts, ""))
 
 
@@ -105,15 +106,25 @@ def manifest(files: DataFrame, path: str, content: str, most: int = 40) -> DataF
 
 
 def renamed_log(commits: DataFrame, starts: DataFrame, limit: int, hops: int = 8) -> DataFrame:
-    """The newest commits of each path, followed under its former names.  commits: (path, seq, renamed_from)."""
+    """The newest commits of each path, followed under its former names.  commits: (path, seq, renamed_from).
+
+    A hop reads the commits of the names that are still followed; they are kept, so a hop doesn't
+    repeat those before.  A start that has its ``limit`` goes no further.
+    """
+    commits = kept(commits)
     tracked = starts.select("start", F.col("start").alias("path"), F.lit(None).cast("bigint").alias("before"))
     found = None
     for _ in range(hops):
         here = tracked.join(commits, "path").filter(F.col("before").isNull() | (F.col("seq") < F.col("before")))
-        born = here.filter("renamed_from is not null").groupBy("start", "path").agg(F.max("seq").alias("born"))
-        kept = here.join(born, ["start", "path"], "left").filter(F.col("born").isNull() | (F.col("seq") >= F.col("born"))).select("start", "path", "seq", "renamed_from")
-        found = kept if found is None else found.unionByName(kept)
-        tracked = kept.filter("renamed_from is not null").select("start", F.col("renamed_from").alias("path"), F.col("seq").alias("before"))
+        born = here.groupBy("start", "path").agg(F.max(F.when(F.col("renamed_from").isNotNull(), F.col("seq"))).alias("born"))
+        own = here.join(born, ["start", "path"]).filter(F.col("born").isNull() | (F.col("seq") >= F.col("born")))
+        w = Window.partitionBy("start", "path").orderBy(F.desc("seq"))
+        step = kept(own.withColumn("__n", F.row_number().over(w)).select("start", "path", "seq", "renamed_from", "born", "__n"))
+        rows = step.filter(F.col("__n") <= limit).select("start", "path", "seq")
+        found = rows if found is None else found.unionByName(rows)
+        tracked = step.filter((F.col("seq") == F.col("born")) & (F.col("__n") < limit)).select("start", F.col("renamed_from").alias("path"), F.col("seq").alias("before"))
+        if tracked.isEmpty():
+            break
     w = Window.partitionBy("start").orderBy(F.desc("seq"))
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
 

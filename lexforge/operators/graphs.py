@@ -13,10 +13,13 @@ from pyspark.sql.window import Window
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows in the session's shared checkpoint folder; where none is named (tests), in one of our own."""
+    """The rows in the session's shared checkpoint folder; one of our own only in local mode, where driver and executors are one machine."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexforge-"))
     return df.checkpoint()
 
 
@@ -27,10 +30,10 @@ def bounded_slice(edges: DataFrame, starts: DataFrame, depth: int, most: int | N
     best rank there.  Hops are few, each one join with the frontier and one anti-join with what is seen.
     """
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hop"), F.lit(0).cast("bigint").alias("rank"))
-    frontier = seen
+    frontier, edges = seen, kept(edges)
     for hop in range(1, depth + 1):
         reached = frontier.select("start", F.col("node").alias("src")).join(edges, "src").groupBy("start", F.col("dst").alias("node")).agg(F.min("rank").cast("bigint").alias("rank"))
-        frontier = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hop"), "rank")
+        frontier = kept(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hop"), "rank"))
         seen = seen.unionByName(frontier)
     w = Window.partitionBy("start").orderBy("hop", "rank", "node")
     if most is None:
@@ -102,17 +105,29 @@ def complete_link_merge(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("part").applyInArrow(fold, "id bigint, keeper bigint")
 
 
-def small_components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """Pairs with ``part``: the smallest id that they lead to.  Labels spread until none changes; each round is checkpointed."""
+def with_parts(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``part``: the smallest id that they lead to, however long the chain."""
+    from lexforge.operators.components import connected_components
+
     pairs = kept(pairs)
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
-    labels = kept(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")))
-    for _ in range(rounds):
-        spread = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        labels = kept(labels.join(spread, "x").select("x", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved")))
-        if labels.filter("moved").isEmpty():
-            return pairs.join(labels.select(F.col("x").alias("a"), F.col("l").alias("part")), "a")
-    raise RuntimeError(f"components not found in {rounds} rounds")
+    return pairs.join(connected_components(pairs).select(F.col("id").alias("a"), F.col("root").alias("part")), "a")
+
+
+def merged_rules(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(keeper, copies, entities, confidence): groups of rules that say the same, each with the copy that stays.
+
+    The copy stays whose feature owns a cited file, then one that a test or document backs, then the
+    feature that reads the fewest files (none counts as most), then the first slug; it takes over the
+    others' entities and the best confidence.  rules: (id, slug, owns, backed, files, entities,
+    confidence).
+    """
+    groups = complete_link_merge(with_parts(pairs)).withColumnRenamed("keeper", "grp")
+    files = F.when(F.col("files") > 0, F.col("files")).otherwise(F.lit((1 << 63) - 1))
+    key = F.struct(~F.col("owns"), ~F.col("backed"), files, "slug")
+    held = groups.join(rules, "id")
+    xs = F.array_sort(F.collect_list(F.struct(key.alias("key"), F.col("entities").alias("e"))))
+    g = held.groupBy("grp").agg(F.min_by("id", key).alias("keeper"), F.count("*").alias("n"), xs.alias("xs"), F.max("confidence").alias("confidence"))
+    return g.filter("n > 1").select("keeper", (F.col("n") - 1).alias("copies"), F.array_distinct(F.flatten(F.transform("xs", lambda x: x["e"]))).alias("entities"), "confidence")
 
 
 def settle_duplicates(claims: DataFrame, item: str, is_owner: str, pos: str) -> DataFrame:

@@ -14,20 +14,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexforge.functions import text as T
+from lexforge.operators.graphs import kept
 
 K1, B, FLOOR = 1.2, 0.75, 0.5 * (1 + 1e-5)
 
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc, tf, length of the doc (so that scoring needs no join for it)
+    tokens: DataFrame  # doc, length, term: a row a token, one with a null term for a document without any
     lengths: DataFrame  # doc, length: tokens, stop words included
 
+    @property
+    def postings(self) -> DataFrame:
+        """term, doc, tf, length of the doc (so that scoring needs no join for it)."""
+        return self.tokens.filter("term is not null").groupBy("term", "doc", "length").agg(F.count("*").alias("tf"))
+
 
 def build(docs: DataFrame, id_col: str, text_col: str) -> Index:
     tokens = docs.select(F.col(id_col).alias("doc"), T.search_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    postings = tokens.select("doc", F.size("tokens").cast("bigint").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "doc", "length").agg(F.count("*").alias("tf"))
-    return Index(postings, tokens.select("doc", F.size("tokens").cast("bigint").alias("length")))
+    length = F.size("tokens").cast("bigint").alias("length")
+    # Outer: else the optimizer tests for an empty array first, and so splits every text once more.
+    return Index(tokens.select("doc", length, F.explode_outer("tokens").alias("term")), tokens.select("doc", length))
 
 
 def weighted_text(title: Column, body: Column, times: int = 3) -> Column:
@@ -54,7 +61,8 @@ def score(index: Index, terms: DataFrame) -> DataFrame:
     """(query, doc, matched, score, held, terms, weight) of every document that has a query term."""
     stats = index.lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
     wanted = terms.select("term").distinct()
-    hits = index.postings.join(wanted, "term", "left_semi")
+    # Tokens that no query has are left at the scan; what is left is counted once and read twice.
+    hits = kept(index.tokens.join(wanted, "term", "left_semi").groupBy("term", "doc", "length").agg(F.count("*").alias("tf")))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     known = terms.join(df, "term", "left").crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n"), F.coalesce("df", F.lit(0.0))))
     weight = known.groupBy("query").agg(F.sum("idf").alias("weight"))

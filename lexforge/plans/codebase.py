@@ -74,12 +74,7 @@ def _suppliers_reached(t, depth):
     return G.bounded_slice(both.withColumn("rank", F.lit(1)), e.select(F.col("src").alias("start")).distinct(), depth, None).groupBy("start").agg(F.count("*").alias("reached"))
 
 
-query("bounded_reach", "with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem where l_quantity >= 50), b as (select distinct x.src as start, y.src as node from e x join e y on x.dst = y.dst where x.src <> y.src) select start, count(*) as reached from b group by 1")(
-    lambda t: (lambda e: G.bounded_slice(e.alias("x").join(e.alias("y"), F.col("x.dst") == F.col("y.dst")).filter("x.src <> y.src").select(F.col("x.src").alias("src"), F.col("y.src").alias("dst")).distinct().withColumn("rank", F.lit(1)), e.select(F.col("src").alias("start")).distinct(), 1, 1_000_000).groupBy("start").agg(F.count("*").alias("reached")))(t.lineitem.filter("l_quantity >= 50").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
-)
-
-# bounded_reach takes busy rows and one hop, as its SQL does; this takes all rows and two hops.
-query("bounded_reach_all", "with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem), b as (select distinct x.src as start, y.src as node from e x join e y on x.dst = y.dst where x.src <> y.src), r as (select start, node from b union select p.start, q.node from b p join b q on p.node = q.start where p.start <> q.node) select start, count(*) as reached from r group by 1")(lambda t: _suppliers_reached(t, 2))
+query("bounded_reach", "with e as (select distinct l_suppkey as src, l_partkey as dst from lineitem), b as (select distinct x.src as start, y.src as node from e x join e y on x.dst = y.dst where x.src <> y.src), r as (select start, node from b union select p.start, q.node from b p join b q on p.node = q.start where p.start <> q.node) select start, count(*) as reached from r group by 1")(lambda t: _suppliers_reached(t, 2))
 
 
 @query("slice_reach")
@@ -92,7 +87,27 @@ def slice_reach(t):
 @query("rule_merge")
 def rule_merge(t):
     pairs = M.similar_statements(t.documents, "doc_id", "source", "text")
-    return G.complete_link_merge(G.small_components(pairs))
+    return G.complete_link_merge(G.with_parts(pairs))
+
+
+_STATED = "select doc_id as pos, concat('f', cast(doc_id % 40 as string)) as feature, text as statement from documents"
+_CITED = "select doc_id as pos, concat('file', cast(doc_id % 7 as string)) as path, case when doc_id % 11 = 0 then null else doc_id % 60 end as first, case when doc_id % 13 = 0 then null else doc_id % 60 + 5 end as last from documents"
+
+
+@query("rule_duplicates", rf"""with d as ({_STATED}), w as (select pos, feature, list_distinct(list_filter(regexp_split_to_array(lower(statement), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 3)) as ws from d),
+e as (select pos, feature, len(ws) as n, unnest(ws) as w from w), p as (select x.pos as a, y.pos as b, any_value(x.feature) as ga, any_value(y.feature) as gb, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) as similarity from e x join e y on x.w = y.w and x.pos < y.pos and x.feature <> y.feature group by 1, 2),
+c as (select pos, path, case when first is null or last is null then 0 else first end as s, case when first is null or last is null then 4294967295 else last end as z from ({_CITED}) q)
+select a, b, ga, gb, similarity from p where similarity >= 0.75 or similarity >= 0.6 and exists (select 1 from c x join c y on x.path = y.path and x.s <= y.z and y.s <= x.z where x.pos = a and y.pos = b)""")
+def rule_duplicates(t):
+    return M.rule_duplicates(t.sql(_STATED), t.sql(_CITED).withColumnsRenamed({"first": "start", "last": "end"}))
+
+
+# The greedy merge has no SQL; the tests hold it against plain Python.
+@query("merged_rules")
+def merged_rules(t):
+    k = F.col("pos")
+    rules = t.sql(_STATED).select(k.alias("id"), F.concat("feature", F.lit("-"), k.cast("string")).alias("slug"), (k % 3 == 0).alias("owns"), (k % 2 == 0).alias("backed"), (k % 5).alias("files"), F.array(F.concat(F.lit("E"), (k % 4).cast("string"))).alias("entities"), F.when(k % 6 > 0, (k % 10) / 10.0).cast("double").alias("confidence"))
+    return G.merged_rules(rule_duplicates(t.spark, t.sf_dir), rules)
 
 
 query("settle_duplicates", "select l_partkey, l_suppkey, l_orderkey from lineitem qualify row_number() over (partition by l_partkey order by case when l_suppkey % 7 = 0 then 1 else 0 end desc, l_orderkey * 10 + l_linenumber) = 1")(

@@ -10,7 +10,7 @@ from lexforge.operators import matching as M
 from lexforge.operators import ranking as K
 from lexforge.operators import rollups as A
 from lexforge.plans import sqltext as S
-from lexforge.plans.registry import ORACLE_SQL, query
+from lexforge.plans.registry import query
 
 # ---- text scalars
 
@@ -69,11 +69,9 @@ def _names(customers):
     return customers.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"))
 
 
-query("actor_resolution", f"""with n as (select c_custkey as pos, c_name as name from customer where c_custkey <= 500), m as (select c_custkey as id, case c_custkey % 3 when 0 then upper(c_name) when 1 then replace(c_name, '#', '_') else c_name || 'x' end as mention from customer), l as (select lower(name) as low, min_by(name, pos) as exact from n group by 1), k as (select {S.normalized('name')} as norm, min(name) as alike from n group by 1 having count(distinct name) = 1) select id, mention, coalesce(exact, alike) as resolved from m left join l on lower(mention) = low left join k on {S.normalized('mention')} = norm""")(
-    lambda t: M.resolve_names(_mentions_of_customers(t), _names(t.customer.filter("c_custkey <= 500")))
+query("actor_resolution", f"""with n as (select c_custkey as pos, c_name as name from customer), m as (select c_custkey as id, case c_custkey % 3 when 0 then upper(c_name) when 1 then replace(c_name, '#', '_') else c_name || 'x' end as mention from customer), l as (select lower(name) as low, min_by(name, pos) as exact from n group by 1), k as (select {S.normalized('name')} as norm, min(name) as alike from n group by 1 having count(distinct name) = 1) select id, mention, coalesce(exact, alike) as resolved from m left join l on lower(mention) = low left join k on {S.normalized('mention')} = norm""")(
+    lambda t: M.resolve_names(_mentions_of_customers(t), _names(t.customer))
 )
-# actor_resolution looks among 500 names, as its SQL does; this looks among all.
-query("actor_resolution_all", ORACLE_SQL["actor_resolution"].replace(" where c_custkey <= 500", ""))(lambda t: M.resolve_names(_mentions_of_customers(t), _names(t.customer)))
 
 
 @query("path_resolution", r"""with f as (select distinct regexp_replace(url, '^https?://', '') as p from pages), c as (select distinct case page_id % 3 when 0 then './' || regexp_replace(url, '^https?://', '') when 1 then regexp_replace(regexp_replace(url, '^https?://', ''), '^[^/]*/', '') else 'x/' || regexp_replace(url, '^https?://', '') end as cited from pages), k as (select cited, regexp_replace(cited, '^(\./)+', '') as c from c), e as (select cited, p as exact from k join f on c = p), l as (select distinct cited, p from k join f on suffix(p, '/' || c) or suffix(c, '/' || p) or c = p), o as (select cited, min(p) as only from l group by 1 having count(*) = 1) select cited, coalesce(exact, o.only) as resolved from k left join e using (cited) left join o using (cited)""")
@@ -151,12 +149,9 @@ def _priorities(t):
     return orders.select("o_orderkey", F.round(K.debt_priority(F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.5).otherwise(0.25), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 100) / 100.0), F.col("n"), F.col("e")), 6).alias("priority"))
 
 
-query("priority_order", "with l as (select l_orderkey, count(*) as n, count(distinct l_suppkey) as e from lineitem group by 1), s as (select o_orderkey, round(case o_orderstatus when 'F' then 1.0 when 'O' then 0.5 else 0.25 end * coalesce(1 - case when o_orderkey % 5 = 0 then null else (o_orderkey % 100) / 100.0 end, 1.0) * (1 + ln(1 + coalesce(n, 0))) * (1 + ln(1 + coalesce(e, 0))), 6) as priority from orders left join l on l_orderkey = o_orderkey) select o_orderkey, priority, row_number() over (order by priority desc, o_orderkey) as rank from s qualify rank <= 200")(
-    lambda t: _priorities(t)
-    .orderBy(F.desc("priority"), "o_orderkey").limit(200).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "o_orderkey")))
+query("priority_order", "with l as (select l_orderkey, count(*) as n, count(distinct l_suppkey) as e from lineitem group by 1), s as (select o_orderkey, round(case o_orderstatus when 'F' then 1.0 when 'O' then 0.5 else 0.25 end * coalesce(1 - case when o_orderkey % 5 = 0 then null else (o_orderkey % 100) / 100.0 end, 1.0) * (1 + ln(1 + coalesce(n, 0))) * (1 + ln(1 + coalesce(e, 0))), 6) as priority from orders left join l on l_orderkey = o_orderkey) select o_orderkey, priority, row_number() over (order by priority desc, o_orderkey) as rank from s")(
+    lambda t: K.global_rank(_priorities(t), [F.desc("priority"), F.col("o_orderkey")])
 )
-# priority_order stops at 200 orders, as its SQL does; this is the whole order.
-query("priority_order_all", ORACLE_SQL["priority_order"].removesuffix(" qualify rank <= 200"))(lambda t: K.global_rank(_priorities(t), [F.desc("priority"), F.col("o_orderkey")]))
 query("evenly_spaced", "with e as (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as r, count(*) over (partition by user_id) as n from events) select event_id, user_id from e where (r * least(5, n)) // n <> ((r + 1) * least(5, n)) // n")(
     lambda t: K.evenly_spaced(t.events.select("event_id", "user_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")], 5).drop("ts")
 )
@@ -186,7 +181,10 @@ query("upsert_latest", "select user_id, event_type, event_id, value from events
 query("bounded_history", "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 20")(
     lambda t: K.budget(t.events.select("user_id", "event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 20, ["user_id"]).filter("kept").select("user_id", "event_id")
 )
-query("batch_packing")(lambda t: K.batches(t.documents.select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], "n_chars", 12000))
+query("batch_packing", """with recursive d as (select source, n_chars as size, row_number() over (partition by source order by doc_id) as pos from documents),
+b as (select source, 1::bigint as pos, size, 0::bigint as batch, size as used from d where pos = 1 union all
+  select d.source, d.pos, d.size, case when used + d.size <= 12000 then batch else batch + 1 end, case when used + d.size <= 12000 then used + d.size else d.size end from b join d on d.source is not distinct from b.source and d.pos = b.pos + 1)
+select source, pos::int as pos, size, batch from b""")(lambda t: K.batches(t.documents.select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], "n_chars", 12000))
 query("number_within", "select p_brand || '-' || row_number() over (partition by p_brand order by p_partkey) as slug, p_partkey from part")(
     lambda t: t.part.select(F.concat_ws("-", "p_brand", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("string")).alias("slug"), "p_partkey")
 )

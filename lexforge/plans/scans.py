@@ -32,18 +32,18 @@ _ONE = f"with f as ({_CATALOGS}), l as (select *, case when pos % 4 < 3 then str
 
 
 def _texts(t, *pieces):
-    return t.sql(_CATALOGS).withColumn("content", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces]))
+    """The catalogs' paths with a content in which None stands for the file's number."""
+    return t.sql(_CATALOGS).withColumn("content", F.concat(*[F.col("pos").cast("string") if x is None else F.lit(x) for x in pieces]))
 
 
-_N = F.col("pos").cast("string")
 query("catalog_properties", f"{_ONE} select path, 'menu.title' as key, 'Title ' || pos as text from k union all select path, 'menu.n' || pos, 'of: ' || pos from k")(
-    lambda t: C.one_language(C.properties_entries(_texts(t, "# head\nmenu.title = Title ", _N, "\nempty =\n! x\nmenu.n", _N, ": of: ", _N, "  \n"), "path", "content"))
+    lambda t: C.one_language(C.properties_entries(_texts(t, "# head\nmenu.title = Title ", None, "\nempty =\n! x\nmenu.n", None, ": of: ", None, "  \n"), "path", "content"))
 )
 query("catalog_gettext", f"{_ONE} select path, 'Open ' || pos as key, 'Offen ' || pos as text from k union all select path, 'Untold', 'Untold' from k")(
-    lambda t: C.one_language(C.gettext_entries(_texts(t, 'msgid ""\nmsgstr "Language: x"\n\n#: a\nmsgid "Open ', _N, '"\nmsgstr "Offen ', _N, '"\n\nmsgid "Untold"\nmsgstr ""\n'), "path", "content"))
+    lambda t: C.one_language(C.gettext_entries(_texts(t, 'msgid ""\nmsgstr "Language: x"\n\n#: a\nmsgid "Open ', None, '"\nmsgstr "Offen ', None, '"\n\nmsgid "Untold"\nmsgstr ""\n'), "path", "content"))
 )
 query("catalog_yaml", f"{_ONE} select path, 'de.menu.title' as key, 'It''s ' || pos as text from k union all select path, 'de.menu.sub.n' || pos, 'deep' from k union all select path, 'de.end', 'last' from k")(
-    lambda t: C.one_language(C.yaml_entries(_texts(t, "# c\nde:\n  menu:\n    title: \"It's ", _N, "\"\n    list:\n      - one\n    sub:\n      n", _N, ": deep # why\n  end: last\n"), "path", "content"))
+    lambda t: C.one_language(C.yaml_entries(_texts(t, "# c\nde:\n  menu:\n    title: \"It's ", None, "\"\n    list:\n      - one\n    sub:\n      n", None, ": deep # why\n  end: last\n"), "path", "content"))
 )
 
 _SNIFF = "select p_partkey as pos, case p_partkey % 8 when 0 then 'db/schema.rb' when 1 then 'db/x.sql' when 2 then 'db/migrations/001_a.sql' when 3 then 'db/migrate/20240101_add.rb' when 4 then 'config/locales/en.yml' when 5 then 'src/i18n/fr.json' when 6 then 'res/messages_de.properties' else 'po/de.po' end as path, case when p_partkey % 3 = 0 then 'select 1' else concat('-- x', chr(10), 'CREATE TABLE t (') end as content from part"

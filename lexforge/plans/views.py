@@ -19,9 +19,7 @@ query("heading_anchors", r"select page_id, replace(regexp_replace(lower(trim(reg
 query("json_answers", "select event_id, json_extract_string(props, '$.k')::int as k from events")(
     lambda t: t.events.select("event_id", F.get_json_object(D.json_answer(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))), "$.k").cast("int").alias("k"))
 )
-query("part_markers", "select doc_id, left(text, 30) as plain from documents")(lambda t: t.documents.select("doc_id", D.without_part_marker(D.part_marker(F.lit(2), F.lit(3), F.left("text", F.lit(30)))).alias("plain")))
-# part_markers takes prefixes, as its SQL does; this takes whole texts.
-query("part_markers_all", "select doc_id, text as plain from documents")(lambda t: t.documents.select("doc_id", D.without_part_marker(D.part_marker(F.lit(2), F.lit(3), F.col("text"))).alias("plain")))
+query("part_markers", "select doc_id, text as plain from documents")(lambda t: t.documents.select("doc_id", D.without_part_marker(D.part_marker(F.lit(2), F.lit(3), F.col("text"))).alias("plain")))
 query("line_window", r"select doc_id, list_transform(string_split(text, chr(10))[2:4], lambda x: left(x, 400)) as lines from documents")(lambda t: t.documents.select("doc_id", D.line_window(F.col("text"), 2, 4).alias("lines")))
 query("chunks")(lambda t: D.chunks(t.documents, "doc_id", "text", 1000, 1_000_000))
 query("static_segments", r"with s as (select page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') as p from pages) select page_id, list_filter(list_transform(p, lambda x, i: case when regexp_matches(x, '^[:{<*]') then '*' when i = len(p) then string_split(x, '.')[1] else x end), lambda x: x <> '*' and not regexp_matches(x, '^v[0-9]+$')) as segments from s")(
@@ -33,10 +31,17 @@ query("manifests", "select p_partkey, p_name as name, p_type as description, [p_
 )
 
 
-@query("renamed_log", "with c as (select l_partkey as path, l_orderkey * 10 + l_linenumber as seq, l_linenumber from lineitem), n as (select path, seq from c) select path as start, seq, row_number() over (partition by path order by seq desc) as place from n qualify place <= 5")
+_COMMITS = "select l_partkey as path, l_orderkey * 10 + l_linenumber as seq, max(case when l_suppkey % 7 = 0 then l_partkey + 1 end) as renamed_from from lineitem group by 1, 2"
+
+
+@query("renamed_log", f"""with recursive c as ({_COMMITS}), born as (select path, seq, renamed_from from c where renamed_from is not null),
+h as (select path as start, path, null::bigint as before, 0 as hop from (select distinct path from c) union all
+  select h.start, b.renamed_from, b.seq, hop + 1 from h join lateral (select seq, renamed_from from born where born.path = h.path and (h.before is null or born.seq < h.before) order by seq desc limit 1) b on true where hop < 7),
+n as (select h.start, c.seq from h join c on c.path = h.path and (h.before is null or c.seq < h.before) where c.seq >= coalesce((select max(seq) from born where born.path = h.path and (h.before is null or born.seq < h.before)), 0))
+select start, seq, row_number() over (partition by start order by seq desc) as place from n qualify place <= 5""")
 def renamed_log(t):
-    commits = t.lineitem.select(F.col("l_partkey").alias("path"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit(None).cast("bigint").alias("renamed_from"))
-    return D.renamed_log(commits, commits.select(F.col("path").alias("start")).distinct(), 5, hops=2).select("start", "seq", "place")
+    commits = t.sql(_COMMITS)
+    return D.renamed_log(commits, commits.select(F.col("path").alias("start")).distinct(), 5).select("start", "seq", "place")
 
 
 _SRC = "select doc_id, 'src/' || regexp_extract(text, '^[^a-zA-Z]*([a-zA-Z]+)', 1) || '.py' as path, doc_id as k, text from documents"
@@ -76,19 +81,17 @@ query("step_tally", "with s as (select l_returnflag, (list_value('pass', 'ungrou
 query("pattern_coverage", "with l as (select lang, unnest(string_split(text, chr(10))) as line from documents), g as (select lang, avg(case when starts_with(line, 'Th') then regexp_matches(line, '^Th.*and')::int end) as coverage, avg(regexp_matches(line, '^Th.*and')::int) as breadth from l group by 1) select lang, round(case when breadth <= 0.5 then coverage end, 6) as coverage, round(breadth, 6) as breadth from g")(
     lambda t: D.pattern_coverage(t.documents.select("lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("e", F.col("line").startswith("Th")), "lang", "line", "e", "^Th.*and").select("lang", F.round("coverage", 6).alias("coverage"), F.round("breadth", 6).alias("breadth"))
 )
-query("even_shares")(lambda t: D.even_shares(t.part.select("p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size", 500))
+query("even_shares", """with recursive p as (select p_brand, p_partkey, p_size, row_number() over (partition by p_brand order by p_size, p_partkey) as k, count(*) over (partition by p_brand) as n from part),
+s as (select p_brand, p_partkey, k, n, least(p_size, 500 // n)::bigint as share, 500 - least(p_size, 500 // n)::bigint as room from p where k = 1 union all
+  select p.p_brand, p.p_partkey, p.k, p.n, least(p.p_size, room // (p.n - s.k))::bigint, room - least(p.p_size, room // (p.n - s.k))::bigint from s join p on p.p_brand = s.p_brand and p.k = s.k + 1)
+select p_brand, p_partkey, share from s""")(lambda t: D.even_shares(t.part.select("p_brand", "p_partkey", "p_size"), "p_brand", "p_partkey", "p_size", 500))
 
 
 def _undocumented(t):
     return t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_orderkey") % 100) / 100.0).alias("c")).join(t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n")), "o_orderkey", "left").fillna(0, ["n"])
 
 
-query("undocumented_order", "select o_orderkey, row_number() over (order by n desc, c desc nulls last, o_orderkey) as place from (select o_orderkey, count(l_linenumber) as n, case when o_orderkey % 4 = 0 then null else (o_orderkey % 100) / 100.0 end as c from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey) order by place limit 100")(
-    lambda t: _undocumented(t).orderBy(F.desc("n"), F.desc_nulls_last("c"), "o_orderkey").limit(100)
-    .selectExpr("o_orderkey", "row_number() over (order by n desc, c desc nulls last, o_orderkey) as place")
-)
-# undocumented_order stops at 100 orders, as its SQL does; this is the whole order.
-query("undocumented_order_all", ORACLE_SQL["undocumented_order"].removesuffix(" order by place limit 100"))(
+query("undocumented_order", "select o_orderkey, row_number() over (order by n desc, c desc nulls last, o_orderkey) as place from (select o_orderkey, count(l_linenumber) as n, case when o_orderkey % 4 = 0 then null else (o_orderkey % 100) / 100.0 end as c from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)")(
     lambda t: K.global_rank(_undocumented(t), [F.desc("n"), F.desc_nulls_last("c"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
 )
 query("featureless_parents", "select n_nationkey from nation where n_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000)")(

@@ -129,7 +129,7 @@ def sql_tables(docs: DataFrame, id_col: str, content: str) -> DataFrame:
     block = r"(?im)^\s*create (?:unlogged )?table (?:if not exists )?[^\s(]+[^\n]*(?:\n(?!\s*\)).*)*"
     t = docs.select(F.col(id_col), F.posexplode(F.regexp_extract_all(content, F.lit(block), F.lit(0))).alias("table_no", "b"))
     name = F.regexp_replace(F.regexp_extract("b", r"(?i)table (?:if not exists )?([^\s(]+)", 1), r'["`\[\]]', "")
-    words = F.transform(F.filter(F.slice(F.split("b", "\n"), 2, 10_000), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1))
+    words = F.transform(F.filter(F.slice(F.split("b", "\n"), F.lit(2), F.size(F.split("b", "\n"))), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1))
     keep = F.filter(words, lambda w: ~F.upper(w).isin("CONSTRAINT", "PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "EXCLUDE", "LIKE") & ~w.startswith("--"))
     return t.select(id_col, "table_no", name.alias("name"), F.transform(keep, lambda w: F.regexp_replace(w, r'^["`,\[\]]+|["`,\[\]]+$', "")).alias("columns"))
 

@@ -18,9 +18,9 @@ def test_search_tokens(spark, text, want):
     assert one(spark, T.search_tokens(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize("name", ["ContractSigner", "contract_signer", "contract-signers"])
+@pytest.mark.parametrize("name", ["ParcelSender", "parcel_sender", "parcel-senders"])
 def test_one_key_for_a_name(spark, name):
-    assert one(spark, T.normalize_name(F.col("t")), t=name) == "contractsigner"
+    assert one(spark, T.normalize_name(F.col("t")), t=name) == "parcelsender"
 
 
 @pytest.mark.parametrize(("name", "want"), [("bus", "bus"), ("docs", "docs"), ("items", "item")])
@@ -48,7 +48,7 @@ def test_code_identifiers(spark):
 
 
 def test_code_leaks(spark):
-    got = one(spark, T.code_leaks(F.col("t"), ["ContractSigner"]), t="The ContractSigner and UserAccount call save() via GET, app/models/user.rb and the controller; and/or PATCHes.")
+    got = one(spark, T.code_leaks(F.col("t"), ["ParcelSender"]), t="The ParcelSender and UserAccount call save() via GET, app/models/user.rb and the controller; and/or PATCHes.")
     assert got == ["useraccount", "save", "get", "app/models/user.rb", "controller"]
 
 
@@ -66,8 +66,8 @@ def test_citation_and_span(spark):
 
 
 def test_mentions(spark):
-    assert one(spark, T.mentions(F.col("t"), F.lit("SignatureTransaction")), t="signs the signature transactions today")
-    assert not one(spark, T.mentions(F.col("t"), F.lit("SignatureTransaction")), t="a transaction signature")
+    assert one(spark, T.mentions(F.col("t"), F.lit("RefundRequest")), t="files the refund requests today")
+    assert not one(spark, T.mentions(F.col("t"), F.lit("RefundRequest")), t="a request of a refund")
 
 
 def test_routes(spark):

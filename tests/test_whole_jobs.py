@@ -57,7 +57,7 @@ def test_global_rank_equals_sorting(spark):
     assert ranking.global_rank(df.limit(0), [F.col("id")]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["priority_order_all", "undocumented_order_all"])
+@pytest.mark.parametrize("name", ["priority_order", "undocumented_order"])
 @tables
 def test_orders_are_ranked_whole(spark, name):
     n = spark.read.parquet(f"{DIR}/orders.parquet").count()
@@ -69,16 +69,16 @@ def test_orders_are_ranked_whole(spark, name):
 
 @tables
 def test_actors_resolve_among_all_names(spark):
-    rows = catalog.QUERIES["actor_resolution_all"](spark, DIR).collect()
+    rows = catalog.QUERIES["actor_resolution"](spark, DIR).collect()
     known = dict(spark.read.parquet(f"{DIR}/customer.parquet").select("c_custkey", "c_name").collect())
     assert {x["id"]: x["resolved"] for x in rows} == {k: None if k % 3 == 2 else n for k, n in known.items()}
 
 
 def test_actors_past_the_first_five_hundred_resolve(spark, tmp_path):
     spark.createDataFrame([(k, f"Customer#{k:09d}") for k in range(480, 640)], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
-    got = {x["id"]: x["resolved"] for x in catalog.QUERIES["actor_resolution_all"](spark, str(tmp_path)).collect()}
+    got = {x["id"]: x["resolved"] for x in catalog.QUERIES["actor_resolution"](spark, str(tmp_path)).collect()}
     assert got == {k: None if k % 3 == 2 else f"Customer#{k:09d}" for k in range(480, 640)}
-    assert "500" not in catalog.ORACLE_SQL["actor_resolution_all"]
+    assert "500" not in catalog.ORACLE_SQL["actor_resolution"]
 
 
 def plain_slice(mentions, owners, start, depth, most):
@@ -128,11 +128,11 @@ def test_slice_reach_starts_from_all_files_and_knows_all_owners(spark, tmp_path)
 def test_reach_takes_all_rows_and_two_hops(spark, tmp_path):
     rows = [(1, 10, 1), (2, 10, 1), (2, 11, 50), (3, 11, 50), (3, 12, 2), (4, 12, 2), (5, 13, 9)]
     spark.createDataFrame(rows, "l_suppkey bigint, l_partkey bigint, l_quantity int").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {x["start"]: x["reached"] for x in catalog.QUERIES["bounded_reach_all"](spark, str(tmp_path)).collect()}
+    got = {x["start"]: x["reached"] for x in catalog.QUERIES["bounded_reach"](spark, str(tmp_path)).collect()}
     assert got == {1: 2, 2: 3, 3: 3, 4: 2}
 
 
 def test_part_markers_keep_whole_texts(spark, tmp_path):
     texts = [(1, "(part 1/2) " + "long " * 40), (2, " line\n" * 30), (3, None)]
     spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {x["doc_id"]: x["plain"] for x in catalog.QUERIES["part_markers_all"](spark, str(tmp_path)).collect()} == dict(texts)
+    assert {x["doc_id"]: x["plain"] for x in catalog.QUERIES["part_markers"](spark, str(tmp_path)).collect()} == dict(texts)
