@@ -11,7 +11,8 @@ and a task tells only its texts' counts of links and a spanning forest, never al
 Defined results: a null text counts as an empty one; a text without words has no shingles and no
 link; one of fewer than n words is a single shingle of all its words; repeated rows and equal
 texts share a class; ties go to the smallest id; rows whose id is null come back with a null class
-and no links; an empty table gives an empty result.  Only the id and text columns are read.
+and no links; an empty table gives an empty result; ids must be whole numbers (other kinds are an
+error), very long texts are compared like any other.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.components import connected_components
-from lexforge.llm.shared import bound_batches, partitions, ready_checkpoints
+from lexforge.llm.shared import bound_batches, ready_checkpoints
+from lexforge.operators.components import connected_components
 
 WORDS, SIMILAR, BANDS, ROWS, BLOCK = 5, (4, 5), 16, 5, 256
 
@@ -175,7 +176,7 @@ def compared(docs: DataFrame, id_col: str, text_col: str, n: int, similar: tuple
     run, ddl = _compare(n, bands, similar, pairs)
     keys = ["value", "left", "right"]
     cut = full.select("value", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "band", "block", "id", "key", "bands", "text")
-    return cut.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
+    return cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, ddl)
 
 
 def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:

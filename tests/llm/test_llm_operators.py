@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexforge.llm import bpe, components, decontaminate, langid, licenses, near, quality, queries_tokens, registry, secrets, sharding, substrings, warc
+from lexforge.llm import bpe, decontaminate, langid, licenses, near, quality, queries_tokens, registry, secrets, sharding, substrings, warc
 
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, part int, bands string"
 LONG = " ".join(f"word{i * 7919 % 1013}" for i in range(9000))
@@ -148,13 +148,6 @@ def test_jaccard_join_equals_brute_force(spark, docs, empty, block):
     assert near.jaccard_join(empty).count() == 0
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
-    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
-    assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200}
-    assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
-
-
 def test_quality_of_hard_rows(docs, empty):
     w = (np.zeros((quality.N_FEATURES, 2)), np.zeros((2, 2)))
     got = quality.judge(docs, w, carry=("doc_id", "id", "part")).collect()
