@@ -35,9 +35,23 @@ def heading_anchor(heading: Column) -> Column:
 
 
 def json_answer(answer: Column) -> Column:
-    """The JSON object of an answer, fenced or bare, with whatever text around it."""
-    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*\}|\[.*\])\s*```", 1)
-    return F.when(fenced != "", fenced).otherwise(F.regexp_extract(answer, r"(?s)(\{.*\}|\[.*\])", 1))
+    """The JSON value of an answer: what a fence holds if it begins like one, else from the first bracket to where it closes, whatever stands around.
+
+    Brackets are counted over the pieces between quotes and brackets; those inside strings don't count.
+    """
+    fenced = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", 1)
+    rest = F.regexp_extract(answer, r"(?s)([\{\[].*)$", 1)
+    pieces = F.regexp_extract_all(rest, F.lit(r'(?s)"(?:[^"\\]|\\.)*"|[\{\}\[\]]|[^"\{\}\[\]]+|"'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        depth = a["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        n = a["n"] + 1
+        return F.struct(depth.alias("depth"), n.alias("n"), F.when((a["end"] == 0) & (depth == 0) & x.isin("}", "]"), n).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(pieces, start, step, lambda a: a["end"])
+    bare = F.when(end > 0, F.array_join(F.slice(pieces, F.lit(1), end), "")).otherwise(rest)
+    return F.when(fenced != "", fenced).otherwise(bare)
 
 
 def part_marker(n: Column, total: Column, text: Column) -> Column:

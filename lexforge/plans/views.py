@@ -16,8 +16,15 @@ query("class_names", r"with p as (select p_partkey, 'src/' || case p_partkey % 3
 query("heading_anchors", r"select page_id, replace(regexp_replace(lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^\p{L}\p{N} _-]', '', 'g'), ' ', '-') as anchor from pages")(
     lambda t: t.pages.select("page_id", D.heading_anchor(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("anchor"))
 )
+
+def _answer():
+    """The events' objects, fenced, or bare among prose and other objects."""
+    fenced = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone {x}."))
+    return F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here: "), "props", F.lit(' and {"k": 99} too.'))).otherwise(F.concat("props", F.lit(" }")))
+
+
 query("json_answers", "select event_id, json_extract_string(props, '$.k')::int as k from events")(
-    lambda t: t.events.select("event_id", F.get_json_object(D.json_answer(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone."))), "$.k").cast("int").alias("k"))
+    lambda t: t.events.select("event_id", F.get_json_object(D.json_answer(_answer()), "$.k").cast("int").alias("k"))
 )
 query("part_markers", "select doc_id, text as plain from documents")(lambda t: t.documents.select("doc_id", D.without_part_marker(D.part_marker(F.lit(2), F.lit(3), F.col("text"))).alias("plain")))
 query("line_window", r"select doc_id, list_transform(string_split(text, chr(10))[2:4], lambda x: left(x, 400)) as lines from documents")(lambda t: t.documents.select("doc_id", D.line_window(F.col("text"), 2, 4).alias("lines")))
