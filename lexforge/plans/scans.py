@@ -8,6 +8,7 @@ from lexforge.functions import text as T
 from lexforge.plans import model
 from lexforge.plans.registry import query
 from lexforge.sources import catalogs as C
+from lexforge.sources.manifests import manifests
 
 _PATHS = "select p_partkey as pos, concat(case p_partkey % 6 when 0 then 'docs/' when 1 then '' when 2 then 'build/out/' when 3 then 'src/tmp/' when 4 then 'src/' else 'Docs/more/' end, 'f', cast(p_partkey as string), case p_partkey % 4 when 0 then '.md' when 1 then '.MDX' when 2 then '.log' else '.py' end) as path from part"
 query("walk_without_ignored", f"with f as ({_PATHS}) select * from f where not (starts_with(path, 'build/') or contains(path, '/tmp/') or (suffix(path, '.log') and path <> 'docs/f6.log'))")(
@@ -78,6 +79,42 @@ query("series_scan", f"with r as ({_RUNS}) select id, string_split(name, '/')[2]
     lambda t: C.series(t.sql(_RUNS).unionByName(t.spark.createDataFrame([(99, "runs/.old/a.json", 1)], "id int, name string, version int")), "name").select("id", "series", "place")
 )
 
+# ---- manifests: each supplier's file has its own name in it
+
+_FORMS = {
+    "go.mod": "module ex/NAME\n// require (\nrequire (\n\tgithub.com/a v1\n\tgithub.com/NAME v2\n)\nrequire single v3\n",
+    "pom.xml": "<project><parent><artifactId>up</artifactId></parent><artifactId>NAME</artifactId><description> D </description><dependencies><dependency><artifactId>one</artifactId></dependency><dependency><artifactId> NAME-two </artifactId></dependency></dependencies></project>",
+    "Cargo.toml": '[package]\nname = "NAME"\ndescription = "D"\n\n[dependencies]\none = "1"\nNAME-x = { version = "2" }\n\n[dependencies.deep]\nversion = "1"\n\n[dev-dependencies]\nno = "1"\n',
+    "pyproject.toml": '[project]\nname = "NAME"\ndependencies = [\n  "one>=1",\n  "NAME-y[z]~=2",\n]\n\n[tool.poetry.dependencies]\npython = "3"\nlate = "1"\n',
+    "requirements.txt": "# c\n-r other\none==1\nNAME.z>=2 # x\n",
+    "Gemfile": "source 'x'\ngem 'one', '~> 1'\n  gem \"NAME\"\n",
+    "build.gradle": "dependencies {\n  implementation 'g:one:1'\n  testImplementation 'g:no:1'\n  api(\"g:NAME:2\")\n}\n",
+    "App.csproj": '<Project><Description>D</Description><PackageReference Include="One" Version="1" /><PackageReference Include="NAME" /></Project>',
+    "composer.json": '{"name": "NAME", "require": {"one": "1"}, "require-dev": {"NAME": "2"}}',
+    "notes.txt": "NAME",
+}
+#: File, name, description and dependencies, n being the supplier's name.
+_TOLD = [
+    ("go.mod", "'ex/' || n", "null", "['github.com/a', 'github.com/' || n, 'single']"),
+    ("pom.xml", "n", "'D'", "['one', n || '-two']"),
+    ("Cargo.toml", "n", "'D'", "['one', n || '-x', 'deep']"),
+    ("pyproject.toml", "n", "null", "['one', n || '-y', 'late']"),
+    ("requirements.txt", "null", "null", "['one', n || '.z']"),
+    ("Gemfile", "null", "null", "['one', n]"),
+    ("build.gradle", "null", "null", "['g:one', 'g:' || n]"),
+    ("App.csproj", "'App'", "'D'", "['One', n]"),
+    ("composer.json", "n", "null", "['one', n]"),
+]
+
+
+@query("manifest_formats", "with s as (select 's' || s_suppkey as n from supplier) " + " union all ".join(f"select n || '/{file}' as path, {name} as name, {told} as description, {deps} as dependencies from s" for file, name, told, deps in _TOLD))
+def manifest_formats(t):
+    name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    forms = F.array(*[F.struct(F.lit(k).alias("file"), F.lit(v).alias("form")) for k, v in _FORMS.items()])
+    files = t.supplier.select(name.alias("n"), F.explode(forms).alias("x")).select(F.concat_ws("/", "n", "x.file").alias("path"), F.replace("x.form", F.lit("NAME"), F.col("n")).alias("content"))
+    return manifests(files)
+
+
 # ---- scalars of names and citations
 
 query("file_name_words", r"select p_partkey, list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: case when length(w) > 4 and suffix(w, 'ies') then left(w, length(w) - 3) || 'y' when length(w) > 4 and regexp_matches(w, '(ss|sh|ch|x|z)es$') then left(w, length(w) - 2) when suffix(w, 'ss') or suffix(w, 'us') or suffix(w, 'is') then w when suffix(w, 's') and length(w) >= 4 then left(w, length(w) - 1) else w end) as words from part")(
