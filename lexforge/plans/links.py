@@ -28,8 +28,8 @@ def domain_entries(t):
     return J.domain_entries(t.sql(_ENTRIES), t.sql(_RESOURCES), t.sql(_PATHS), t.sql(_ROUTED))
 
 
-query("support_files", f"{_WITH} select path, name from files where path not in (select path from lines where part % 90 = 0) and pos % 4 <> 1 and pos % 9 <> 2")(
-    lambda t: J.support_files(t.sql(model.FILES), [t.sql(model.LINES).filter("part % 90 = 0"), t.sql(model.FILES).filter("pos % 4 = 1"), t.sql(model.FILES).filter("pos % 9 = 2")]).select("path", "name")
+query("support_files", f"{_WITH} select path, name from files where path not in (select path from lines where part % 900 = 0) and pos % 4 <> 1 and pos % 9 <> 2")(
+    lambda t: J.support_files(t.sql(model.FILES), [t.sql(model.LINES).filter("part % 900 = 0"), t.sql(model.FILES).filter("pos % 4 = 1"), t.sql(model.FILES).filter("pos % 9 = 2")]).select("path", "name")
 )
 
 _KNOWN = "select p_partkey as pos, concat('src/', p_brand, '.rb#', p_name, cast(p_partkey as string)) as id, case when p_partkey % 3 = 0 then upper(p_name) else p_name end as name from part"
@@ -55,8 +55,8 @@ query("concept_usage", f"{_WITH} select distinct entity, use_case from ({_ENTITY
 )
 
 _RULES = f"select pos as rule, feature, concat(path, cast(start_line as string)) as path from ({model.LINES}) l"
-query("neighbour_rules", f"with r as ({_RULES}), m as (select distinct feature, path from r where rule % 30 = 1) select distinct m.feature, r.rule from (select distinct feature, path from r where feature in (select feature from m)) m join r on m.path = r.path and m.feature <> r.feature")(
-    lambda t: J.neighbour_rules(t.sql(_RULES), t.sql(_RULES).filter("rule % 30 = 1").select("feature"))
+query("neighbour_rules", f"with r as ({_RULES}), m as (select distinct feature, path from r where rule % 300 = 1) select distinct m.feature, r.rule from (select distinct feature, path from r where feature in (select feature from m)) m join r on m.path = r.path and m.feature <> r.feature")(
+    lambda t: J.neighbour_rules(t.sql(_RULES), t.sql(_RULES).filter("rule % 300 = 1").select("feature"))
 )
 
 _QUESTIONS = "select c_custkey as question, case when c_custkey % 5 = 0 then null else concat('f', cast(c_custkey % 40 as string)) end as feature, concat('g', cast(c_custkey % 7 as string), case when c_custkey % 2 = 0 then '/case' else 'x' end) as source from customer"

@@ -68,7 +68,7 @@ query("usable_rules", f"{_CHECK} select rule, files > 0 and usable > 0 as kept f
 query("text_prefix", "select doc_id, left(text, 0) || array_to_string(list_filter([case when strlen(left(text, 40)) <= 40 then left(text, 40) else (select max(left(text, n)) from range(41) r(n) where strlen(left(text, n)) <= 40) end], lambda x: true), '') as head from documents where text is not null")(
     lambda t: t.documents.filter("text is not null").select("doc_id", C.prefix(F.col("text"), 40).alias("head"))
 )
-_CITED = "select p_partkey as pos, case p_partkey % 3 when 0 then concat('src/../f', cast(p_partkey as string), '.py') when 1 then concat('src/tmp/f', cast(p_partkey as string), '.py') else '/etc/passwd' end as path from part"
+_CITED = "select p_partkey as pos, case p_partkey % 3 when 0 then concat('src/../f', cast(p_partkey as string), '.py') when 1 then concat('src/f', cast(p_partkey as string), '.md') else '/etc/passwd' end as path from part"
 query("readable_paths", f"with c as ({_CITED}) select * from c where path in (select path from ({_PATHS}) f) and not contains(path, '..') and not starts_with(path, '/')")(lambda t: C.readable(t.sql(_CITED), t.sql(_PATHS)))
 
 _RUNS = "select n_nationkey as id, concat('runs/s', cast(n_regionkey as string), '/', case when n_nationkey % 6 = 5 then 'notes' else concat('2024-0', cast(1 + n_nationkey % 3 as string), '-11', case when n_nationkey % 2 = 0 then concat('-', cast(n_nationkey + 2 as string)) else '' end) end, '.json') as name, case when n_nationkey % 7 = 0 then 2 when n_nationkey % 7 = 1 then null else 1 end as version from nation"

@@ -46,7 +46,7 @@ query("catch_all_names", f"with s as ({_SLUGS}), w as (select *, list_filter(str
     lambda t: t.sql(_SLUGS).withColumn("catch_all", L.is_catch_all(F.col("slug")))
 )
 
-query("restricted_features", f"{_WITH} select feature as slug, list(id order by pos) as entry_points from lines where supplier % 4 = 0 group by 1")(
+query("restricted_features", f"{_WITH} select feature as slug, list(id order by pos, id) as entry_points from lines where supplier % 4 = 0 group by 1")(
     lambda t: L.restricted(
         t.sql(model.LINES).groupBy(F.col("feature").alias("slug")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("entry_points")),
         t.sql(model.LINES).filter("supplier % 4 = 0").select(F.col("id").alias("entry")), "slug", "entry_points"
