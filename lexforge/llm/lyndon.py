@@ -17,7 +17,7 @@ import numpy as np
 from lexforge.llm.bytesview import ragged
 
 #: Symbols that are worked on at once: enough that a round's calls pay, few enough for the cache.
-BATCH = 1 << 20
+BATCH = 1 << 21
 
 
 def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -72,57 +72,65 @@ class _Groups:
 
     def group_all(self) -> None:
         """Pass one."""
-        begin, end = self.begin, self.end.copy()
+        begin, end = self.begin, self.end.astype(np.int64)
+        order, group = self.order, self.group
         while len(end):
-            at = self.group[self.order[end - 1]]
-            size = end - at
-            end = at.astype(np.int64)
-            several = size > 1
-            single = at[~several]
-            members = self.order[single]
-            self._point(members, single)
-            target = self.smaller[members]
-            self._move_one(target[self.group[target] >= 0])
-            if several.any():
-                low, size = end[several], size[several]
-                members, floor = self.order[ragged(low, size)], np.repeat(low, size)
-                self._point(members, floor, peers=True)
-                target = self.smaller[members]
-                self._move(target[self.group[target] >= 0])
-            left = end > begin
-            if not left.all():
+            at = group.take(order.take(end - 1)).astype(np.int64)
+            several = np.flatnonzero(end - at > 1)
+            if len(several):
+                single = np.ones(len(at), bool)
+                single[several] = False
+                low, size = at[several], (end - at)[several]
+                single = at[single]
+                self._move_one(self._point(order.take(single), single))
+                members, floor = order.take(ragged(low, size)), np.repeat(low, size)
+                self._move(self._point(members, floor, peers=True))
+            else:
+                self._move_one(self._point(order.take(at), at))
+            end = at
+            left = np.flatnonzero(end > begin)
+            if len(left) < len(end):
                 begin, end = begin[left], end[left]
 
-    def _point(self, members: np.ndarray, floor: np.ndarray, peers: bool = False) -> None:
-        """Sets each member's nearest place before it in a group below its own."""
+    def _point(self, members: np.ndarray, floor: np.ndarray, peers: bool = False) -> np.ndarray:
+        """Sets each member's nearest place before it in a group below its own; those of them that aren't before the string."""
         group, smaller = self.group, self.smaller
-        to = members - 1
-        open_ = np.flatnonzero(group[to] > floor)
+        to = members.astype(np.int64)
+        to -= 1
+        held = group.take(to)
+        open_ = np.flatnonzero(held > floor)
         while len(open_):
-            nxt = smaller[to[open_]]
+            nxt = smaller.take(to[open_])
             to[open_] = nxt
-            open_ = open_[group[nxt] > floor[open_]]
+            there = group.take(nxt)
+            held[open_] = there
+            open_ = open_[there > floor[open_]]
         smaller[members] = to
         if peers:  # a pointer may have met a member of the same group: follow that one's
-            open_ = np.flatnonzero(group[to] == floor)
+            open_ = np.flatnonzero(held == floor)
             while len(open_):
-                nxt = smaller[to[open_]]
+                nxt = smaller.take(to[open_])
                 to[open_] = nxt
                 smaller[members[open_]] = nxt
-                open_ = open_[group[nxt] == floor[open_]]
+                there = group.take(nxt)
+                held[open_] = there
+                open_ = open_[there == floor[open_]]
+        return to[held >= 0]
 
     def _move_one(self, target: np.ndarray) -> None:
         """Targets of as many strings: each to the last place of its group, which becomes a group."""
         if not len(target):
             return
-        g = self.group[target]
-        to, here = self.top[g] - 1, self.place[target]
-        other = self.order[to]
-        self.order[here], self.place[other] = other, here
-        self.order[to], self.place[target] = target, to
-        self.top[g] = to
+        order, place, top = self.order, self.place, self.top
+        g = self.group.take(target)
+        to, here = top.take(g), place.take(target)
+        top[to - 1] = to  # the new group's end; of a group of one, this is the group itself
+        to -= 1
+        other = order.take(to)
+        order[here], place[other] = other, here
+        order[to], place[target] = target, to
+        top[g] = np.where(g == to, to + 1, to)
         self.group[target] = to
-        self.top[to] = to + 1
 
     def _move(self, target: np.ndarray) -> None:
         """Targets to the ends of their groups, in order of their pointers; equal numbers make a group."""

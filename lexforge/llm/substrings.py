@@ -41,7 +41,7 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.lyndon import suffix_arrays
 from lexforge.llm.shared import bound_batches, ready_checkpoints, stored
 
-LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 32, 6 << 20
+LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 8, 4 << 20
 
 
 def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
