@@ -135,3 +135,29 @@ def read_coverage(read: DataFrame, wanted: DataFrame, key: str = "path") -> Data
     both = r.withColumn("r", F.lit(1)).join(w.withColumn("w", F.lit(1)), key, "full_outer").agg(F.count("r").alias("read"), F.count("w").alias("wanted"), F.count_if(F.col("r").isNotNull() & F.col("w").isNotNull()).alias("both"))
     share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(0.0)
     return both.withColumn("recall", share(F.col("both"), F.col("wanted"))).withColumn("noise", share(F.col("read") - F.col("both"), F.col("read")))
+
+
+def water_shares(rows: DataFrame, group: str, kind: str, need: str, share: str, total: int) -> DataFrame:
+    """(group, kind, given): a budget over kinds by their shares; a kind that needs less takes its need, and the rest goes to the others.
+
+    Kinds are taken by need over share: once one needs more than its part, so do all after it, and
+    these part what is left.  A group has a handful of kinds.
+    """
+    xs = F.array_sort(F.collect_list(F.struct((F.col(need) / F.col(share)).alias("thirst"), F.col(kind).alias("kind"), F.col(need).cast("double").alias("need"), F.col(share).cast("double").alias("share"))))
+    g = rows.filter(F.col(share) > 0).groupBy(group).agg(xs.alias("xs"), F.sum(F.col(share).cast("double")).alias("weight"))
+    kept = f"array<struct<kind:{rows.schema[kind].dataType.simpleString()},given:double>>"
+    start = F.struct(F.lit(float(total)).alias("left"), F.col("weight").alias("weight"), F.array().cast(kept).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        given = F.least(x["need"], F.when(a["weight"] > 0, a["left"] * x["share"] / a["weight"]).otherwise(0.0))
+        return F.struct((a["left"] - given).alias("left"), (a["weight"] - x["share"]).alias("weight"), F.concat(a["out"], F.array(F.struct(x["kind"].alias("kind"), given.alias("given")))).alias("out"))
+
+    return g.select(group, F.inline(F.aggregate("xs", start, step, lambda a: a["out"]))).select(group, F.col("kind").alias(kind), F.round("given", 6).alias("given"))
+
+
+def duration(seconds: Column) -> Column:
+    """Minutes, or seconds below one: ``6 min``, ``45 s``; hours and minutes from one on."""
+    minutes = F.floor((seconds + 30) / 60)
+    text = lambda c: c.cast("string")
+    long = F.concat(text(F.floor(minutes / 60)), F.lit(" h "), F.lpad(text(minutes % 60), 2, "0"))
+    return F.when(seconds < 60, F.concat(text(seconds), F.lit(" s"))).when(minutes < 60, F.concat(text(minutes), F.lit(" min"))).otherwise(long)

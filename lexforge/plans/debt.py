@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexforge.operators import debt as D
 from lexforge.operators import selection as L
 from lexforge.operators.ranking import DEBT_WEIGHTS
+from lexforge.operators.scoring import LOW
 from lexforge.plans import model
 from lexforge.plans.registry import query
 
@@ -120,3 +121,5 @@ def technical_set_aside(t):
     stay, aside = D.set_aside(t.sql(model.FEATURES), "technical")
     both = stay.withColumn("aside", F.lit(False)).unionByName(aside.withColumn("aside", F.lit(True)))
     return both.groupBy("aside").agg(F.count("*").alias("features"), F.count_distinct("domain").alias("domains"))
+
+query("low_confidence_sections", f"{_WITH} select slug, confidence from use_cases where confidence < 0.5")(lambda t: t.sql(model.USE_CASES).filter(F.col("confidence") < LOW).select("slug", "confidence"))

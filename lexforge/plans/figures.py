@@ -88,3 +88,18 @@ query("estimate_accuracy", f"with e as ({_ESTIMATES}) select pass, count(*) as r
 query("read_coverage", f"{_WITH}, r as (select path from files where pos % 4 < 2), w as (select path from files where pos % 3 > 0), b as (select (select count(*) from r) as \"read\", (select count(*) from w) as wanted, (select count(*) from r join w using (path)) as \"both\") select \"read\", wanted, \"both\", round(\"both\" / wanted, 6) as recall, round((\"read\" - \"both\") / \"read\", 6) as noise from b")(
     lambda t: A.read_coverage(t.sql(model.FILES).filter("pos % 4 < 2"), t.sql(model.FILES).filter("pos % 3 > 0"))
 )
+
+_NEEDS = "select p_brand as owner, p_size as kind, sum(p_partkey % 700) as need, 1 + max(p_partkey) % 4 as share from part where p_size < 9 group by 1, 2"
+
+
+@query("water_shares", f"""with recursive n as ({_NEEDS}), o as (select *, row_number() over (partition by owner order by need / share, kind) as k, sum(share) over (partition by owner) as weight from n),
+w as (select owner, kind, k, least(need, 3000 * share / weight)::double as given, 3000 - least(need, 3000 * share / weight)::double as room, (weight - share)::double as weight from o where k = 1 union all
+  select o.owner, o.kind, o.k, least(o.need, room * o.share / w.weight)::double, room - least(o.need, room * o.share / w.weight)::double, w.weight - o.share from w join o on o.owner = w.owner and o.k = w.k + 1)
+select owner, kind, round(given, 6) as given from w""")
+def water_shares(t):
+    return A.water_shares(t.sql(_NEEDS), "owner", "kind", "need", "share", 3000)
+
+
+query("durations", "with s as (select o_orderkey, o_orderkey % 9000 as n, (o_orderkey % 9000 + 30) // 60 as m from orders) select o_orderkey, case when n < 60 then n || ' s' when m < 60 then m || ' min' else (m // 60) || ' h ' || lpad((m % 60)::varchar, 2, '0') end as took from s")(
+    lambda t: t.orders.select("o_orderkey", A.duration(F.col("o_orderkey") % 9000).alias("took"))
+)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,16 +80,28 @@ def evidence(t):
     return R.greedy_fit(hits, ["query"], [F.desc("score"), F.col("doc")], F.least(F.col("chars"), F.lit(400)) + 3, 1200)
 
 
-_CORPUS = f"""select 'page' as kind, page_id as id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, 1 as kind_order from pages union all select 'doc', doc_id, left(text, 40), 2 from documents union all select 'part', p_partkey, p_name, 3 from part"""
+_STRIPPED = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+_CORPUS = f"""select 'page' as kind, page_id as id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, {_STRIPPED} as text, 1 as kind_order from pages
+union all select 'doc', doc_id, string_split(text, chr(10))[1], text, 2 from documents union all select 'part', p_partkey, p_name, concat_ws(chr(10), p_name, p_type, p_brand), 3 from part
+union all select 'talk', conv_id, role, text, 4 from conversations union all select 'item', item_id, null, text, 5 from benchmark union all select 'nation', n_nationkey, n_name, n_name, 6 from nation"""
 
 
 @query("corpus_union", _CORPUS)
 def corpus(t):
-    return (
-        t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit(1).alias("kind_order"))
-        .unionByName(t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.left("text", F.lit(40)).alias("title"), F.lit(2).alias("kind_order")))
-        .unionByName(t.part.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(3).alias("kind_order")))
-    )
+    """Entries of all kinds with their whole texts."""
+
+    def entries(rows, kind, order, key, title, text):
+        return rows.select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("id"), title.cast("string").alias("title"), text.alias("text"), F.lit(order).alias("kind_order"))
+
+    parts = [
+        entries(t.pages, "page", 1, "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_replace("html", "<[^>]*>", " ")),
+        entries(t.documents, "doc", 2, "doc_id", F.get(F.split("text", "\n"), F.lit(0)), F.col("text")),
+        entries(t.part, "part", 3, "p_partkey", F.col("p_name"), F.concat_ws("\n", "p_name", "p_type", "p_brand")),
+        entries(t.conversations, "talk", 4, "conv_id", F.col("role"), F.col("text")),
+        entries(t.benchmark, "item", 5, "item_id", F.lit(None), F.col("text")),
+        entries(t.nation, "nation", 6, "n_nationkey", F.col("n_name"), F.col("n_name")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("placement_shortlist", f"with {S.scored(_DOCS, _BENCH)}, r as ({S.ranked('s', 'true', 5)}) select query, max_by(doc, rank * -1) as best, count(*) as listed from r group by query")

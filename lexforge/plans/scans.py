@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.operators.stores import union_in_order
 from lexforge.plans import model
 from lexforge.plans.registry import query
 from lexforge.sources import catalogs as C
@@ -128,3 +129,31 @@ _SPANS = "select l_orderkey, l_linenumber, case when l_partkey % 3 = 0 then null
 query("line_spans", f"with s as ({_SPANS}) select l_orderkey, l_linenumber, least(a, coalesce(z, a)) as first, greatest(a, coalesce(z, a)) as last from s where a is not null")(
     lambda t: t.sql(_SPANS).select("l_orderkey", "l_linenumber", T.line_span(F.col("a"), F.col("z")).alias("x")).filter("x is not null").select("l_orderkey", "l_linenumber", F.col("x.start_line").alias("first"), F.col("x.end_line").alias("last"))
 )
+
+# ---- the union of signals: nine sources, in their order
+
+_BRANCHES = {
+    "docs": "select cast(doc_id as string) as origin, text from documents",
+    "conversations": "select concat(cast(conv_id as string), '#', cast(turn as string)) as origin, text from conversations",
+    "pages": "select url as origin, html as text from pages",
+    "benchmark": "select cast(item_id as string) as origin, text from benchmark",
+    "parts": "select p_brand as origin, p_name as text from part",
+    "types": "select distinct p_brand as origin, p_type as text from part",
+    "customers": "select cast(c_custkey as string) as origin, c_name as text from customer",
+    "suppliers": "select cast(s_suppkey as string) as origin, s_name as text from supplier",
+    "nations": "select cast(n_regionkey as string) as origin, n_name as text from nation",
+}
+query("signal_union", " union all ".join(f"select origin, md5(text) as digest, '{k}' as branch, {n} as branch_order from ({q}) x" for n, (k, q) in enumerate(_BRANCHES.items())))(
+    lambda t: union_in_order({k: t.sql(q) for k, q in _BRANCHES.items()}).select("origin", F.md5("text").alias("digest"), "branch", "branch_order")
+)
+_ROUTES = "select p_partkey as pos, concat('/', p_brand, '/', case when p_partkey % 2 = 0 then ':id' else '<key>' end, case when p_partkey % 3 = 0 then '/open' else '' end) as a, concat('/', p_brand, '/{x}', case when p_partkey % 4 = 0 then '/open' when p_partkey % 4 = 1 then '/open/now' else '' end) as b from part"
+query("route_cover", f"with r as ({_ROUTES}) select pos, case when pos % 3 = 0 then pos % 4 < 2 else true end as covers from r")(
+    lambda t: t.part.select(F.col("p_partkey").alias("pos"), *_routes()).select("pos", T.route_covers(T.route_segments(F.col("a")), T.route_segments(F.col("b"))).alias("covers"))
+)
+
+
+def _routes():
+    k = F.col("p_partkey")
+    a = F.concat(F.lit("/"), "p_brand", F.lit("/"), F.when(k % 2 == 0, ":id").otherwise("<key>"), F.when(k % 3 == 0, "/open").otherwise(""))
+    b = F.concat(F.lit("/"), "p_brand", F.lit("/{x}"), F.when(k % 4 == 0, "/open").when(k % 4 == 1, "/open/now").otherwise(""))
+    return a.alias("a"), b.alias("b")
