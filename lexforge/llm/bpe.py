@@ -36,7 +36,7 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.shared import bound_batches, text_bytes
 
 #: Text of one batch (what one task holds while it reassembles documents), and text whose words make a bucket.
-BATCH_BYTES, BUCKET_BYTES = 5 << 20, 64 << 20
+BATCH_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
 #: The most tokens of a vocabulary whose bytes may be broadcast.
 MOST_TOKENS = 1_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -288,16 +288,15 @@ def _merged(ranks_path: str):
             rows = []
             for name, bucket, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes, data = _unpack(pack)
-                at, ids, counts = 0, [], []
+                at, ids = 0, []
                 for s in np.frombuffer(sizes, "<u4").tolist():
                     w = bytes(data[at : at + s])
                     at += s
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = tuple(merge(w.decode()))
-                    ids += got
-                    counts.append(len(got))
-                rows.append((name, bucket, _pack(np.array(counts, "<u4"), np.array(ids, "<u4"))))
+                        got = known[w] = np.array(merge(w.decode()), "<u4").tobytes()
+                    ids.append(got)
+                rows.append((name, bucket, _pack(np.array(list(map(len, ids)), "<u4") // 4, b"".join(ids))))
             yield _packs(rows)
 
     return run
