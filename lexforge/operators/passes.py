@@ -34,12 +34,18 @@ def resolve_context(files: DataFrame, listed: DataFrame, folders: DataFrame, pat
 
 
 def routes_declared_elsewhere(routes: DataFrame, file: str = "file", segments: str = "segments", least_share: float = 0.5, least_files: int = 3) -> DataFrame:
-    """Routes without those of routing files: files most of whose routes other files declare too, by at least so many files."""
+    """Routes without those of routing files: files most of whose routes other files declare too, by at least so many files.
+
+    A route that more than ``least_files`` files declare gives each of them enough others, so only
+    routes of fewer files meet themselves: a hot route is counted, never paired.
+    """
     r = routes.select(F.col(file).alias("f"), F.array_join(segments, "/").alias("p")).distinct()
-    other = r.join(r.select(F.col("f").alias("g"), "p"), "p").filter("f <> g")
-    per = r.groupBy("f").agg(F.count("*").alias("n")).join(other.groupBy("f").agg(F.count_distinct("p").alias("covered"), F.count_distinct("g").alias("files")), "f")
-    routing = per.filter((F.col("covered") >= least_share * F.col("n")) & (F.col("files") >= least_files)).select("f")
-    drop = other.join(routing, "f", "left_semi").select(F.col("f").alias(file), "p").distinct()
+    known = r.join(r.groupBy("p").agg(F.count("*").alias("k")), "p")
+    few = known.filter((F.col("k") > 1) & (F.col("k") <= least_files)).select("f", "p")
+    others = few.join(few.select(F.col("f").alias("g"), "p"), "p").filter("f <> g").groupBy("f").agg(F.count_distinct("g").alias("files"))
+    per = known.groupBy("f").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 1).alias("covered"), F.max(F.col("k") > least_files).alias("enough")).join(others, "f", "left")
+    routing = per.filter((F.col("covered") > 0) & (F.col("covered") >= least_share * F.col("n")) & (F.col("enough") | (F.col("files") >= least_files))).select("f")
+    drop = known.filter("k > 1").join(routing, "f", "left_semi").select(F.col("f").alias(file), "p")
     return routes.withColumn("p", F.array_join(segments, "/")).join(drop, [file, "p"], "left_anti").drop("p")
 
 

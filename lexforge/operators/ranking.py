@@ -118,10 +118,10 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def saved_order(rows: DataFrame, key: str, pos: str, old_pos: str) -> DataFrame:
-    """Rows known before keep their former order in the places they hold; ``old_pos`` is null for new rows."""
-    known = F.col(old_pos).isNotNull()
-    slots = rows.filter(known).select(F.row_number().over(Window.orderBy(pos)).alias("__k"), F.col(pos).alias("__slot"))
-    olds = rows.filter(known).select(key, F.row_number().over(Window.orderBy(old_pos, pos)).alias("__k"))
+    """Rows known before keep their former order in the places they hold; ``old_pos`` is null for new rows.  Both orders are ranked by ranges, so no task sees all rows."""
+    held = rows.filter(F.col(old_pos).isNotNull()).select(key, pos, old_pos)
+    slots = global_rank(held.select(F.col(pos).alias("__slot")), [F.col("__slot")], "__k")
+    olds = global_rank(held, [F.col(old_pos), F.col(pos)], "__k").select(key, "__k")
     moved = olds.join(slots, "__k").select(key, "__slot")
     return rows.join(moved, key, "left").withColumn("place", F.coalesce("__slot", pos)).drop("__slot")
 

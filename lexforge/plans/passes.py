@@ -19,9 +19,18 @@ query("route_owner", "with w as (select p_partkey as id, list_reverse(string_spl
 query("context_of_files", "with f as (select distinct regexp_replace(url, '^https?://', '') as path from pages), u as (select path, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) as folder from f), d as (select distinct array_to_string(string_split(path, '/')[1:2], '/') as folder, string_split(path, '/')[2] as context from f), n as (select path, max_by(context, length(folder)) as c from u join d using (folder) group by 1) select path, case when length(path) % 7 = 0 then 'listed' else coalesce(c, 'support') end as context from f left join n using (path)")(
     lambda t: (lambda f: P.resolve_context(f, f.filter(F.length("path") % 7 == 0).select("path", F.lit("listed").alias("context")), f.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("folder"), F.get(F.split("path", "/"), F.lit(1)).alias("context")).distinct()))(t.pages.select(F.regexp_replace("url", "^https?://", "").alias("path")).distinct())
 )
-query("routes_declared_elsewhere", "with r as (select distinct l_suppkey as f, l_partkey as p from lineitem), o as (select r.f, g.f as g, r.p from r join r g on g.p = r.p and g.f <> r.f), per as (select f, count(*) as n from r group by 1), c as (select f, count(distinct p) as covered, count(distinct g) as files from o group by 1), x as (select f from per join c using (f) where covered >= 0.5 * n and files >= 3), d as (select distinct f, p from o where f in (select f from x)) select f as file, p::varchar as route from r anti join d on r.f = d.f and r.p = d.p")(
-    lambda t: P.routes_declared_elsewhere(t.lineitem.select(F.col("l_suppkey").alias("file"), F.array(F.col("l_partkey").cast("string")).alias("segments")).distinct()).select("file", F.get("segments", F.lit(0)).alias("route"))
-)
+# A third of the files declare nothing but routes of others.
+_ROUTES = "select distinct l_suppkey as file, case when l_suppkey % 3 = 0 or l_linenumber = 1 then cast(l_partkey as string) else concat(cast(l_partkey as string), '-', cast(l_suppkey as string)) end as route from lineitem"
+
+
+@query("routes_declared_elsewhere", f"""with r as ({_ROUTES}), o as (select r.file, g.file as g, r.route from r join r g on g.route = r.route and g.file <> r.file), per as (select file, count(*) as n from r group by 1),
+c as (select file, count(distinct route) as covered, count(distinct g) as files from o group by 1), x as (select file from per join c using (file) where covered >= 0.5 * n and files >= 3)
+select file, route from r where not exists (select 1 from o where o.file = r.file and o.route = r.route and o.file in (select file from x))""")
+def routes_declared_elsewhere(t):
+    routes = t.sql(_ROUTES).withColumn("segments", F.array("route"))
+    return P.routes_declared_elsewhere(routes).select("file", "route")
+
+
 query("grounded_steps", "with s as (select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 5 = 0 then ' ' else 'do ' || l_linenumber end as action from lineitem), k as (select * from s where trim(action) <> '') select l_orderkey, l_linenumber, action, count(*) filter (where p_partkey is not null) as refs, cast(row_number() over (partition by l_orderkey order by l_linenumber) as int) as n from k left join (select p_partkey from part where p_size < 25) on p_partkey = l_partkey group by l_orderkey, l_linenumber, action")(
     lambda t: P.grounded_steps(t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 5 == 0, " ").otherwise(F.concat(F.lit("do "), F.col("l_linenumber").cast("string"))).alias("action"), F.array(F.struct(F.col("l_partkey").alias("path"))).alias("refs")), t.part.filter("p_size < 25").select(F.col("p_partkey").alias("path")), "l_orderkey", "l_linenumber")
 )
