@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexforge.llm.shared import partitions
+
 BUCKET_BYTES, BUCKET_ROWS = 64 << 20, 1 << 20
 
 
@@ -81,7 +83,8 @@ def two_pass(rows: DataFrame, keys: list[str], size_col: str, shards: int, seed:
         return held.append_column(shard_col, pa.array((place % shards).astype(np.int32))).append_column(slot_col, pa.array(place // shards))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return scattered.groupBy("__bucket").cogroup(starts.groupBy("__b")).applyInArrow(run, f"{columns}, `{shard_col}` int, `{slot_col}` bigint")
+    # About a bucket a task, whatever the session's setting.
+    return scattered.repartition(max(partitions(rows.sparkSession), buckets), "__bucket").groupBy("__bucket").cogroup(starts.groupBy("__b")).applyInArrow(run, f"{columns}, `{shard_col}` int, `{slot_col}` bigint")
 
 
 def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard", slot_col: str = "slot") -> None:
