@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import bound_batches, text_bytes
+from lexforge.llm.shared import bound_batches, partitions, text_bytes
 
 #: Text of one batch (what one task holds while it reassembles documents), and text whose words make a bucket.
 BATCH_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
+#: Text whose batches one task puts together, one after another.
+TASK_BYTES = 64 << 20
 #: The most tokens of a vocabulary whose bytes may be broadcast.
 MOST_TOKENS = 1_000_000
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -337,12 +339,15 @@ def _assembled(names: list[str], buckets: int):
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``carry`` columns plus the ids of each whole text, as little-endian unsigned 32-bit integers."""
     bound_batches(docs.sparkSession)
-    buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
+    size = text_bytes(docs, text_col)
+    buckets = max(1, -(-size // bucket_bytes))
+    # Tasks follow the input in number, whatever the session's setting.
+    tasks = max(partitions(docs.sparkSession), -(-size // TASK_BYTES))
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    exploded = rows.mapInArrow(_exploded(batch_bytes, len(names)), "batch bigint, docs binary, words binary")
+    exploded = rows.mapInArrow(_exploded(batch_bytes, len(names)), "batch bigint, docs binary, words binary").repartition(tasks, "batch")
     asked = exploded.groupBy("batch").applyInArrow(_asked(buckets), _PACK_DDL)
-    answers = asked.groupBy("bucket").applyInArrow(_merged(ranks_path), _PACK_DDL).withColumnRenamed("batch", "part")
+    answers = asked.repartition(max(tasks, buckets), "bucket").groupBy("bucket").applyInArrow(_merged(ranks_path), _PACK_DDL).withColumnRenamed("batch", "part")
     kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
     whole = exploded.groupBy("batch").cogroup(answers.groupBy("part")).applyInArrow(_assembled(names, buckets), f"{kinds}`ids` binary")
     return whole.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("ids").alias(ids_col))
