@@ -74,7 +74,10 @@ def title_search(t):
     return R.search(R.build(pages, "page_id", "text"), _bench(t), "item_id", "text", "relevant", 5)
 
 
-@query("evidence_fit")
+@query("evidence_fit", f"""with recursive {S.scored(_DOCS, _BENCH)}, r as (select query, doc, least(length(text), 400) + 3 as cost, row_number() over (partition by query order by round(score, 6) desc, doc) as k from s join documents on doc = doc_id),
+f as (select query, 0::bigint as k, 0::bigint as used, []::bigint[] as docs from (select distinct query from r) union all
+  select f.query, r.k, case when used + cost <= 1200 then used + cost else used end, case when used + cost <= 1200 then list_append(docs, r.doc) else docs end from f join r on r.query = f.query and r.k = f.k + 1)
+select query, max(used) as used, max_by(docs, k) as docs from f group by query""")
 def evidence(t):
     hits = R.hits_of_any(_index(t), _bench(t), "item_id", "text").join(t.documents.select(F.col("doc_id").alias("doc"), F.length("text").alias("chars")), "doc")
     return R.greedy_fit(hits, ["query"], [F.desc("score"), F.col("doc")], F.least(F.col("chars"), F.lit(400)) + 3, 1200)
