@@ -56,7 +56,7 @@ def text_files(spark: SparkSession, root: str) -> DataFrame:
 
 def active_record_tables(docs: DataFrame, key: str, content: str) -> DataFrame:
     """(key, table_no, name, columns) of ``create_table`` blocks, a column a line; indexes and constraints aren't columns."""
-    block = r"(?m)^\s*create_table\s+[\"':][^\n]*(?:\n(?!\s*end\s*$).*)*"
+    block = r"(?m)^\s*create_table\s+[\"':][^\n]*(?:\n(?!\s*end\s*$).*)*+"  # possessive: a loop, where the greedy form recurses once a line
     t = docs.select(key, F.posexplode(F.regexp_extract_all(content, F.lit(block), F.lit(0))).alias("table_no", "b"))
     lines = F.filter(F.split("b", "\n"), lambda x: x.rlike(r"^\s*t\.[a-z_]+\s"))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*t\.([a-z_]+)", 1).alias("kind"), F.regexp_extract(x, r"^\s*t\.[a-z_]+\s+[\"':]([A-Za-z0-9_]+)", 1).alias("column")))
