@@ -126,7 +126,7 @@ def sql_tables(docs: DataFrame, id_col: str, content: str) -> DataFrame:
 
     Each table's lines are cut out by one pattern, so no state runs over lines.
     """
-    block = r"(?im)^\s*create (?:unlogged )?table (?:if not exists )?[^\s(]+[^\n]*(?:\n(?!\s*\)).*)*"
+    block = r"(?im)^\s*create (?:unlogged )?table (?:if not exists )?[^\s(]+[^\n]*(?:\n(?!\s*\)).*)*+"  # possessive: a loop, where the greedy form recurses once a line
     t = docs.select(F.col(id_col), F.posexplode(F.regexp_extract_all(content, F.lit(block), F.lit(0))).alias("table_no", "b"))
     name = F.regexp_replace(F.regexp_extract("b", r"(?i)table (?:if not exists )?([^\s(]+)", 1), r'["`\[\]]', "")
     words = F.transform(F.filter(F.slice(F.split("b", "\n"), F.lit(2), F.size(F.split("b", "\n"))), lambda x: F.trim(x) != ""), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexforge.sources import catalogs
+from lexforge.sources import catalogs, files
 
 
 def test_schema_blocks_of_many_lines(spark):
@@ -10,3 +10,10 @@ def test_schema_blocks_of_many_lines(spark):
     text = 'ActiveRecord::Schema.define do\n  create_table "big" do |t|\n' + "".join(f'    t.string "{n}"\n' for n in names) + '  end\n  create_table "next" do |t|\n    t.string "x"\n  end\nend\n'
     got = catalogs.active_record_tables(spark.createDataFrame([(1, text)], "id int, content string"), "id", "content").collect()
     assert [(r["table_no"], r["name"], r["columns"]) for r in got] == [(0, "big", names), (1, "next", ["x"])]
+
+
+def test_sql_tables_of_many_lines(spark):
+    names = [f"c{i}" for i in range(40_000)]
+    text = 'CREATE TABLE "app".big (\n' + "".join(f"  `{n}` int,\n" for n in names) + "  PRIMARY KEY (id)\n);\nCREATE TABLE next (\n  x int\n);\n"
+    got = files.sql_tables(spark.createDataFrame([(1, text)], "id int, content string"), "id", "content").collect()
+    assert [(r["table_no"], r["name"], r["columns"]) for r in got] == [(0, "app.big", names), (1, "next", ["x"])]
