@@ -41,11 +41,13 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.lyndon import suffix_arrays
 from lexforge.llm.shared import bound_batches, ready_checkpoints, stored
 
-LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 8, 4 << 20
+LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 64, 4 << 20
+#: Pieces of a block that make one string.
+SORTED = 8
 
 
-def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, document, first window, windows, whether its own windows may be equal) of all stretches of a chunk; windows count from the chunk's first byte."""
+def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM, ask_own: bool = False) -> tuple[np.ndarray, ...]:
+    """(anchor hash, document, first window, windows, whether its own windows may be equal, false unless asked) of all stretches of a chunk; windows count from the chunk's first byte."""
     n, width = len(c.buf), length - gram + 1
     m = n - length + 1
     size = np.diff(c.offs)
@@ -77,6 +79,8 @@ def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         stop = np.minimum(stop, first + width)
     # Where a stretch has its anchor's string twice, windows of its own may be equal.
     value = low[first]
+    if not ask_own:
+        return value, doc, first, stop - first, np.zeros(len(first), bool)
     seen = np.zeros(1 << 20, bool)
     seen[value >> np.uint64(44)] = True
     at = np.flatnonzero(seen[every >> np.uint64(44)])
@@ -88,10 +92,10 @@ def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
     return value, doc, first, stop - first, own
 
 
-def _columns(batch: pa.RecordBatch, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _columns(batch: pa.RecordBatch, length: int, gram: int, ask_own: bool = False) -> tuple[np.ndarray, ...]:
     parts = []
     for c in bv.chunks(batch.column(2)):
-        a, doc, first, windows, own = stretches(c, length, gram)
+        a, doc, first, windows, own = stretches(c, length, gram, ask_own)
         parts.append((a.view(np.int64), c.lo + doc, first - c.offs[doc], windows, own))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
 
@@ -101,7 +105,7 @@ def _counted(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, _, _, _, own = _columns(batch, length, gram)
+            a, _, _, _, own = _columns(batch, length, gram, True)
             keys, at, n = np.unique(a, return_inverse=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.bincount(at[own], minlength=len(keys)) > 0)], names=["anchor", "n", "own"])
 
@@ -177,17 +181,57 @@ def repeated_windows(text: np.ndarray, cuts: np.ndarray, strings: np.ndarray, st
     order = order[order >= 0]
     string = np.searchsorted(cuts[ends], order, "right")
     same = np.zeros(len(order), bool)
-    at = np.flatnonzero(string[1:] == string[:-1])
-    lanes = bv.Hasher(text).lanes
-    for t in [*range(0, length - 7, 8), length - 8]:
-        at = at[lanes[order[at] + t] == lanes[order[at + 1] + t]]
-    same[at + 1] = True
+    wide = np.ndarray(max(0, len(text) - length + 1), f"V{length}", text.data, 0, (1,))
+    for lo in range(0, len(order) - 1, 1 << 13):  # pieces that stay in the cache
+        w = wide[order[lo : lo + (1 << 13) + 1]]
+        same[lo + 1 : lo + len(w)] = w[1:] == w[:-1]
+    same[1:] &= string[1:] == string[:-1]
     return order, same
 
 
+def copies(group: np.ndarray, text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the first of its group that has its bytes (itself, where it is that), and how many copies come before it.
+
+    Pieces with one hash are compared by their bytes; one that differs from the first counts as its own.
+    """
+    size, n = np.diff(cuts), len(group)
+    value = bv.Hasher(text)
+    lanes, value = value.lanes, value.of(cuts[:-1], cuts[1:])
+    sort = np.lexsort((value, size, group))
+    fresh = np.ones(n, bool)
+    fresh[1:] = (value[sort[1:]] != value[sort[:-1]]) | (size[sort[1:]] != size[sort[:-1]]) | (group[sort[1:]] != group[sort[:-1]])
+    head = np.flatnonzero(fresh)
+    count = np.diff(np.append(head, n))
+    at = np.flatnonzero(~fresh)
+    mine, other = sort[at], np.repeat(sort[head], count)[at]
+    alike, a, b, left = np.ones(len(at), bool), cuts[mine], cuts[other], size[mine]
+    for t in range(0, int(left.max(initial=0)), 8):
+        open_ = np.flatnonzero(left > t)
+        alike[open_] &= ((lanes[a[open_] + t] ^ lanes[b[open_] + t]) & bv.MASKS[np.minimum(left[open_] - t, 8)]) == 0
+    first, nth = np.arange(n), np.zeros(n, np.int64)
+    first[mine[alike]] = other[alike]
+    same = ~fresh
+    same[at] = alike
+    before = np.cumsum(same)
+    nth[sort] = np.where(same, before - np.repeat(before[head], count), 0)
+    return first, nth
+
+
 _TOLD = "anchor bigint, k bigint, mark int, first int, windows int, known boolean, bytes binary"
 
 
+def _strings(group: np.ndarray, same_as: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces in order of group and first copy -> where strings of about ``SORTED`` pieces begin, and their pieces; two copies stay together."""
+    n = len(group)
+    of_group = np.concatenate([[True], group[1:] != group[:-1]])
+    begin = np.flatnonzero(of_group)
+    inside = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+    twin = np.concatenate([[False], same_as[1:] == same_as[:-1]])
+    part = (inside - twin) // SORTED
+    head = np.flatnonzero(of_group | np.concatenate([[True], part[1:] != part[:-1]]))
+    return head, np.diff(np.append(head, n))
+
+
 def _resolved(length: int, gram: int, run_bytes: int):
     """Pieces, a block's together -> runs of windows found repeated (bytes null); of blocks that aren't alone also one of each different window, under the next anchors."""
 
@@ -195,18 +239,32 @@ def _resolved(length: int, gram: int, run_bytes: int):
         raw, offs = bv.buffers(rows.column("bytes"))
         text, cuts = raw[offs[0] : offs[-1]], offs - offs[0]
         key = np.stack([rows.column("anchor").to_numpy(), rows.column("block").to_numpy()], 1)
-        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-        strings = np.diff(np.append(head, len(key)))
+        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(1)]))
         windows, first = (rows.column(x).to_numpy().astype(np.int64) for x in ("windows", "first"))
-        known = rows.column("known").to_numpy(zero_copy_only=False).astype(bool)
+        known, several = (rows.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("known", "several"))
+        k, mark = rows.column("k").to_numpy(), rows.column("mark").to_numpy()
+        # Two of each different piece are sorted, side by side; the order's word on the first holds for further copies.
+        same_as, nth = copies(group, text, cuts)
+        chosen = np.flatnonzero(nth < 2)
+        chosen = chosen[np.lexsort((chosen, same_as[chosen], group[chosen]))]
+        head, strings = _strings(group[chosen], same_as[chosen])
+        several |= (np.bincount(group[chosen][head]) > 1)[group]
+        every, all_cuts, all_windows, all_known = (k, mark, first), cuts, windows, known
+        sizes = np.diff(cuts)[chosen]
+        text, cuts = text[bv.ragged(cuts[:-1][chosen], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        k, mark, first, windows, known, several = (x[chosen] for x in (k, mark, first, windows, known, several))
         starts = bv.ragged(cuts[:-1], windows)
         order, same = repeated_windows(text, cuts, strings, starts, length)
         begin = np.flatnonzero(~same)
         count = np.diff(np.append(begin, len(order)))
         owner = np.searchsorted(cuts, order, "right") - 1
-        found = np.sort(order[(np.repeat(count, count) > 1) & ~known[owner]])
+        hit = np.zeros(len(text), bool)
+        hit[order[np.repeat(count, count) > 1]] = True
+        place = np.zeros(len(group), np.int64)
+        place[chosen] = cuts[:-1]
+        found = bv.ragged(all_cuts[:-1], all_windows)[hit[bv.ragged(place[same_as], all_windows)] & ~np.repeat(all_known, all_windows)]
 
-        def runs(at: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def runs(at: np.ndarray, flag: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Places in order -> owners, places and lengths of runs of neighbours in a piece that are alike in ``flag``."""
             own = np.searchsorted(cuts, at, "right") - 1
             fresh = np.ones(len(at), bool)
@@ -214,14 +272,12 @@ def _resolved(length: int, gram: int, run_bytes: int):
             i = np.flatnonzero(fresh)
             return own[i], at[i], np.diff(np.append(i, len(at)))
 
-        k, mark = rows.column("k").to_numpy(), rows.column("mark").to_numpy()
-
-        def told(anchor, own, place, n, flag, data) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(k[own]), pa.array(mark[own]), pa.array((first[own] + place - cuts[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(flag, pa.bool_()), data], names=[x.split()[0] for x in _TOLD.split(", ")])
+        def told(anchor, pieces, own, place, n, flag, data) -> pa.RecordBatch:
+            k, mark, first = pieces
+            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(k[own]), pa.array(mark[own]), pa.array((first[own] + place).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(flag, pa.bool_()), data], names=[x.split()[0] for x in _TOLD.split(", ")])
 
-        own, place, n = runs(found, np.zeros(len(found), bool))
-        yield told(np.zeros(len(own), np.int64), own, place, n, np.ones(len(own), bool), pa.nulls(len(own), pa.binary()))
-        several = rows.column("several").to_numpy(zero_copy_only=False).astype(bool)
+        own, place, n = runs(found, np.zeros(len(found), bool), all_cuts)
+        yield told(np.zeros(len(own), np.int64), every, own, place - all_cuts[own], n, np.ones(len(own), bool), pa.nulls(len(own), pa.binary()))
         if not several.any() or not len(order):
             return
         least = np.minimum.reduceat(order, begin)
@@ -229,14 +285,14 @@ def _resolved(length: int, gram: int, run_bytes: int):
         sort = np.argsort(least)
         least, whether = least[sort], whether[sort]
         left = several[np.searchsorted(cuts, least, "right") - 1]
-        own, place, n = runs(least[left], whether[left])
+        own, place, n = runs(least[left], whether[left], cuts)
         flag = whether[left][np.searchsorted(least[left], place)]
         size = n + length - 1
         pieces = bv.Chunk(0, len(own), text[bv.ragged(place, size)], np.concatenate([[0], np.cumsum(size)]))
         anchor, doc, at, n, _ = stretches(pieces, length, gram)
         data = pieces.buf[bv.ragged(at, n + length - 1)]
         held = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n + length - 1)])), pa.py_buffer(data)]).cast(pa.binary())
-        yield told(anchor.view(np.int64), own[doc], place[doc] + at - pieces.offs[doc], n, flag[doc], held)
+        yield told(anchor.view(np.int64), (k, mark, first), own[doc], place[doc] - cuts[own[doc]] + at - pieces.offs[doc], n, flag[doc], held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
