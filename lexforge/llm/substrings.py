@@ -10,9 +10,11 @@ The stretches of an anchor are joined into one string, its suffixes are sorted
 (``lyndon.suffix_arrays``), and a window is repeated where its suffix agrees with a neighbour's in
 the order for LENGTH bytes.  That decides every window.
 
-An anchor may be named by a third of all texts, so no more than about ``BLOCK`` stretches are
-sorted together.  Where an anchor has several blocks, each of these tells the windows that it finds
-repeated and passes on one of each of its different windows; these meet again, under anchors of the
+An anchor may be named by a third of all texts, so its stretches are dealt to blocks of about
+``BLOCK``.  Of a block's stretches that agree in every byte two are sorted; what the order says of
+the first holds for further copies.  About ``SORTED`` of them make a string.  Where an anchor has
+several strings, each of these tells the windows that it finds repeated and passes on one of each
+of its different windows; these meet again, under anchors of the
 next longer size in ``LADDER`` so that different surroundings part.  Copies shrink by the size of a
 block in each round, and the last size is the window itself, so the rounds come to an end.
 
