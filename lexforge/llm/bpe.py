@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import bound_batches, partitions, text_bytes
+from lexforge.llm.shared import bound_batches, gives_back, partitions, text_bytes
 
 #: Text of one batch (what one task holds while it reassembles documents), and text whose words make a bucket.
 BATCH_BYTES, BUCKET_BYTES = 3 << 20, 24 << 20
@@ -345,11 +345,11 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", carry: tupl
     tasks = max(partitions(docs.sparkSession), -(-size // TASK_BYTES))
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    exploded = rows.mapInArrow(_exploded(batch_bytes, len(names)), "batch bigint, docs binary, words binary").repartition(tasks, "batch")
-    asked = exploded.groupBy("batch").applyInArrow(_asked(buckets), _PACK_DDL)
-    answers = asked.repartition(max(tasks, buckets), "bucket").groupBy("bucket").applyInArrow(_merged(ranks_path), _PACK_DDL).withColumnRenamed("batch", "part")
+    exploded = rows.mapInArrow(gives_back(_exploded(batch_bytes, len(names))), "batch bigint, docs binary, words binary").repartition(tasks, "batch")
+    asked = exploded.groupBy("batch").applyInArrow(gives_back(_asked(buckets)), _PACK_DDL)
+    answers = asked.repartition(max(tasks, buckets), "bucket").groupBy("bucket").applyInArrow(gives_back(_merged(ranks_path)), _PACK_DDL).withColumnRenamed("batch", "part")
     kinds = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
-    whole = exploded.groupBy("batch").cogroup(answers.groupBy("part")).applyInArrow(_assembled(names, buckets), f"{kinds}`ids` binary")
+    whole = exploded.groupBy("batch").cogroup(answers.groupBy("part")).applyInArrow(gives_back(_assembled(names, buckets)), f"{kinds}`ids` binary")
     return whole.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], F.col("ids").alias(ids_col))
 
 
@@ -391,5 +391,5 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
                 lo = hi
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
-    out = rows.mapInArrow(run, f"{kinds}out binary")
+    out = rows.mapInArrow(gives_back(run), f"{kinds}out binary")
     return out.select(*[F.col(n).alias(c) for c, n in zip(encoded.columns, names, strict=True)], F.when(F.col(names[at]).isNotNull(), F.col("out")).alias(out_col))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import bytesview as bv
-from lexforge.llm.shared import bound_batches
+from lexforge.llm.shared import bound_batches, gives_back
 
 EDITS, SEGMENT, WALKS, ITEM_BYTES = 0.2, 28, 4, 8 << 20
 #: Least words of the segments that share tables, the number of these, and the places that each samples.  Below five words no edit is allowed, and one place finds them.
@@ -358,7 +358,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
         return run
 
-    found = [rows.mapInArrow(finder(b), ddl) for b in _blocks(items, item_col, item_text, item_bytes, share)]
+    found = [rows.mapInArrow(gives_back(finder(b)), ddl) for b in _blocks(items, item_col, item_text, item_bytes, share)]
     out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], ddl)
     if len(found) > 1:  # an item's rows may lie in several blocks
         out = out.groupBy("d", "item").agg(F.min("edits").alias("edits"), F.min("item_words").alias("item_words"))
@@ -385,5 +385,5 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text:
 
     out = docs.toDF(*names)
     for block in _blocks(items, id_col, item_text, item_bytes, share):
-        out = out.mapInArrow(keeper(block), ddl)
+        out = out.mapInArrow(gives_back(keeper(block)), ddl)
     return out.toDF(*docs.columns)
