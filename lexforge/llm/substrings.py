@@ -8,7 +8,9 @@ names (or of one that may repeat itself).
 
 The stretches of an anchor are joined into one string, its suffixes are sorted
 (``lyndon.suffix_arrays``), and a window is repeated where its suffix agrees with a neighbour's in
-the order for LENGTH bytes.  That decides every window.
+the order for LENGTH bytes.  That decides every window.  A stretch that agrees with no other one
+around the anchor for as long as an equal window needs has no such neighbour and isn't sorted
+(``may_repeat``).
 
 An anchor may be named by a third of all texts, so its stretches are dealt to blocks of about
 ``BLOCK``.  Of a block's stretches that agree in every byte two are sorted; what the order says of
@@ -46,6 +48,8 @@ from lexforge.llm.shared import bound_batches, ready_checkpoints, stored
 LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 64, 4 << 20
 #: Pieces of a block that make one string.
 SORTED = 8
+#: Ranges of an anchor's place in its window, by which pieces are told apart before they are sorted.
+RANGES = 4
 
 
 def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM, ask_own: bool = False) -> tuple[np.ndarray, ...]:
@@ -219,6 +223,30 @@ def copies(group: np.ndarray, text: np.ndarray, cuts: np.ndarray) -> tuple[np.nd
     return first, nth
 
 
+def may_repeat(anchor: np.ndarray, group: np.ndarray, text: np.ndarray, cuts: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Pieces of which a window may equal another one of its group; no window of the others does.
+
+    Equal windows hold their anchor's string at the same place x.  If x lies between s and t, they
+    agree from s before that string to ``length`` - t behind its start, for every range s..t of
+    ``RANGES``.  So a piece that holds the string once, and has none of these agreements by hash
+    with another place of it, has no equal window; hashes that meet by chance do no more than keep a piece.
+    """
+    every = bv.Hasher(text).every(gram)
+    piece = np.repeat(np.arange(len(group)), np.diff(cuts))
+    at = np.flatnonzero(every == anchor.view(np.uint64)[piece[: len(every)]])
+    at = at[at + gram <= cuts[piece[at] + 1]]
+    own = piece[at]
+    maybe = np.bincount(own, minlength=len(group)) != 1
+    hasher, bounds = bv.Hasher(text), np.linspace(0, length - gram, RANGES + 1).astype(np.int64).tolist()
+    for s, t in zip(bounds[:-1], bounds[1:], strict=True):
+        inside = np.flatnonzero((at - s >= cuts[own]) & (at + length - t <= cuts[own + 1]))
+        start = at[inside] - s
+        key = bv.mix(hasher.of(start, start + s + length - t) ^ bv.mix(group[own[inside]].astype(np.uint64)))
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        maybe[own[inside[count[which] > 1]]] = True
+    return maybe
+
+
 _TOLD = "anchor bigint, k bigint, mark int, first int, windows int, known boolean, bytes binary"
 
 
@@ -234,8 +262,8 @@ def _strings(group: np.ndarray, same_as: np.ndarray) -> tuple[np.ndarray, np.nda
     return head, np.diff(np.append(head, n))
 
 
-def _resolved(length: int, gram: int, run_bytes: int):
-    """Pieces, a block's together -> runs of windows found repeated (bytes null); of blocks that aren't alone also one of each different window, under the next anchors."""
+def _resolved(length: int, gram: int, run_bytes: int, held_gram: int = GRAM):
+    """Pieces under anchors of ``held_gram`` bytes, a block's together -> runs of windows found repeated (bytes null); of blocks that aren't alone also one of each different window, under the next anchors."""
 
     def resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         raw, offs = bv.buffers(rows.column("bytes"))
@@ -248,15 +276,22 @@ def _resolved(length: int, gram: int, run_bytes: int):
         # Two of each different piece are sorted, side by side; the order's word on the first holds for further copies.
         same_as, nth = copies(group, text, cuts)
         chosen = np.flatnonzero(nth < 2)
+        sizes = np.diff(cuts)[chosen]
+        maybe = may_repeat(key[chosen, 0], group[chosen], text[bv.ragged(cuts[:-1][chosen], sizes)], np.concatenate([[0], np.cumsum(sizes)]), length, held_gram)
+        alone, chosen = chosen[~maybe], chosen[maybe]
         chosen = chosen[np.lexsort((chosen, same_as[chosen], group[chosen]))]
         head, strings = _strings(group[chosen], same_as[chosen])
-        several |= (np.bincount(group[chosen][head]) > 1)[group]
+        several[chosen] |= (np.bincount(group[chosen][head], minlength=group[-1] + 1) > 1)[group[chosen]]
+        # Pieces that aren't sorted come behind the others: each of their windows is one of its own.
+        n_sorted, chosen = len(chosen), np.concatenate([chosen, alone])
         every, all_cuts, all_windows, all_known = (k, mark, first), cuts, windows, known
         sizes = np.diff(cuts)[chosen]
         text, cuts = text[bv.ragged(cuts[:-1][chosen], sizes)], np.concatenate([[0], np.cumsum(sizes)])
         k, mark, first, windows, known, several = (x[chosen] for x in (k, mark, first, windows, known, several))
-        starts = bv.ragged(cuts[:-1], windows)
-        order, same = repeated_windows(text, cuts, strings, starts, length)
+        end = cuts[n_sorted]
+        order, same = repeated_windows(text[:end], cuts[: n_sorted + 1], strings, bv.ragged(cuts[:n_sorted], windows[:n_sorted]), length)
+        order = np.concatenate([order, bv.ragged(cuts[n_sorted:-1], windows[n_sorted:])])
+        same = np.concatenate([same, np.zeros(len(order) - len(same), bool)])
         begin = np.flatnonzero(~same)
         count = np.diff(np.append(begin, len(order)))
         owner = np.searchsorted(cuts, order, "right") - 1
@@ -367,10 +402,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Texts are shuffled once: both joins with them are left joins on the same keys.
     packed = base.mapInArrow(_squeezed, f"k bigint, mark int, own {kind}, text binary")
     pieces = packed.join(want, ["k", "mark"], "left").mapInArrow(_cut_out(length), _PIECE)
-    found = []
+    found, sizes = [], (gram, *ladder, length)
     for step in range(1 << 20):
         together = pieces.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
-        told = stored(together.mapInArrow(_resolved(length, (*ladder, length)[min(step, len(ladder))], run_bytes), _TOLD))
+        told = stored(together.mapInArrow(_resolved(length, sizes[min(step + 1, len(sizes) - 1)], run_bytes, sizes[min(step, len(sizes) - 1)]), _TOLD))
         found.append(told.filter("bytes is null").select("k", "mark", "first", "windows"))
         left = told.filter("bytes is not null")
         counts = left.groupBy("anchor").agg(F.count("*").alias("n"), F.min("known").alias("all_known")).filter("n > 1 and not all_known")
