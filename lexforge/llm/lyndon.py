@@ -27,7 +27,7 @@ def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """
     sizes = np.asarray(sizes, np.int64)
     start = np.cumsum(sizes) - sizes
-    out = np.zeros(len(symbols), np.int64)
+    out = np.zeros(len(symbols), np.int32 if len(symbols) < 1 << 31 else np.int64)
     # Strings of like size go together: the last rounds of a batch are those of its longest string.
     by_size = np.argsort(sizes, kind="stable")
     by_size = by_size[sizes[by_size] > 0]
@@ -165,25 +165,32 @@ class _Groups:
         out, free = np.zeros(len(group), np.int32), np.arange(len(group), dtype=np.int32)
         done = np.zeros(len(group), bool)
         done[self.begin - 1] = True
-        at, stop, suffix = self.begin - 1, self.end, (self.end - 1).astype(np.int32)
+        at, stop, suffix = self.begin - 1, self.end, self.end - 1
         while len(at):
-            placing = np.flatnonzero(~done[suffix])
+            placed = done.take(suffix)
+            placing = np.flatnonzero(~placed)
             if len(placing):
-                s = suffix[placing]
-                g = group[s]
-                to = free[g]
+                s = suffix.take(placing)
+                g = group.take(s).astype(np.int64)
+                to = free.take(g).astype(np.int64)
                 out[to] = s
                 free[g] = to + 1
                 done[s] = True
-                suffix[placing] = smaller[s]
-            nexts = np.flatnonzero(done[suffix])
+                before = smaller.take(s)
+                suffix[placing] = before
+                placed[placing] = done.take(before)
+            nexts = np.flatnonzero(placed)
             if len(nexts):
-                at[nexts] += 1
-                left = at < stop
-                if not left.all():
-                    nexts = np.flatnonzero(done[suffix[left]])
+                on = at.take(nexts)
+                on += 1
+                at[nexts] = on
+                open_ = on < stop.take(nexts)
+                if open_.all():
+                    suffix[nexts] = out.take(on) - 1
+                else:
+                    suffix[nexts[open_]] = out.take(on[open_]) - 1
+                    left = np.flatnonzero(at < stop)
                     at, stop, suffix = at[left], stop[left], suffix[left]
-                suffix[nexts] = out[at[nexts]] - 1
-        back = np.zeros(len(group), np.int64)
-        back[self.where] = np.arange(len(self.where))
+        back = np.zeros(len(group), np.int32)
+        back[self.where] = np.arange(len(self.where), dtype=np.int32)
         return back[out[self.where]]

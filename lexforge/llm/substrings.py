@@ -6,11 +6,15 @@ the same place.  The windows that name one anchor of a text are neighbours and f
 Hashes do no more than choose which stretches meet: those of an anchor that more than one stretch
 names (or of one that may repeat itself).
 
-The stretches of an anchor are joined into one string, its suffixes are sorted
+Anchors that the same texts name about the same place (``SPAN``) go together by a hash of these, so
+neighbouring stretches make one piece and their bytes in common are sorted once.  Any function of
+the anchor alone would be right: equal windows name equal anchors and meet.
+
+The stretches that meet are joined into one string, its suffixes are sorted
 (``lyndon.suffix_arrays``), and a window is repeated where its suffix agrees with a neighbour's in
 the order for LENGTH bytes.  That decides every window.  A stretch that agrees with no other one
 around the anchor for as long as an equal window needs has no such neighbour and isn't sorted
-(``may_repeat``).
+(``may_repeat``, asked for each stretch of a piece).
 
 An anchor may be named by a third of all texts, so its stretches are dealt to blocks of about
 ``BLOCK``.  Of a block's stretches that agree in every byte two are sorted; what the order says of
@@ -45,21 +49,23 @@ from lexforge.llm import bytesview as bv
 from lexforge.llm.lyndon import suffix_arrays
 from lexforge.llm.shared import bound_batches, ready_checkpoints, stored
 
-LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 64, 4 << 20
+LENGTH, GRAM, LADDER, BLOCK, RUN_BYTES = 200, 32, (96, 160, 192, 200), 64, 8 << 20
 #: Pieces of a block that make one string.
-SORTED = 8
+SORTED = 16
 #: Ranges of an anchor's place in its window, by which pieces are told apart before they are sorted.
 RANGES = 4
+#: Windows of a text that go together, about.
+SPAN = 1024
 
 
-def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM, ask_own: bool = False) -> tuple[np.ndarray, ...]:
+def stretches(c: bv.Chunk, length: int = LENGTH, gram: int = GRAM, ask_own: bool = False, every: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(anchor hash, document, first window, windows, whether its own windows may be equal, false unless asked) of all stretches of a chunk; windows count from the chunk's first byte."""
     n, width = len(c.buf), length - gram + 1
     m = n - length + 1
     size = np.diff(c.offs)
     if m <= 0 or not (size >= length).any():
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-    every, span = c.hasher().every(gram), 1
+    every, span = c.hasher().every(gram) if every is None else every, 1
     low = every
     while span * 2 <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -107,13 +113,17 @@ def _columns(batch: pa.RecordBatch, length: int, gram: int, ask_own: bool = Fals
 
 
 def _counted(length: int, gram: int):
-    """Anchors of each batch of rows, with their numbers of stretches."""
+    """Anchors of each batch of rows, with their numbers of stretches, a sum of hashes of the texts that name them, and the first stretch of a text that does, in units of ``SPAN``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, _, _, _, own = _columns(batch, length, gram, True)
+            a, doc, first, _, own = _columns(batch, length, gram, True)
             keys, at, n = np.unique(a, return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.bincount(at[own], minlength=len(keys)) > 0)], names=["anchor", "n", "own"])
+            k, mark = (batch.column(x).to_numpy().astype(np.int64).view(np.uint64) for x in (0, 1))
+            texts, place = np.zeros(len(keys), np.int64), np.full(len(keys), np.iinfo(np.int32).max, np.int32)
+            np.add.at(texts, at, (bv.mix(k ^ bv.mix(mark)) >> np.uint64(24)).view(np.int64)[doc])
+            np.minimum.at(place, at, (first // SPAN).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.bincount(at[own], minlength=len(keys)) > 0), pa.array(texts), pa.array(place)], names=["anchor", "n", "own", "texts", "place"])
 
     return run
 
@@ -146,7 +156,7 @@ _PIECE = "anchor bigint, several boolean, block int, k bigint, mark int, first i
 
 
 def _cut_out(length: int):
-    """Rows (k, mark, own, text, wanted stretches or null) -> the stretches with their bytes."""
+    """Rows (k, mark, own, text, wanted stretches or null) -> the stretches with their bytes; neighbours that go to one place are one piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,15 +165,24 @@ def _cut_out(length: int):
                 batch = some.slice(lo, 500)
                 wanted = batch.column("wanted")
                 flat, counts = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
-                first, windows = (flat.field(x).to_numpy().astype(np.int64) for x in ("first", "windows"))
+                first, windows, anchor, block = (flat.field(x).to_numpy().astype(np.int64) for x in ("first", "windows", "anchor", "block"))
+                row = np.repeat(np.arange(batch.num_rows), counts)
+                sort = np.lexsort((first, row))
+                row, first, windows, anchor, block = (x[sort] for x in (row, first, windows, anchor, block))
+                fresh = np.ones(len(row), bool)
+                fresh[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]) | (first[1:] != (first + windows)[:-1])
+                head = np.flatnonzero(fresh)
+                windows = np.add.reduceat(windows, head)
+                flat, row, first = flat.take(pa.array(sort[head])), row[head], first[head]
+                counts = np.bincount(row, minlength=batch.num_rows)
                 data, k = [], 0
                 for text, n in zip(_texts(batch.column("text")), counts.tolist(), strict=True):
                     data.append(text[bv.ragged(first[k : k + n], windows[k : k + n] + length - 1)])
                     k += n
                 offs = np.concatenate([[0], np.cumsum(windows + length - 1)])
                 held = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offs), pa.py_buffer(np.concatenate(data))]).cast(pa.binary())
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("several"), flat.field("block"), batch.column("k").take(rows), batch.column("mark").take(rows), flat.field("first"), flat.field("windows"), pa.array(np.zeros(len(first), bool)), held], names=[x.split()[0] for x in _PIECE.split(", ")])
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("several"), flat.field("block"), batch.column("k").take(rows), batch.column("mark").take(rows), flat.field("first"), pa.array(windows.astype(np.int32)), pa.array(np.zeros(len(first), bool)), held], names=[x.split()[0] for x in _PIECE.split(", ")])
 
     return run
 
@@ -176,8 +195,8 @@ def repeated_windows(text: np.ndarray, cuts: np.ndarray, strings: np.ndarray, st
     """
     size = np.diff(cuts)
     place = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)  # a zero follows each piece
-    symbols = np.zeros(len(text) + len(size), np.int64)
-    symbols[place] = text.astype(np.int64) + 1
+    symbols = np.zeros(len(text) + len(size), np.uint16)
+    symbols[place] = text.astype(np.uint16) + np.uint16(1)
     ends = np.concatenate([[0], np.cumsum(strings)])
     lengths = (cuts[ends[1:]] - cuts[ends[:-1]]) + strings
     order = suffix_arrays(symbols, lengths)
@@ -223,36 +242,51 @@ def copies(group: np.ndarray, text: np.ndarray, cuts: np.ndarray) -> tuple[np.nd
     return first, nth
 
 
-def may_repeat(anchor: np.ndarray, group: np.ndarray, text: np.ndarray, cuts: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Pieces of which a window may equal another one of its group; no window of the others does.
+def may_repeat(group: np.ndarray, text: np.ndarray, start: np.ndarray, stop: np.ndarray, own: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Stretches (places start..stop of the text, which hold their anchor's string at the places ``at``, by owner) of which a window may equal another one of the group; no window of the others does.
 
     Equal windows hold their anchor's string at the same place x.  If x lies between s and t, they
     agree from s before that string to ``length`` - t behind its start, for every range s..t of
-    ``RANGES``.  So a piece that holds the string once, and has none of these agreements by hash
-    with another place of it, has no equal window; hashes that meet by chance do no more than keep a piece.
+    ``RANGES``.  So a stretch that holds the string once, and has none of these agreements by hash
+    with another place of it, has no equal window; hashes that meet by chance do no more than keep a stretch.
     """
-    every = bv.Hasher(text).every(gram)
-    piece = np.repeat(np.arange(len(group)), np.diff(cuts))
-    at = np.flatnonzero(every == anchor.view(np.uint64)[piece[: len(every)]])
-    at = at[at + gram <= cuts[piece[at] + 1]]
-    own = piece[at]
     maybe = np.bincount(own, minlength=len(group)) != 1
     hasher, bounds = bv.Hasher(text), np.linspace(0, length - gram, RANGES + 1).astype(np.int64).tolist()
     for s, t in zip(bounds[:-1], bounds[1:], strict=True):
-        inside = np.flatnonzero((at - s >= cuts[own]) & (at + length - t <= cuts[own + 1]))
-        start = at[inside] - s
-        key = bv.mix(hasher.of(start, start + s + length - t) ^ bv.mix(group[own[inside]].astype(np.uint64)))
+        inside = np.flatnonzero((at - s >= start[own]) & (at + length - t <= stop[own]))
+        low = at[inside] - s
+        key = bv.mix(hasher.of(low, low + s + length - t) ^ bv.mix(group[own[inside]].astype(np.uint64)))
         _, which, count = np.unique(key, return_inverse=True, return_counts=True)
         maybe[own[inside[count[which] > 1]]] = True
     return maybe
 
 
+def parts(text: np.ndarray, cuts: np.ndarray, group: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window, windows, whether any of them may repeat) of the parts of each piece; its stretches are told apart by ``may_repeat``, and neighbours that are alike in it are one part."""
+    found, held, n = [], pa.Array.from_buffers(pa.large_binary(), len(group), [None, pa.py_buffer(cuts), pa.py_buffer(text)]), 0
+    for c in bv.chunks(held):
+        every = c.hasher().every(gram)
+        anchor, piece, first, windows, _ = stretches(c, length, gram, every=every)
+        places = windows + length - gram
+        at = bv.ragged(first, places)
+        own = np.repeat(np.arange(len(first)), places)
+        hold = np.flatnonzero(every[at] == np.repeat(anchor, places))
+        found.append((piece + c.lo, first + cuts[c.lo], windows, own[hold] + n, at[hold] + cuts[c.lo]))
+        n += len(first)
+    piece, first, windows, own, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    maybe = may_repeat(group[piece], text, first, first + windows + length - 1, own, at, length, gram)
+    head = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (maybe[1:] != maybe[:-1])]))
+    return piece[head], first[head], np.add.reduceat(windows, head), maybe[head]
+
+
 _TOLD = "anchor bigint, k bigint, mark int, first int, windows int, known boolean, bytes binary"
 
 
 def _strings(group: np.ndarray, same_as: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pieces in order of group and first copy -> where strings of about ``SORTED`` pieces begin, and their pieces; two copies stay together."""
     n = len(group)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     of_group = np.concatenate([[True], group[1:] != group[:-1]])
     begin = np.flatnonzero(of_group)
     inside = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
@@ -276,18 +310,21 @@ def _resolved(length: int, gram: int, run_bytes: int, held_gram: int = GRAM):
         # Two of each different piece are sorted, side by side; the order's word on the first holds for further copies.
         same_as, nth = copies(group, text, cuts)
         chosen = np.flatnonzero(nth < 2)
-        sizes = np.diff(cuts)[chosen]
-        maybe = may_repeat(key[chosen, 0], group[chosen], text[bv.ragged(cuts[:-1][chosen], sizes)], np.concatenate([[0], np.cumsum(sizes)]), length, held_gram)
-        alone, chosen = chosen[~maybe], chosen[maybe]
         chosen = chosen[np.lexsort((chosen, same_as[chosen], group[chosen]))]
-        head, strings = _strings(group[chosen], same_as[chosen])
-        several[chosen] |= (np.bincount(group[chosen][head], minlength=group[-1] + 1) > 1)[group[chosen]]
-        # Pieces that aren't sorted come behind the others: each of their windows is one of its own.
-        n_sorted, chosen = len(chosen), np.concatenate([chosen, alone])
-        every, all_cuts, all_windows, all_known = (k, mark, first), cuts, windows, known
+        every, all_cuts, all_windows, all_known, whole = (k, mark, first), cuts, windows, known, same_as
         sizes = np.diff(cuts)[chosen]
-        text, cuts = text[bv.ragged(cuts[:-1][chosen], sizes)], np.concatenate([[0], np.cumsum(sizes)])
-        k, mark, first, windows, known, several = (x[chosen] for x in (k, mark, first, windows, known, several))
+        held, cuts = text[bv.ragged(cuts[:-1][chosen], sizes)], np.concatenate([[0], np.cumsum(sizes)])
+        place = np.zeros(len(group), np.int64)
+        place[chosen] = cuts[:-1]
+        piece, at, windows, maybe = parts(held, cuts, group[chosen], length, held_gram)
+        # Parts that aren't sorted come behind the others: each of their windows is one of its own.
+        sort = np.argsort(~maybe, kind="stable")
+        piece, at, windows, n_sorted = piece[sort], at[sort], windows[sort], int(maybe.sum())
+        first = first[chosen[piece]] + at - cuts[piece]
+        k, mark, known, several, group, same_as = (x[chosen[piece]] for x in (k, mark, known, several, group, same_as))
+        head, strings = _strings(group[:n_sorted], same_as[:n_sorted])
+        several[:n_sorted] |= (np.bincount(group[head], minlength=int(group.max()) + 1) > 1)[group[:n_sorted]]
+        text, cuts = held[bv.ragged(at, windows + length - 1)], np.concatenate([[0], np.cumsum(windows + length - 1)])
         end = cuts[n_sorted]
         order, same = repeated_windows(text[:end], cuts[: n_sorted + 1], strings, bv.ragged(cuts[:n_sorted], windows[:n_sorted]), length)
         order = np.concatenate([order, bv.ragged(cuts[n_sorted:-1], windows[n_sorted:])])
@@ -295,11 +332,10 @@ def _resolved(length: int, gram: int, run_bytes: int, held_gram: int = GRAM):
         begin = np.flatnonzero(~same)
         count = np.diff(np.append(begin, len(order)))
         owner = np.searchsorted(cuts, order, "right") - 1
-        hit = np.zeros(len(text), bool)
-        hit[order[np.repeat(count, count) > 1]] = True
-        place = np.zeros(len(group), np.int64)
-        place[chosen] = cuts[:-1]
-        found = bv.ragged(all_cuts[:-1], all_windows)[hit[bv.ragged(place[same_as], all_windows)] & ~np.repeat(all_known, all_windows)]
+        hit = np.zeros(len(held), bool)
+        told_of = order[np.repeat(count, count) > 1]
+        hit[told_of + np.repeat(at - cuts[:-1], np.diff(cuts))[told_of]] = True
+        found = bv.ragged(all_cuts[:-1], all_windows)[hit[bv.ragged(place[whole], all_windows)] & ~np.repeat(all_known, all_windows)]
 
         def runs(at: np.ndarray, flag: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Places in order -> owners, places and lengths of runs of neighbours in a piece that are alike in ``flag``."""
@@ -396,9 +432,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.xxhash64(F.col(id_col).cast("string"), text).alias("k"), (F.crc32(text) - (1 << 31)).cast("int").alias("mark"), F.col(id_col).alias("own"), text.alias("text"))
     long = base.filter(F.octet_length("text") >= length).select("k", "mark", "text")
-    counts = long.mapInArrow(_counted(length, gram), "anchor bigint, n bigint, own boolean").groupBy("anchor").agg(F.sum("n").alias("n"), F.max("own").alias("own")).filter("n > 1 or own").select("anchor", "n")
+    counts = long.mapInArrow(_counted(length, gram), "anchor bigint, n bigint, own boolean, texts bigint, place int").groupBy("anchor").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.try_sum("texts").alias("texts"), F.min("place").alias("place")).filter("n > 1 or own").select("anchor", "n", F.when(F.col("n") <= block, F.xxhash64("n", "texts", "place")).otherwise(F.col("anchor")).alias("goes"))
     listed = long.mapInArrow(_listed(length, gram), "anchor bigint, k bigint, mark int, first int, windows smallint")
-    want = listed.join(counts, "anchor").select("k", "mark", F.struct("anchor", *_blocks("n", block), "first", F.col("windows").cast("int").alias("windows")).alias("w")).groupBy("k", "mark").agg(F.collect_list("w").alias("wanted"))
+    want = listed.join(counts, "anchor").select("k", "mark", F.struct(F.col("goes").alias("anchor"), *_blocks("n", block), "first", F.col("windows").cast("int").alias("windows")).alias("w")).groupBy("k", "mark").agg(F.collect_list("w").alias("wanted"))
     # Texts are shuffled once: both joins with them are left joins on the same keys.
     packed = base.mapInArrow(_squeezed, f"k bigint, mark int, own {kind}, text binary")
     pieces = packed.join(want, ["k", "mark"], "left").mapInArrow(_cut_out(length), _PIECE)
