@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexforge import catalog
@@ -126,3 +127,33 @@ def test_reach_keeps_no_pairs(spark, tmp_path, monkeypatch):
     got = catalog.QUERIES["bounded_reach"](spark, str(tmp_path))
     assert dict(got.dtypes) == {"start": "int", "reached": "bigint"}
     assert {x["start"]: x["reached"] for x in got.collect()} == plain_reach(links, 2)
+
+
+def test_reach_sends_links_and_not_sets_where_all_members_are_tied(spark):
+    spark.conf.set(most := "spark.sql.execution.arrow.maxRecordsPerBatch", 500)  # a chunk takes whole batches
+    r = random.Random(5)
+    links = [(r.randrange(1500), g) for g in range(2000) for _ in range(10)]
+    df = spark.createDataFrame(links, "id bigint, grp bigint")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    try:
+        got = reach.reach_counts(df, 2, 512, 1000).collect()
+    finally:
+        spark.conf.unset(most)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert {x["start"]: x["reached"] for x in got} == plain_reach(links, 2) and len(got) == 1500
+    assert written() - before < 2_000_000  # 7.7 MB where sets go to chunks and back, 0.4 MB where only links do
+
+
+def test_reach_in_bounded_memory_equals_a_plain_walk(spark):
+    r, rows = random.Random(6), []
+    links = sorted({(g, r.randrange(g // 100 * 300, g // 100 * 300 + 500)) for g in range(400) for _ in range(r.randrange(1, 7))})
+    dealt = spark.createDataFrame(links, "grp bigint, id bigint").repartitionByRange(12, "grp").sortWithinPartitions("grp", "id")
+    chunks = [c.asDict() for c in dealt.mapInArrow(reach._chunked(1 << 18), reach._CHUNK).collect()]
+    starts = sorted({int(i) for c in chunks for i in reach._ids(c["low"], c["gaps"])})
+    for k in range(0, len(starts), 300):
+        rows += [{"ids": starts[k : k + 300]}, *chunks]
+    fields = pa.schema([("ids", pa.list_(pa.int64())), ("low", pa.int64()), ("gaps", pa.binary()), ("local", pa.binary()), ("sizes", pa.binary())])
+    batches = pa.Table.from_pylist(rows, schema=fields).to_batches(max_chunksize=4)
+    got = [x for b in reach._walked(2, 1, 1, 500)(iter(batches)) for x in b.to_pylist()]  # a word of starts at once, most chunks in a file
+    assert {x["id"]: x["n"] - 1 for x in got} == plain_reach([(i, g) for g, i in links], 2) and len(got) == len(starts) > 400 and len(chunks) > 8
