@@ -19,7 +19,7 @@ from lexforge.operators.ranking import global_rank
 #: Members that one task walks from, and links that are packed together.
 BLOCK, LINKS = 8192, 1 << 18
 #: Words of 64 starts that are walked at once, bytes of sets that a task holds, and of links before they go to a file.
-WIDTH, SETS, HELD = 4, 128 << 20, 256 << 20
+WIDTH, SETS, HELD = 8, 128 << 20, 256 << 20
 _CHUNK = "chunk bigint, low bigint, gaps binary, local binary, sizes binary"
 
 
@@ -123,6 +123,23 @@ def _heads(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
+def _united(sets: np.ndarray, of: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The union of each run of sets: of is where they are, head where runs begin."""
+    out = np.take(sets, of[head], axis=0)
+    size = np.diff(np.append(head, len(of)))
+    more = np.flatnonzero(size > 1)  # most runs are short; reduceat takes long for each run
+    for nth in range(1, 4):
+        if not len(more):
+            return out
+        out[more] |= np.take(sets, of[head[more] + nth], axis=0)
+        more = more[size[more] > nth + 1]
+    if len(more):
+        left = np.repeat(np.isin(np.arange(len(head)), more), size)
+        begin = np.cumsum(size[more]) - size[more]
+        out[more] |= np.bitwise_or.reduceat(np.take(sets, of[left], axis=0), begin, axis=0)
+    return out
+
+
 def _step(chunks: Iterable[tuple[int, bytes, bytes, bytes]], ids: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """sets: for some words of starts, which of them reach each id.  Returns what they reach with one step more.
 
@@ -149,7 +166,8 @@ def _step(chunks: Iterable[tuple[int, bytes, bytes, bytes]], ids: np.ndarray, se
             if not len(reached):
                 continue
             active = np.zeros(len(sizes), bool)
-            if 4 * len(reached) < len(rows):
+            dense = 4 * len(reached) >= len(rows)
+            if not dense:
                 n = degree[reached]
                 link = np.repeat(first[reached] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 order = np.argsort(group_of[link], kind="stable")
@@ -169,8 +187,11 @@ def _step(chunks: Iterable[tuple[int, bytes, bytes, bytes]], ids: np.ndarray, se
             place[active] = np.arange(len(of_group))
             member = member_of[to]
             head = _heads(member)
-            out[k, rows[member[head]]] |= np.bitwise_or.reduceat(np.take(of_group, place[group_of[to]], axis=0), head, axis=0)
-            full[k] = not (every[k] & ~out[k]).any()
+            new, at = _united(of_group, place[group_of[to]], head), rows[member[head]]
+            new |= np.take(out[k], at, axis=0)
+            out[k].view(f"V{new.itemsize * new.shape[1]}")[at, 0] = new.view(f"V{new.itemsize * new.shape[1]}")[:, 0]
+            if dense:
+                full[k] = not (every[k] & ~out[k]).any()
     return out
 
 
